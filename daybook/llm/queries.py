@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import language_id
+from daybook.llm import language_id, quality, toxicity
 from daybook.llm.registry import register
 from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
@@ -17,3 +17,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.withColumn("held_out", crc_mod("doc_id", 5) == 0)
     model = language_id.fit(held.where(~F.col("held_out")))
     return language_id.identify(held.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(docs, load(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    scored = toxicity.score(docs, field)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(docs, load(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0), vectors)
+    return quality.score(docs, vectors, net).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

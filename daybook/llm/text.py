@@ -34,3 +34,17 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for s in steps(sizes.astype(np.int64) + 64, budget):
             yield batch.slice(s.start, s.stop - s.start)
+
+
+class WordTable(dict):
+    """Word to value, computed once a word; emptied when it reaches ``limit`` words, so a worker's memory is bounded."""
+
+    def __init__(self, value, limit: int = 1_000_000):
+        super().__init__()
+        self.value, self.limit = value, limit
+
+    def __missing__(self, word):
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[word] = self.value(word)
+        return out
