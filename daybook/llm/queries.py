@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import language_id, quality, toxicity
+from daybook.llm import language_id, packing, quality, toxicity
 from daybook.llm.registry import register
 from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
@@ -33,3 +33,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quality.word_vectors(docs)
     net = quality.fit(docs, load(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0), vectors)
     return quality.score(docs, vectors, net).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
