@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import language_id, packing, quality, toxicity, warc
+from daybook.llm import html_text, language_id, packing, quality, toxicity, warc
 from daybook.llm.registry import register
 from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
@@ -45,3 +45,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_warc")
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_index(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "length")
+
+
+@register("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
