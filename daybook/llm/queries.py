@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import html_text, language_id, packing, quality, toxicity, warc
+from daybook.llm import html_text, language_id, line_dedup, packing, quality, toxicity, warc
 from daybook.llm.registry import register
 from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
@@ -50,3 +50,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_html_text")
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register("op1_line_dedup", line_dedup.oracle())
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))

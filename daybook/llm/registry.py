@@ -8,9 +8,13 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str):
+def register(name: str, sql: str | None = None):
+    """Register a query, with the SQL that must return the same rows where SQL can say it."""
+
     def add(fn: Callable) -> Callable:
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return add
