@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, embedding_dedup, html_text, language_id, line_dedup, packing, quality, toxicity, warc
+from daybook.llm import decontaminate, embedding_dedup, html_text, language_id, line_dedup, ngram_join, packing, quality, toxicity, warc
 from daybook.llm.registry import register
 from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
@@ -66,3 +66,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_embedding_dedup")
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(load(spark, sf_dir, "embeddings"))
+
+
+@register("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.components(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
