@@ -207,6 +207,20 @@ def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int =
     return out
 
 
+def _scanner(windows: Windows, schema: str):
+    """A pandas UDF that finds the block's leaks in a column of texts."""
+
+    @F.pandas_udf(schema)
+    def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bitmap = windows.bitmap()
+        for column in series:
+            texts = column.fillna("").tolist()
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
+            yield pd.DataFrame({"leaks": [x for s in steps(sizes, 1_000_000) for x in find_leaks(texts[s], windows, bitmap)]})
+
+    return scan
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with ``leaks``: an array of the benchmark items found, with edits and character range (null where lower-casing changes the text's length)."""
     kind = benchmark.schema[item].dataType.simpleString()
@@ -217,17 +231,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     found = []
     for n in range(blocks):
         block = [(r["item"], r["body"]) for r in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == n).orderBy("item").collect()]  # about BLOCK_CHARS characters
-        windows = prepare(block, rate=rate)
-
-        @F.pandas_udf(schema)
-        def scan(series: Iterator[pd.Series], windows=windows) -> Iterator[pd.DataFrame]:
-            bitmap = windows.bitmap()
-            for column in series:
-                texts = column.fillna("").tolist()
-                sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
-                yield pd.DataFrame({"leaks": [x for s in steps(sizes, 1_000_000) for x in find_leaks(texts[s], windows, bitmap)]})
-
-        out = out.withColumn(f"__leaks{n}", scan(F.col(text)))
+        out = out.withColumn(f"__leaks{n}", _scanner(prepare(block, rate=rate), schema)(F.col(text)))
         found.append(f"__leaks{n}")
     merged = F.concat(*(F.col(f"{c}.leaks") for c in found))
     return out.withColumn("leaks", merged).drop(*found)
