@@ -30,40 +30,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.text import WordTable, text_steps
+from daybook.llm.text import text_steps
 from daybook.operators.durable import save
 
 WINDOW = 4096
 END_ID = 2
 #: Rows of one length class and hash bucket that one sort may hold, on average at most.
 BUCKET_ROWS = 20_000
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+#: Distinct words that a worker remembers before it starts anew.
+REMEMBERED = 300_000
+_CONTROLS = set("\x1c\x1d\x1e\x1f")
+#: Marks that a plain word may end with; an apostrophe can begin a token of its own.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizer that never joins over white space: each distinct word is encoded once a worker.
+    """Ids of whole texts from a tokenizer that never joins over white space, so each distinct word is encoded once a worker.
 
-    Texts with control characters that Python takes for white space and the tokenizer does not are encoded whole."""
+    A plain word, Latin letters and then marks, is lower-cased and cut here; its two parts go to a copy of the tokenizer that has only the merges
+    left, many in one call, and come apart again at the ids that end a word. Every other word, and every text with control characters that
+    Python takes for white space and the tokenizer does not, is encoded by the tokenizer itself."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: WordTable = WordTable(self._encode)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+        self.shown = {b: c for b, c in shown.items() if b != 32}  # the characters that stand for bytes in the vocabulary
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    @staticmethod
+    def _cut(word: str) -> tuple[str, str] | None:
+        low = word.lower()
+        core = low.rstrip(_TAIL)
+        if (core.isalpha() or not core) and (low.isascii() or max(low) < "\u0250"):
+            return core, low[len(core) :]
+        return None
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        text = " ".join(parts).encode().decode("latin-1").translate(self.shown)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(parts):
+            raise ValueError("the tokenizer's words don't end where they should")
+        data, at = ids.tobytes(), 0
+        for part, stop in zip(parts, stops, strict=True):
+            self.parts[part] = data[4 * at : 4 * stop]
+            at = stop
+
     def learn(self, words: list[str]) -> None:
-        """Encode new words in one call."""
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if len(self.words) + len(new) > self.words.limit:
-            self.words.clear()
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        cuts = [self._cut(w) for w in words]
+        new = list(dict.fromkeys(p for c in cuts if c for p in c if p not in self.parts))
+        if new:
+            self._learn_parts(new)
+        for word, cut in zip(words, cuts, strict=True):
+            self.words[word] = self.parts[cut[0]] + self.parts[cut[1]] if cut else self._encode(word)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split() for t in texts]
-        fresh = set()
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        fresh: set[str] = set()
         for words in split:
             fresh.update(words)
         self.learn([w for w in fresh if w not in self.words])
@@ -71,16 +114,13 @@ class Encoder:
         return [self._encode(t) if _CONTROLS.intersection(t) else b"".join([look[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 
 
-_CONTROLS = set("\x1c\x1d\x1e\x1f")
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``row_id, <key>, n_ids, rest, full_crc, rest_crc, ids``: ids as little-endian 16-bit numbers (32 where they need it), the length that is left after full windows, and the crc32 of the 32-bit ids of every full window and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in text_steps(batches, text):
+        for batch in text_steps(batches, text, 2_000_000):
             found = [x + end for x in encoder.ids(pa.compute.fill_null(batch.column(text), "").to_pylist())]
             step = 4 * window
             sizes = [len(x) // 4 for x in found]
@@ -295,7 +335,9 @@ def _loose(rows: DataFrame, tokens: DataFrame, made: Plan, key: str, window: int
     edge = (F.floor((F.col("at") + F.col("rest") - 1) / window) * window).cast("long")
     lay = lay.withColumn("__cut", F.greatest(edge - F.col("at"), F.lit(0)))  # ids before the edge, 0 where the piece stays whole
     whole = lay.where("__cut = 0").select(key, "start", F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "at")
-    halves = lay.where("__cut > 0").select("row_id", key, "start", "rest", "doc_tokens", "at", "__cut").join(tokens.select("row_id", "ids"), "row_id")
+    halves = lay.where("__cut > 0").select("row_id", key, "start", "rest", "doc_tokens", "at", "__cut")
+    edges = int((made.loose * np.arange(window)).sum()) // window + 1  # at most one document is cut at each
+    halves = tokens.select("row_id", "ids").join(F.broadcast(halves) if edges <= BROADCAST_ROWS else halves, "row_id")
 
     @F.pandas_udf("first long, second long")
     def both_crcs(ids: pd.Series, n_ids: pd.Series, rest: pd.Series, cut: pd.Series) -> pd.DataFrame:
