@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from daybook.functions import registry
 from daybook.functions import text as T
-from daybook.operators import awards, graph, mentions, quality, resolve, scan, status
+from daybook.operators import archive, awards, graph, lint, mentions, quality, resolve, scan, status
 from daybook.plans import register
 from daybook.plans.bind import FILINGS, LINES, PRESS, Bound, sql
 from daybook.plans.lobbying import spend_view
+from daybook.streaming.status import windowed
 
 #: Agency of a line: its part's brand, exact. With this data a fifth of the filings is no concentration, two fifths are.
 MIN_FILINGS, MIN_CONC, SENIORITY = 10, 0.40, 5
@@ -293,3 +294,29 @@ def third_page(spark, sf_dir) -> DataFrame:
 def two_semi(spark, sf_dir) -> DataFrame:
     b = Bound(spark, sf_dir)
     return b.filings.join(b.lines.where("entity_name = 'Brand#13'").select("filing_uuid"), "filing_uuid", "left_semi").join(b.lines.where("suppkey <= 10").select("filing_uuid"), "filing_uuid", "left_semi").select("filing_uuid", "income")
+
+
+@register("h24")
+def house_style(spark, sf_dir) -> DataFrame:
+    """Rules need match positions, so there is no SQL; tested line by line."""
+    return lint.lint(Bound(spark, sf_dir).table("documents").select("doc_id", "text")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+@register("l6", "SELECT DISTINCT url FROM pages WHERE url LIKE 'http://%' OR url LIKE 'https://%'")
+def urls(spark, sf_dir) -> DataFrame:
+    return archive.collect((Bound(spark, sf_dir).table("pages"), F.col("url")))
+
+
+@register("l7", "SELECT url FROM (SELECT DISTINCT url FROM pages) p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 2 = 0 AND q.page_id >= 20)")
+def urls_due(spark, sf_dir) -> DataFrame:
+    """Pages with an even id are in the registry, those below 20 in an entry that is too old."""
+    pages = Bound(spark, sf_dir).table("pages")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    held = pages.where("page_id % 2 = 0 AND page_id >= 0").groupBy("url").agg(F.max("page_id").alias("p")).select("url", F.lit("a").alias("wayback"), F.lit("b").alias("archive_today"), F.when(F.col("p") >= 20, now).otherwise(F.lit("2020-01-01").cast("timestamp")).alias("at"))
+    return archive.due(archive.collect((pages, F.col("url"))), held, now, 30)
+
+
+@register("stream_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly(spark, sf_dir) -> DataFrame:
+    """The streaming operator run as a batch, where the watermark has no effect."""
+    return windowed(Bound(spark, sf_dir).table("events").select("ts", "event_type"))
