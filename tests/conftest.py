@@ -10,6 +10,6 @@ from daybook.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session("local[8]", partitions=4, memory="4g")
+    session = get_session("local[4]", partitions=4, memory="4g")
     yield session
     session.stop()
