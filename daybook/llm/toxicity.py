@@ -125,8 +125,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 4, group: int = 128, rate: float = 0.3) -> Field:
-    """Token labels from the lexicon, then adaptive gradient steps on the likelihood of groups of documents, then the logistic layer weighted to the classes' shares in all labels."""
+def train(texts: list[str], toxic: np.ndarray, prior: float, updates: int = 96, group: int = 128, rate: float = 0.3) -> Field:
+    """Token labels from the lexicon, then about ``updates`` adaptive gradient steps on the likelihood of groups of documents, then the logistic layer weighted to the classes' shares in all labels."""
     field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(5), prior)
     if not len(toxic) or toxic.min() == toxic.max():
         return field
@@ -135,7 +135,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 4, gr
     square_e, square_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
     mixed = rng.permutation(len(texts))
     used = np.concatenate([mixed[toxic[mixed] == k][:FIELD_ROWS] for k in (0, 1)])
-    for _ in range(epochs):
+    for _ in range(-(-updates // -(-len(used) // group))):
         order = rng.permutation(used)
         for lo in range(0, len(order), group):
             rows = order[lo : lo + group]
