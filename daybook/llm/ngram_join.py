@@ -3,8 +3,9 @@
 Two documents link when their sets' Jaccard similarity is at least ``percent`` / 100, so two sets of sizes ``x`` and ``y`` must share
 ``T = ceil(percent * (x + y) / (100 + percent))`` shingles. An inverted list holds the documents of a shingle. As in DivideSkip, long lists (shingles of
 many documents) aren't merged: each document leaves its long lists out as far as ``T`` allows, and a partner must then turn up
-in at least one of its ``n - T + 1`` shortest remaining lists. Those are merged, by sorting over the cluster, and yield candidates. A
-candidate is settled by binary probes of its sorted set, long lists included, against ``T``.
+at least ``l`` times in its ``n - T + l`` shortest remaining lists, ``l`` a tenth of the smaller set. Those are merged, by sorting over the
+cluster, and occurrences are counted by pair. A pair that occurs often enough is settled by binary probes of the larger sorted
+set, long lists included, against ``T``.
 
 1. Equal sets become one representative; only it goes on.
 2. Which lists are long is told by counts of hashed shingles, in a bitmap of fixed size. A bit only decides the order in which lists are used, so
@@ -36,11 +37,13 @@ from daybook.operators.skew import lookup
 
 WIDTH, PERCENT = 5, 75
 #: Bits of the table of long lists, and the count in one task and in all from which a list is long.
-BITS, LOCAL, LONG = 24, 4, 40
+BITS, LOCAL, LONG = 24, 3, 8
 #: Parts of the hash space whose smallest hashes group likely copies.
 PARTS = 6
 #: Partners of one centre that are compared in one task.
 STAR = 500
+#: Documents of a list up to which all its pairs are looked at in one step.
+SMALL_LIST = 400
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,10 +89,18 @@ def required(x, y, percent: int = PERCENT):
     return -(-percent * (x + y) // (100 + percent))
 
 
+def occurrences(n):
+    """How often a partner must turn up in the short lists of a set of ``n``; of two sets the smaller number counts."""
+    return n // 10 + 1
+
+
 def short_prefix(shingles: np.ndarray, long_lists: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The ``n - T + 1`` lists that a document looks for partners in, ``T`` the least that any partner shares: short lists first, each kind by hash."""
+    """The ``n - T + l`` lists that a document looks for partners in, ``T`` the least that any partner shares: short lists first, each kind by hash.
+
+    Of the shingles that two sets share, the first ``l`` in this order have at least ``T - l`` shared ones after them in either set, so both prefixes hold them."""
     n = len(shingles)
-    keep = n - -(-percent * n // 100) + 1
+    least = -(-percent * n // 100)
+    keep = n - least + min(occurrences(n), least)
     is_long = long_lists[shingles >> np.uint64(64 - BITS)]
     if int((~is_long).sum()) >= keep:
         return shingles[~is_long][:keep]
@@ -173,44 +184,68 @@ def merged_lists(docs: DataFrame, bitmap: np.ndarray, key: str, text: str, perce
 
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` from lists of ``h, id, n, part``: documents of one list with sizes that allow a link and different parts. In each list the largest part isn't compared with itself, whatever its size."""
+    """``a, b`` from lists of ``h, id, n, part``: documents with sizes that allow a link and different parts that occur together often enough. In each list the largest part isn't compared with itself, whatever its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids, n, part = rows[:, 1], rows[:, 2], rows[:, 3]
+        def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n, part = rows[:, 2], rows[:, 3]
+            if len(rows) <= SMALL_LIST:
+                left, right = np.triu_indices(len(rows), 1)
+                ok = (part[left] != part[right]) & (100 * n[left] >= percent * n[right])
+                return left[ok], right[ok]
             kinds, which, counts = np.unique(part, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                return
-            minor = np.flatnonzero(which != counts.argmax())
-            for i in minor.tolist():
+            largest = which == counts.argmax()
+            some = [np.zeros((2, 0), dtype=np.int64)]
+            for i in np.flatnonzero(~largest).tolist():
                 lo, hi = np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
                 others = np.arange(lo, hi)
-                others = others[(which[lo:hi] != which[i]) & ((which[lo:hi] == counts.argmax()) | (others > i))]
-                if len(others):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[others])), pa.array(np.maximum(ids[i], ids[others]))], names=["a", "b"])
+                others = others[(which[lo:hi] != which[i]) & (largest[lo:hi] | (others > i))]
+                some.append(np.stack([np.full(len(others), i), others]))
+            left, right = np.concatenate(some, axis=1)
+            return left, right
 
+        def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of complete lists, many in a batch. Lists of one part, nearly all, are told apart without a loop."""
+            if not len(rows):
+                return
+            starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+            mixed = np.flatnonzero(np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts))
+            stops = np.append(starts[1:], len(rows))
+            found, size = [], 0
+            for lo, hi in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
+                left, right = pairs(rows[lo:hi])
+                found.append((left + lo, right + lo))
+                size += len(left)
+                if size >= 50_000:
+                    yield made(rows, found)
+                    found, size = [], 0
+            if size:
+                yield made(rows, found)
+
+        def made(rows: np.ndarray, found: list) -> pa.RecordBatch:
+            left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b = rows[left, 1], rows[right, 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(occurrences(np.minimum(rows[left, 2], rows[right, 2])))], names=["a", "b", "least"])
+
+        held: list[np.ndarray] = []
         for batch in batches:
             rows = np.stack([np.asarray(batch.column(c)) for c in ("h", "id", "n", "part")], axis=1)
             if not len(rows):
                 continue
-            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            groups = np.split(rows, cuts)
-            if held and held[0][0, 0] == groups[0][0, 0]:
-                held.append(groups.pop(0))
-            if groups:
-                if held:
-                    yield from pairs(np.concatenate(held))
-                for g in groups[:-1]:
-                    if len(g) > 1:
-                        yield from pairs(g)
-                held = [groups[-1]]
+            held.append(rows)
+            last = rows[-1, 0]
+            if rows[0, 0] == last and held[0][0, 0] == last:
+                continue  # still the same list
+            joined = np.concatenate(held)
+            cut = int(np.searchsorted(joined[:, 0], last))
+            yield from whole(joined[:cut])
+            held = [joined[cut:]]
         if held:
-            yield from pairs(np.concatenate(held))
+            yield from whole(np.concatenate(held))
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lists.select("h", "id", "n", "part").repartition(n, "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    met = lists.select("h", "id", "n", "part").repartition(n, "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long, least long")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
 
 
 def compare(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -265,10 +300,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     firsts = save(keyed.groupBy("g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "firsts")
     near = lookup(keyed, firsts, "g", "size", keyed.count(), ["first"]).where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     near = save(near, "near")
-    sizes = reps.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    sizes = reps.select("id", "n").distinct()  # an id with several texts has several sizes
     fits = near.join(sizes.select(F.col("id").alias("b"), "n"), "b").withColumnRenamed("n", "n_b")
     fits = lookup(fits, near.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(sizes.select(F.col("id").alias("a"), "n"), "a"), "a", "size", near.count(), ["n"])
-    fits = fits.where((F.col("n") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n") * 100)).select("a", "b")
+    fits = fits.where((F.col("n") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n") * 100)).select("a", "b").distinct()
     first_links = save(compare(docs, save(fits, "likely"), key, text, percent), "links")
     tied = connected_components(first_links, "a", "b")
     nodes = save(sizes.join(tied, sizes["id"] == tied["node"], "left").select("id", "n", F.coalesce("component", "id").alias("part")), "nodes")
