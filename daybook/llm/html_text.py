@@ -201,13 +201,13 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
 def _parsed(rows: DataFrame, html: str) -> DataFrame:
     """``rows`` with ``row, blocks, subtrees`` in place of the html. The other columns cross the worker untouched, so nothing is joined back by page."""
     others = [f for f in rows.schema.fields if f.name not in (html, "__row")]
-    block = pa.struct([("text", pa.string()), ("main", pa.bool_()), ("chain", pa.list_(pa.int64()))])
-    schema = "row long, blocks array<struct<text:string, main:boolean, chain:array<long>>>, subtrees array<long>"
+    block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))])
+    schema = "row long, blocks array<struct<text:string, chain:array<long>>>, subtrees array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_steps(batches, html, 1_000_000):
             parsed = [parse(x or "") for x in batch.column(html).to_pylist()]
-            blocks = pa.array([[{"text": t.encode("utf-8", "replace").decode(), "main": m, "chain": c} for t, m, c in found] for found, _ in parsed], pa.list_(block))
+            blocks = pa.array([[{"text": t.encode("utf-8", "replace").decode(), "chain": c} for t, main, c in found if main] for found, _ in parsed], pa.list_(block))
             subtrees = pa.array([s for _, s in parsed], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("__row"), blocks, subtrees, *(batch.column(f.name) for f in others)], names=["row", "blocks", "subtrees", *(f.name for f in others)])
 
@@ -224,10 +224,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     hosts = parsed.groupBy("__host").agg(F.count(F.lit(1)).alias("pages"))
     seen = parsed.select("__host", F.explode("subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     templates = save(seen.join(hosts, "__host").where(F.col("n") >= min_share * F.col("pages")).select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("gone")), "templates")
-    placed = parsed.select("row", F.posexplode("blocks").alias("i", "block"), "__host").where("block.main").select("row", "i", F.explode("block.chain").alias("code"), "__host").select("row", "i", F.xxhash64("__host", "code").alias("template"))
-    total = parsed.select(F.sum(F.size("blocks"))).first()[0] or 1
+    # only pages whose main text has a subtree that could be a template meet the templates; the others are done
+    open_pages = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
+    placed = parsed.where(open_pages).select("row", F.posexplode("blocks").alias("i", "block"), "__host").select("row", "i", F.explode("block.chain").alias("code"), "__host").select("row", "i", F.xxhash64("__host", "code").alias("template"))
+    total = parsed.select(F.sum(F.size("subtrees"))).first()[0] or 1
     gone = lookup(placed, templates, "template", "n", total, ["gone"]).where("gone").groupBy("row").agg(F.collect_set("i").alias("gone"))
-    marked = parsed.join(gone, "row", "left")
-    keep = F.filter(F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), (b["main"] & ~F.coalesce(F.array_contains("gone", i), F.lit(False))).alias("main"))), lambda b: b["main"])
-    text = F.array_join(F.transform(keep, lambda b: b["text"]), " ")
+    marked = parsed.where(open_pages).join(gone, "row", "left").unionByName(parsed.where(~open_pages).withColumn("gone", F.lit(None).cast("array<int>")))
+    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.array_contains("gone", i)))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
     return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*others, "text", "n_chars")
