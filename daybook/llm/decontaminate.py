@@ -125,22 +125,23 @@ def _text(points: np.ndarray) -> str:
 
 def _band(pattern: np.ndarray, region: np.ndarray, most: int, anchored: bool) -> tuple[int, int] | None:
     """Fewest edits of the whole pattern against a part of the region, if at most ``most``, and where the part ends. One row a pattern letter, one cell a diagonal; ``anchored`` parts begin at the region's start."""
-    k = len(region) - len(pattern) + most + 1
+    k = len(region) - len(pattern) + 2 * most + 1  # diagonals from ``most`` before the region's start
     if k <= 0:
         return None
     cells = np.arange(k)
-    padded = np.concatenate([region, np.zeros(most + 1, region.dtype)])
-    row = cells.copy() if anchored else np.zeros(k, dtype=np.int64)
-    far = len(pattern) + len(region)
+    padded = np.concatenate([np.zeros(most, region.dtype), region, np.zeros(most + 1, region.dtype)])
+    far = 2 * (len(pattern) + len(region) + most)
+    row = np.where(cells < most, far, cells - most) if anchored else np.maximum(most - cells, 0)
     for i, c in enumerate(pattern):
         there = padded[i : i + k]
         step = np.minimum(row + (there != c), np.concatenate([row[1:] + 1, [far]]))
         row = np.minimum.accumulate(step - cells) + cells
         if row.min() > most:
             return None
-    row = row + far * (cells + len(pattern) > len(region))  # parts must end inside the region
+    stops = cells + len(pattern) - most
+    row = row + far * ((stops > len(region)) | (stops < 0))  # parts must end inside the region
     best = int(row.argmin())
-    return (int(row[best]), best + len(pattern)) if row[best] <= most else None
+    return (int(row[best]), int(stops[best])) if row[best] <= most else None
 
 
 def align(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -148,13 +149,12 @@ def align(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int,
     exact = _text(region).find(_text(pattern))
     if exact >= 0:
         return 0, exact, exact + len(pattern)
-    found = _band(pattern, np.concatenate([region, np.zeros(most, region.dtype)]), most, False)
+    found = _band(pattern, region, most, False)
     if not found:
         return None
     edits, stop = found
-    stop = min(stop, len(region))
-    back = _band(pattern[::-1], region[:stop][::-1][: len(pattern) + most], most, True) or _band(pattern[::-1], np.concatenate([region[:stop][::-1], np.zeros(most, region.dtype)]), most, True)
-    return edits, stop - min(back[1] if back else len(pattern), stop), stop
+    back = _band(pattern[::-1], region[:stop][::-1][: len(pattern) + most], most, True)
+    return edits, stop - back[1], stop
 
 
 def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int = Q) -> list[list[dict]]:
