@@ -151,7 +151,7 @@ def test_decontamination(spark):
     found = [(r.doc_id, [x["item"] for x in r.leaks]) for r in got]
     assert sorted(found) == sorted([(0, []), (1, [2]), (2, [3]), (3, []), (4, []), (5, []), (6, [10]), (7, [1]), (7, [1]), (8, [0])])
     hit = next(r for r in got if r.doc_id == 1).leaks[0]
-    assert docs[1][1][hit.start : hit.stop] == items[2][1] and hit.edits == 0
+    assert docs[1][1][hit.start : hit.stop] in items[2][1] and hit.stop - hit.start > 150 and hit.edits == 0  # of a long item, its best window
     assert decontaminate.mark(spark.createDataFrame(docs[:1], "doc_id long, text string"), bench.where("false")).first().leaks == []
 
 
@@ -159,12 +159,12 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(7)
-    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 3, 50, 400, 2500, 9000])))) for i in range(60)] + [(100, None), (101, ""), (5, "twice"), (5, "twice"), (102, "Ünïcode “quotes” don't 12 字 \x1c x" * 50)]
+    docs = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 3, 50, 400, 2500, 9000])))) for i in range(60)] + [(100, None), (101, ""), (105, "twice"), (105, "twice"), (102, "Ünïcode “quotes” don't 12 字 \x1c x" * 50)]
     got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), TOKENIZER).toPandas()
     plain = Tokenizer.from_file(TOKENIZER)
     ids = {i: np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4") for i, t in docs}
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id]) for r in got.itertuples())
-    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(x) * (2 if i == 5 else 1) for i, x in ids.items()}
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: len(x) * (2 if i == 105 else 1) for i, x in ids.items()}
     for _, rows in got.sort_values("offset").groupby("sequence_id"):
         assert (rows.offset + rows.length).tolist()[:-1] == rows.offset.tolist()[1:] and rows.offset.iloc[0] == 0 and rows.length.sum() <= packing.WINDOW
     assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
