@@ -6,7 +6,8 @@ every block in one is deleted. What a template count can't see, furniture whose
 element, role and class name. The text is that of the page's article (the longest ``article``, else ``main``, else the
 whole body).
 
-Inside the article only link-dense subtrees can be templates, so an article that a site prints on many pages stays.
+Inside the article recurring subtrees are templates too. A page whose templates would be more than half of its article is a
+reprint: an article that a site prints on many pages stays, and only link-dense templates leave it.
 
 Null and empty html, and pages without text, give an empty string and 0. Unclosed and misnested elements are closed where the next block needs it; unknown ones are
 inline. Repeated rows are treated each. A null url is a host of its own, the empty one. Extra columns pass through; ``text`` and ``n_chars`` of the input are replaced.
@@ -77,21 +78,21 @@ class Page(HTMLParser):
         self.root = self.node
         self.blocks: list[tuple[str, Node]] = []
         self.buffer: list[str] = []
+        self.anchors = self.in_links = 0  #: open ``a`` elements, and letters of the buffer that came while one was open
         self.closed: list[Node] = []
 
     def _flush(self) -> None:
         if self.buffer:
             text = SPACE.sub(" ", "".join(self.buffer)).strip()
+            linked, self.in_links = min(self.in_links, len(text)), 0
             self.buffer.clear()
             if text:
                 self.blocks.append((text, self.node))
                 self.node.digest.update(text)
-                linked = False
                 at: Node | None = self.node
                 while at:
                     at.chars += len(text)
-                    linked = linked or at.tag == "a"
-                    at.linked += len(text) * linked
+                    at.linked += linked
                     at = at.parent
 
     def _close(self) -> None:
@@ -102,6 +103,7 @@ class Page(HTMLParser):
         if node.parent:
             node.parent.digest.update(f"<{node.code}>")
             self.node = node.parent
+        self.anchors -= node.tag == "a"
         self.closed.append(node)
 
     def _close_until(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
@@ -126,6 +128,7 @@ class Page(HTMLParser):
                 self.buffer.append(" ")
             return
         self.node = Node(tag, self.node, dict(attrs))
+        self.anchors += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
@@ -149,6 +152,7 @@ class Page(HTMLParser):
             return
         # an inline element: its text goes on into the block around it
         node.code = node.digest.intdigest() - (1 << 63)
+        self.anchors -= node.tag == "a"
         self.node = node.parent
 
     def handle_data(self, data: str) -> None:
@@ -157,6 +161,8 @@ class Page(HTMLParser):
         if self.node.dropped and self.buffer and self.node.tag not in BLOCKS and self.node.parent and not self.node.parent.dropped:
             return  # furniture in the middle of a sentence: its words aren't the block's
         self.buffer.append(data)
+        if self.anchors:
+            self.in_links += len(SPACE.sub(" ", data))
 
     def finish(self) -> None:
         self.close()
@@ -165,8 +171,8 @@ class Page(HTMLParser):
         self._flush()
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """``(blocks, subtrees)``: text, whether it may be main text, and the hashes of the subtrees around it that count as possible templates; and these hashes once each."""
+def parse(html: str) -> tuple[list[tuple[str, bool, list[tuple[int, bool]]]], list[int]]:
+    """``(blocks, subtrees)``: text, whether it may be main text, the hashes of the subtrees around it that count as possible templates, each with whether it is in the article and not link-dense; and these hashes once each."""
     page = Page()
     page.feed(html)
     page.finish()
@@ -181,7 +187,7 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     blocks, seen = [], {}
     for text, node in page.blocks:
         inside = within is None
-        chain: list[int] = []
+        chain: list[tuple[int, bool]] = []
         path = []
         at: Node | None = node
         while at and at.tag not in ("#page", "html", "body"):
@@ -191,8 +197,8 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         for n in path:
             if n is within:
                 break
-            if n.code and (not (within and inside) or 2 * n.linked > n.chars):
-                chain.append(n.code)
+            if n.code:
+                chain.append((n.code, bool(within and inside and 2 * n.linked <= n.chars)))
                 seen[n.code] = None
         blocks.append((text, inside and not node.dropped, chain))
     return blocks, list(seen)
@@ -201,13 +207,13 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
 def _parsed(rows: DataFrame, html: str) -> DataFrame:
     """``rows`` with ``row, blocks, subtrees`` in place of the html. The other columns cross the worker untouched, so nothing is joined back by page."""
     others = [f for f in rows.schema.fields if f.name not in (html, "__row")]
-    block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))])
-    schema = "row long, blocks array<struct<text:string, chain:array<long>>>, subtrees array<long>"
+    block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.struct([("code", pa.int64()), ("soft", pa.bool_())])))])
+    schema = "row long, blocks array<struct<text:string, chain:array<struct<code:long, soft:boolean>>>>, subtrees array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_steps(batches, html, 1_000_000):
             parsed = [parse(x or "") for x in batch.column(html).to_pylist()]
-            blocks = pa.array([[{"text": t.encode("utf-8", "replace").decode(), "chain": c} for t, main, c in found if main] for found, _ in parsed], pa.list_(block))
+            blocks = pa.array([[{"text": t.encode("utf-8", "replace").decode(), "chain": [{"code": x, "soft": y} for x, y in c]} for t, main, c in found if main] for found, _ in parsed], pa.list_(block))
             subtrees = pa.array([s for _, s in parsed], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("__row"), blocks, subtrees, *(batch.column(f.name) for f in others)], names=["row", "blocks", "subtrees", *(f.name for f in others)])
 
@@ -226,10 +232,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     templates = save(seen.join(hosts, "__host").where(F.col("n") >= min_share * F.col("pages")).select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("gone")), "templates")
     # only pages whose main text has a subtree that could be a template meet the templates; the others are done
     open_pages = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
-    placed = parsed.where(open_pages).select("row", F.posexplode("blocks").alias("i", "block"), "__host").select("row", "i", F.explode("block.chain").alias("code"), "__host").select("row", "i", F.xxhash64("__host", "code").alias("template"))
+    codes = parsed.where(open_pages).select("row", F.posexplode("blocks.chain").alias("i", "chain"), "__host").select("row", "i", F.explode("chain").alias("at"), "__host")
+    placed = codes.select("row", "i", F.xxhash64("__host", "at.code").alias("template"), "at.soft")
     total = parsed.select(F.sum(F.size("subtrees"))).first()[0] or 1
-    gone = lookup(placed, templates, "template", "n", total, ["gone"]).where("gone").groupBy("row").agg(F.collect_set("i").alias("gone"))
-    marked = parsed.where(open_pages).join(gone, "row", "left").unionByName(parsed.where(~open_pages).withColumn("gone", F.lit(None).cast("array<int>")))
-    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, i: ~F.array_contains("gone", i)))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), " ")
-    return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*others, "text", "n_chars")
+    gone = lookup(placed, templates, "template", "n", total, ["gone"]).where("gone").groupBy("row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("soft"))
+    none = F.array().cast("array<int>")
+    texts = lambda rows: rows.select("row", *others, F.col("blocks.text").alias("__texts"))  # noqa: E731 - the hashes have done their work and aren't shuffled
+    marked = texts(parsed.where(open_pages)).join(gone, "row", "left").unionByName(texts(parsed.where(~open_pages)).withColumn("gone", none).withColumn("soft", none))
+    left = F.filter("__texts", lambda t, i: ~F.array_contains(F.coalesce("gone", none), i))
+    fresh = F.filter("__texts", lambda t, i: ~F.array_contains(F.concat(F.coalesce("gone", none), F.coalesce("soft", none)), i))
+    size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+    marked = marked.withColumn("__left", left).withColumn("__fresh", fresh)
+    kept = F.when(2 * size("__fresh") >= size("__left"), F.col("__fresh")).otherwise(F.col("__left"))  # else a reprint
+    marked = marked.withColumn("text", F.array_join(kept, " ")).withColumn("n_chars", F.length("text").cast("long"))
+    return marked.select(*others, "text", "n_chars")

@@ -42,6 +42,24 @@ def test_templates_of_a_host_go_and_repeated_articles_stay(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_inside_articles_go(spark):
+    story = lambda i: "".join(f"<p>story {i} paragraph {k} has words of its own, {i * k} of them</p>" for k in range(6))
+    links = "<ul><li><a href=/a>first other story</a><li><a href=/b>second other story</a></ul>"
+    page = lambda i: f"<article><h1>title {i}</h1>{story(i)}<div><p>Our desk asks every reader to write in.</p></div>{links}</article>"
+    rows = [(i, "http://a.example/x", page(i)) for i in range(8)] + [(100 + i, "http://b.example/x", page(1) + f"<!-- {i} -->") for i in range(8)] + [(200, "http://c.example/x", page(2))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {i} " + " ".join(f"story {i} paragraph {k} has words of its own, {i * k} of them" for k in range(6)) for i in range(8))
+    assert "story 1 paragraph 5" in got[103] and "Our desk" in got[103] and "other story" not in got[103]  # a reprint loses its link list only
+    assert "Our desk" in got[200] and "second other story" in got[200]  # a single page
+
+
+def test_linked_text_is_counted():
+    page = html_text.Page()
+    page.feed("<article><ul><li><a href=/a>one two</a></li><li>three <a href=/b><b>four</b> five</a> six</li></ul><p>seven</p></article>")
+    page.finish()
+    assert {n.tag: (n.chars, n.linked) for n in page.closed if n.tag in ("ul", "p", "article")} == {"ul": (26, 16), "p": (5, 0), "article": (31, 16)}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "ü\r\n\r\nWARC/1.1\r\n" * 20
     rows = [(5, "http://WWW.a.example/B/", big), (2, "http://b.example", big), (9, None, big), (1, "http://a.example/", "small"), (3, "http://a.example/", "small"), (4, "http://a.example/\r\nX: y", None), (7, "http://c.example", "z" * 100)]
