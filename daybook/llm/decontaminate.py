@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are reduced to lower-case letters and digits with single spaces between. Benchmark items are matched whole, or, where they are longer than
-``window`` characters, by windows of that length at half that distance. A window of ``m`` characters within ``e`` edits of a region of a text
+``window`` characters, by windows of that length at half that distance; and all by windows of ``SHORT`` characters, ``STRIDE`` apart,
+so that every verbatim quotation of at least ``SURE`` characters holds a whole window. A window of ``m`` characters within ``e`` edits of a region of a text
 shares at least ``m - q + 1 - q * e`` character q-grams with it, all on diagonals that differ by at most ``e``. So shared q-grams are
 counted in overlapping bands of diagonals, bands that reach the bound are kept, and a banded alignment verifies them.
 
@@ -29,6 +30,9 @@ from daybook.llm.text import steps
 #: Benchmark characters that are matched in one pass over the documents.
 BLOCK_CHARS = 4_000_000
 Q, RATE, WINDOW = 16, 0.05, 200
+#: Windows for partial quotations, and the length from which a quotation is sure to hold one.
+SHORT, STRIDE = 64, 16
+SURE = SHORT + STRIDE - 1
 _BITS = 22
 _kept: np.ndarray | None = None
 
@@ -68,6 +72,7 @@ class Windows:
     """Windows of one block of items, and the sorted q-grams that they hold."""
 
     item: list
+    part: list[bool]  # a short window
     points: list[np.ndarray]
     budget: np.ndarray
     least: np.ndarray
@@ -83,7 +88,7 @@ class Windows:
 
 
 def prepare(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, window: int = WINDOW) -> Windows:
-    out = Windows([], [], np.zeros(0, int), np.zeros(0, int), [], np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
+    out = Windows([], [], [], np.zeros(0, int), np.zeros(0, int), [], np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
     budget, least, g, of, at = [], [], [], [], []
     for item, text in items:
         points, _ = normalise((text or "").lower())
@@ -93,9 +98,11 @@ def prepare(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, win
         if len(points) < q:
             out.short.append((item, _text(points)))
             continue
-        starts = [0] if len(points) <= window else sorted({*range(0, len(points) - window, window // 2), len(points) - window})
-        for s in starts:
-            part = points[s : s + min(window, len(points))]
+        cuts = [(s, window) for s in _starts(len(points), window, window // 2)]
+        if SHORT < min(len(points), window):
+            cuts += [(s, SHORT) for s in _starts(len(points), SHORT, STRIDE)]
+        for s, size in cuts:
+            part = points[s : s + size]
             m = len(part)
             e = min(int(rate * m), (m - q) // q)
             h = grams(part, q)
@@ -103,6 +110,7 @@ def prepare(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, win
             of.append(np.full(len(h), len(out.item)))
             at.append(np.arange(len(h)))
             out.item.append(item)
+            out.part.append(size < window)
             out.points.append(part)
             budget.append(e)
             least.append(m - q + 1 - q * e)
@@ -114,6 +122,10 @@ def prepare(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, win
     return out
 
 
+def _starts(n: int, window: int, stride: int) -> list[int]:
+    return [0] if n <= window else sorted({*range(0, n - window, stride), n - window})
+
+
 def _trim(points: np.ndarray) -> np.ndarray:
     solid = np.flatnonzero(points != 32)
     return points[solid[0] : solid[-1] + 1] if len(solid) else points[:0]
@@ -158,13 +170,13 @@ def align(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int,
 
 
 def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int = Q) -> list[list[dict]]:
-    """For each text its matched items, each at its best place: ``item, edits`` and the range of characters of the text."""
+    """For each text its matched items, each at its best place, that of a short window only where no other matches: ``item, edits`` and the range of characters of the text."""
     low = [t.lower() for t in texts]
     parts = [normalise(t) for t in low]
     sizes = np.array([len(p) + 1 for p, _ in parts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
     flat = np.concatenate([x for p, _ in parts for x in (p, np.zeros(1, np.uint32))]) if parts else np.zeros(0, np.uint32)
-    best: list[dict[object, tuple[int, int, int]]] = [{} for _ in texts]
+    best: list[dict[object, tuple[bool, int, int, int]]] = [{} for _ in texts]
     if len(flat) >= q and len(windows.gram):
         h = grams(flat, q)
         hit = np.flatnonzero(bitmap[h >> np.uint64(64 - _BITS)])
@@ -189,18 +201,18 @@ def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int =
             region = points[start : b * width - WINDOW + width + 2 * e + len(windows.points[w])]
             found = align(windows.points[w], region, e)
             if found:
-                this = (found[0], start + found[1], start + found[2])
+                this = (windows.part[w], found[0], start + found[1], start + found[2])
                 best[d][windows.item[w]] = min(best[d].get(windows.item[w], this), this)
     for item, short in windows.short:
         for d, (points, _) in enumerate(parts):
             at = f" {_text(points)} ".find(f" {short} ")
             if at >= 0:
-                best[d].setdefault(item, (0, at, at + len(short)))
+                best[d].setdefault(item, (False, 0, at, at + len(short)))
     out = []
     for d, found in enumerate(best):
         place, same = parts[d][1], len(low[d]) == len(texts[d])
         rows = []
-        for item, (edits, s, t) in found.items():
+        for item, (_, edits, s, t) in found.items():
             stop = max(s + 1, min(t, len(place)))
             rows.append({"item": item, "edits": edits, "start": int(place[s]) if same else None, "stop": int(place[stop - 1]) + 1 if same else None})
         out.append(sorted(rows, key=lambda r: (r["item"] is None, r["item"])))

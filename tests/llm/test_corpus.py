@@ -155,6 +155,19 @@ def test_decontamination(spark):
     assert decontaminate.mark(spark.createDataFrame(docs[:1], "doc_id long, text string"), bench.where("false")).first().leaks == []
 
 
+@pytest.mark.parametrize("size", [81, 195, 246, 384])
+def test_quotations_at_every_offset(size):
+    rng = random.Random(size)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    item = " ".join(words)[:size].strip().ljust(size, "z")
+    other = lambda: " ".join("".join(rng.choice("klmnopqrst") for _ in range(5)) for _ in range(30))
+    windows = decontaminate.prepare([(7, item)])
+    docs = [f"{other()} {item[i : i + decontaminate.SURE]} {other()}" for i in range(size - decontaminate.SURE + 1)] + [other() for _ in range(20)]
+    found = [[x["item"] for x in r] for r in decontaminate.find_leaks(docs, windows, windows.bitmap())]
+    assert found == [[7]] * (size - decontaminate.SURE + 1) + [[]] * 20
+    assert decontaminate.find_leaks([item], windows, windows.bitmap())[0][0]["stop"] == min(size, decontaminate.WINDOW)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
