@@ -73,3 +73,13 @@ def test_graph_motifs(spark, whole_graph):
         officials[agency].add(person)
     want = {(m, c, a): " | ".join(sorted(by_client[c] & officials[a])) for a, c in paid for m in members[c] if by_client[c] & officials[a]}
     assert {(r.member, r.client, r.agency): r.lobbyists for r in plans.QUERIES["o37"](spark, SF).collect()} == want
+
+
+def test_search_index_has_every_name(spark):
+    want = set()
+    for kind, table, column in (("lobbyist", "supplier", "s_name"), ("firm", "nation", "n_name"), ("client", "customer", "c_name"), ("agency", "part", "p_brand")):
+        want |= {(kind, name) for (name,) in rows(table, column)}
+    got = [(r.type, r.name) for r in plans.QUERIES["o40"](spark, SF).collect()]
+    assert len(got) == len(want) > 500 and set(got) == want
+    places = ["lobbyist", "firm", "client", "agency"]
+    assert got == sorted(got, key=lambda r: (places.index(r[0]), r[1]))
