@@ -83,3 +83,18 @@ def test_search_index_has_every_name(spark):
     assert len(got) == len(want) > 500 and set(got) == want
     places = ["lobbyist", "firm", "client", "agency"]
     assert got == sorted(got, key=lambda r: (places.index(r[0]), r[1]))
+
+
+def test_role_scan_ranks_all_lobbyists(spark, tables):
+    filings, lines = tables
+    seen = defaultdict(lambda: (set(), set(), set()))
+    for k, person, _, _ in lines:
+        if k in filings:
+            _, firm, client, income, year, _, _ = filings[k]
+            for group, value in zip(seen[person, firm], (client, year, income), strict=True):
+                group.add(value)
+    score = {pair: 10 + sum(income) / 1e6 + 0.5 * len(clients) for pair, (clients, _, income) in seen.items()}
+    want = sorted(score.items(), key=lambda x: (-round(x[1], 4), x[0]))[:50]
+    got = plans.QUERIES["o39"](spark, SF).collect()
+    assert [(r.lobbyist_name, r.registrant_name) for r in got] == [pair for pair, _ in want]
+    assert all(r.score == pytest.approx(s, abs=1e-4) and r.clients == len(seen[p][0]) and r.first_year == min(seen[p][1]) for r, (p, s) in zip(got, want, strict=True))
