@@ -98,3 +98,21 @@ def test_role_scan_ranks_all_lobbyists(spark, tables):
     got = plans.QUERIES["o39"](spark, SF).collect()
     assert [(r.lobbyist_name, r.registrant_name) for r in got] == [pair for pair, _ in want]
     assert all(r.score == pytest.approx(s, abs=1e-4) and r.clients == len(seen[p][0]) and r.first_year == min(seen[p][1]) for r, (p, s) in zip(got, want, strict=True))
+
+
+def test_firm_counts_have_all_clients(spark, tables):
+    want = defaultdict(lambda: [0, 0])
+    for number, *_, status in tables[0].values():
+        want[str(number)][status != "F"] += 1
+    assert {r.firm: [r.house_filings, r.senate_filings] for r in plans.QUERIES["o29_firms"](spark, SF).collect()} == want
+
+
+def test_firm_income_ranks_all_firms(spark, tables):
+    income, n = defaultdict(float), defaultdict(int)
+    for _, firm, _, price, year, quarter, _ in tables[0].values():
+        income[firm, f"{year}-{quarter}"] += price
+        n[firm, f"{year}-{quarter}"] += 1
+    want = sorted(income, key=lambda k: (-round(income[k], 2), k))[:100]
+    got = plans.QUERIES["o31"](spark, SF).collect()
+    assert [(r.registrant_name, r.quarter) for r in got] == want
+    assert all(r.filings == n[k] and r.income == pytest.approx(income[k], abs=0.02) for r, k in zip(got, want, strict=True))
