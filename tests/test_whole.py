@@ -1,7 +1,9 @@
 """Queries over whole tables, against rows counted here; on sf0.01, where ids go beyond the cuts that the queries once made."""
 
-from collections import defaultdict
+import datetime as dt
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -116,3 +118,20 @@ def test_firm_income_ranks_all_firms(spark, tables):
     got = plans.QUERIES["o31"](spark, SF).collect()
     assert [(r.registrant_name, r.quarter) for r in got] == want
     assert all(r.filings == n[k] and r.income == pytest.approx(income[k], abs=0.02) for r, k in zip(got, want, strict=True))
+
+
+def test_status_has_all_events(spark):
+    got = {r.user_id: r.n_events for r in plans.QUERIES["o38"](spark, SF).collect()}
+    assert got == Counter(user for (user,) in rows("events", "user_id"))
+
+
+def test_status_of_small_logs(spark, tmp_path):
+    logs = {3: [("signup", 0), ("purchase", 99)], 6: [("signup", 0), ("error", 200)], 9: [("signup", 0), ("error", 50)], 12: [("signup", 0), ("error", 1)], 15: [("signup", 0)], 18: [("signup", 0), ("view", 0)], 21: [("signup", 0), ("click", 0)], 24: [("signup", 0), ("view", 0)]}
+    late = {24}
+    at = [(u, kind, value, dt.datetime(2024, 1, 1 if u in late else 30)) for u, events in logs.items() for kind, value in events]
+    user, kind, value, ts = map(list, zip(*at, strict=True))
+    schema = pq.read_schema(f"{SF}/events.parquet")
+    made = {"event_id": range(len(at)), "user_id": user, "event_type": kind, "value": value, "ts": ts}
+    pq.write_table(pa.table({f.name: pa.array(list(made[f.name]), f.type) if f.name in made else pa.nulls(len(at), f.type) for f in schema}), str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.status for r in plans.QUERIES["o38"](spark, str(tmp_path)).collect()}
+    assert got == {3: "responded", 6: "escalated", 9: "closed_response", 12: "closed_no_response", 15: "sent", 18: "acknowledged", 21: "followed_up", 24: "no_response_by_deadline"}
