@@ -1,7 +1,7 @@
 """Main text of web pages, with removal of the templates that a site repeats.
 
 Each page is parsed once into text blocks. Subtrees of elements that may be page furniture are hashed with their text
-and counted by host in Spark; those that recur on at least ``min_pages`` pages and ``min_share`` of a host's pages are templates, and
+and counted by host in Spark; those that recur on at least ``min_pages`` pages of a host, however many it has, are templates, and
 every block in one is deleted. What a template count can't see, furniture whose words differ from page to page, goes by
 element, role and class name. The text is that of the page's article (the longest ``article``, else ``main``, else the
 whole body).
@@ -220,16 +220,15 @@ def _parsed(rows: DataFrame, html: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)]))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html."""
 
     others = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     rows = pages.withColumn("__row", F.monotonically_increasing_id())
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     parsed = save(_parsed(rows.select("__row", html, host.alias("__host"), *others), html), "blocks")
-    hosts = parsed.groupBy("__host").agg(F.count(F.lit(1)).alias("pages"))
     seen = parsed.select("__host", F.explode("subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    templates = save(seen.join(hosts, "__host").where(F.col("n") >= min_share * F.col("pages")).select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("gone")), "templates")
+    templates = save(seen.select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("gone")), "templates")
     # only pages whose main text has a subtree that could be a template meet the templates; the others are done
     open_pages = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
     codes = parsed.where(open_pages).select("row", F.posexplode("blocks.chain").alias("i", "chain"), "__host").select("row", "i", F.explode("chain").alias("at"), "__host")

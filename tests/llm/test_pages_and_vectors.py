@@ -53,6 +53,13 @@ def test_templates_inside_articles_go(spark):
     assert "Our desk" in got[200] and "second other story" in got[200]  # a single page
 
 
+def test_templates_of_a_section_on_large_and_small_hosts(spark):
+    page = lambda i: f"<div>section notice</div><p>words of page {i}</p>" if i < 6 else f"<p>words of page {i}</p>"
+    rows = [(1000 * h + i, f"http://h{h}.example/", page(i)) for h, n in ((0, 20), (1, 900)) for i in range(n)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[1000 * h + i] == f"words of page {i}" for h, n in ((0, 20), (1, 900)) for i in range(n))
+
+
 def test_linked_text_is_counted():
     page = html_text.Page()
     page.feed("<article><ul><li><a href=/a>one two</a></li><li>three <a href=/b><b>four</b> five</a> six</li></ul><p>seven</p></article>")
