@@ -36,11 +36,11 @@ class Bound:
     def lines(self) -> DataFrame:
         items = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
         suppliers = self.table("supplier").select("s_suppkey", "s_name", "s_nationkey")
-        parts = self.table("part").select("p_partkey", "p_name", "p_type", "p_brand")
+        parts = self.table("part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
         joined = items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"]).join(parts, items["l_partkey"] == parts["p_partkey"])
         return joined.select(
             F.col("l_orderkey").alias("filing_uuid"), F.col("l_linenumber").cast("long").alias("activity_idx"), F.col("s_name").alias("lobbyist_name"), F.col("s_nationkey").cast("long").alias("home"), F.col("p_name").alias("covered_position"),
-            F.col("p_type").alias("general_issue_code"), F.col("p_name").alias("description"), F.col("p_brand").alias("entity_name"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("suppkey"),
+            F.col("p_type").alias("general_issue_code"), F.col("p_name").alias("description"), F.col("p_brand").alias("entity_name"), F.col("l_extendedprice").alias("amount"), F.col("l_suppkey").alias("suppkey"), F.col("p_partkey").alias("part_id"), F.col("p_size").cast("long").alias("part_size"),
         )
 
     @property
@@ -56,7 +56,7 @@ FILINGS = """filings AS (SELECT o_orderkey AS filing_uuid, CAST(n_nationkey AS B
   CAST(year(o_orderdate) AS BIGINT) AS filing_year, 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS filing_period, o_orderpriority AS filing_type, o_orderstatus AS status, c_mktsegment AS segment
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 LINES = """lines AS (SELECT l_orderkey AS filing_uuid, CAST(l_linenumber AS BIGINT) AS activity_idx, s_name AS lobbyist_name, CAST(s_nationkey AS BIGINT) AS home, p_name AS covered_position, p_type AS general_issue_code, p_name AS description,
-  p_brand AS entity_name, l_extendedprice AS amount, l_suppkey AS suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+  p_brand AS entity_name, l_extendedprice AS amount, l_suppkey AS suppkey, p_partkey AS part_id, CAST(p_size AS BIGINT) AS part_size FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 PRESS = """press AS (SELECT doc_id, source AS member_name, lang AS party, source || '.example' AS domain, text, split_part(text, chr(10), 1) AS title,
   strftime(DATE '2022-01-01' + CAST(doc_id % 1000 AS INTEGER), '%Y-%m-%d') AS date FROM documents)"""
 

@@ -169,15 +169,19 @@ def house_ranking(spark, sf_dir) -> DataFrame:
     return top.withColumn("place", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("filings"))).cast("long"))  # 30 rows
 
 
-@register("o18", sql("SELECT s.filing_uuid, h.house_id, s.filing_year, s.filing_period FROM senate s LEFT JOIN house h ON h.senate_id IS NOT NULL AND (h.org_name = s.registrant_name OR h.client_name = s.client_name) AND h.client_name = s.client_name AND h.filing_year = s.filing_year AND h.filing_period = CASE s.period_name WHEN 'first_quarter' THEN 'Q1' WHEN 'second_quarter' THEN 'Q2' WHEN 'third_quarter' THEN 'Q3' ELSE 'Q4' END", FILINGS, HOUSE, SENATE))
+@register("o18", sql("SELECT s.filing_uuid, h.house_id, s.client_name, s.filing_year, s.filing_period FROM (SELECT DISTINCT senate.filing_uuid, client_name, filing_year, filing_period, period_name FROM senate JOIN lines USING (filing_uuid) WHERE suppkey = 1) s LEFT JOIN house h ON h.senate_id IS NOT NULL AND (h.org_name ILIKE '%nation_7' OR h.client_name = s.client_name) AND h.filing_year = s.filing_year AND h.filing_period = CASE s.period_name WHEN 'first_quarter' THEN 'Q1' WHEN 'second_quarter' THEN 'Q2' WHEN 'third_quarter' THEN 'Q3' ELSE 'Q4' END", FILINGS, LINES, HOUSE, SENATE))
 def reconciliation(spark, sf_dir) -> DataFrame:
-    """Equi keys (client, year, mapped period) carry the join; the OR is a residual."""
+    """One lobbyist's Senate filings with the House filings of the same year and quarter that are of a named firm or of the same client. Each side of the OR is an equi join of its own, so neither becomes a nested loop."""
     b = Bound(spark, sf_dir)
     mapped = F.create_map(*(F.lit(x) for pair in PERIODS.items() for x in pair))
-    s = senate(b).withColumn("quarter", mapped[F.col("period_name")]).alias("s")
-    h = house(b).where("senate_id IS NOT NULL").alias("h")
-    on = (F.col("h.client_name") == F.col("s.client_name")) & (F.col("h.filing_year") == F.col("s.filing_year")) & (F.col("h.filing_period") == F.col("s.quarter")) & ((F.col("h.org_name") == F.col("s.registrant_name")) | (F.col("h.client_name") == F.col("s.client_name")))
-    return s.join(h, on, "left").select("s.filing_uuid", "h.house_id", "s.filing_year", "s.filing_period")
+    mine = b.lines.where("suppkey = 1").select("filing_uuid")
+    s = senate(b).join(mine, "filing_uuid", "left_semi").select("filing_uuid", "client_name", "filing_year", "filing_period", mapped[F.col("period_name")].alias("quarter"))
+    h = house(b).where("senate_id IS NOT NULL").select("house_id", "org_name", F.col("client_name").alias("house_client"), F.col("filing_year").alias("house_year"), F.col("filing_period").alias("house_period"))
+    when = (F.col("house_year") == F.col("filing_year")) & (F.col("house_period") == F.col("quarter"))
+    by_client = s.join(h, when & (F.col("house_client") == F.col("client_name")))
+    by_firm = s.join(h.where(F.col("org_name").ilike("%nation_7")), when & ~F.col("house_client").eqNullSafe(F.col("client_name")))
+    found = by_client.unionByName(by_firm).select("filing_uuid", "house_id")
+    return s.join(found, "filing_uuid", "left").select("filing_uuid", "house_id", "client_name", "filing_year", "filing_period")
 
 
 @register("o18_counts", sql("SELECT (SELECT count(*) FROM house) AS house_filings, (SELECT count(*) FROM senate) AS senate_filings, (SELECT count(DISTINCT org_name) FROM house) AS house_firms", FILINGS, HOUSE, SENATE))
@@ -248,9 +252,9 @@ def cross_chamber(spark, sf_dir) -> DataFrame:
     return h.join(s, ["firm", "client_name", "filing_year", "filing_period"]).select("firm", "house_id", "filing_uuid")
 
 
-@register("o29_firms", sql("SELECT coalesce(h.firm, s.firm) AS firm, h.n AS house_filings, s.n AS senate_filings FROM (SELECT split_part(senate_id, '-', 1) AS firm, count(*) AS n FROM house WHERE client_name LIKE '%1' GROUP BY 1) h FULL OUTER JOIN (SELECT CAST(registrant_id AS VARCHAR) AS firm, count(*) AS n FROM senate WHERE client_name LIKE '%2' GROUP BY 1) s ON h.firm = s.firm", FILINGS, HOUSE, SENATE))
+@register("o29_firms", sql("SELECT coalesce(h.firm, s.firm) AS firm, h.n AS house_filings, s.n AS senate_filings FROM (SELECT split_part(senate_id, '-', 1) AS firm, count(*) AS n FROM house GROUP BY 1) h FULL OUTER JOIN (SELECT CAST(registrant_id AS VARCHAR) AS firm, count(*) AS n FROM senate GROUP BY 1) s ON h.firm = s.firm", FILINGS, HOUSE, SENATE))
 def firm_full_outer(spark, sf_dir) -> DataFrame:
-    """Filings of all clients. The SQL still has only those whose names end in 1 and 2."""
+    """Filings of all clients."""
     b = Bound(spark, sf_dir)
     h = house(b).groupBy(F.split_part("senate_id", F.lit("-"), F.lit(1)).alias("firm")).agg(_count("house_filings"))
     s = senate(b).groupBy(F.col("registrant_id").cast("string").alias("firm")).agg(_count("senate_filings"))
@@ -264,9 +268,9 @@ def dedup_counts(spark, sf_dir) -> DataFrame:
     return rows.agg(_count("row_count"), F.count_distinct("filing_uuid").alias("filings"), F.count_distinct("lobbyist_name").alias("people"))
 
 
-@register("o31", sql("SELECT registrant_name, CAST(filing_year AS VARCHAR) || '-' || filing_period AS quarter, round(sum(income), 2) AS income, count(*) AS filings FROM filings WHERE registrant_id < 5 GROUP BY 1, 2 ORDER BY income DESC, 1, 2 LIMIT 100", FILINGS))
+@register("o31", sql("SELECT registrant_name, CAST(filing_year AS VARCHAR) || '-' || filing_period AS quarter, round(sum(income), 2) AS income, count(*) AS filings FROM filings GROUP BY 1, 2 ORDER BY income DESC, 1, 2 LIMIT 100", FILINGS))
 def firm_income(spark, sf_dir) -> DataFrame:
-    """All firms. The SQL still has only the first five."""
+    """All firms."""
     f = Bound(spark, sf_dir).filings
     return f.groupBy("registrant_name", F.concat_ws("-", F.col("filing_year").cast("string"), "filing_period").alias("quarter")).agg(_money("income", "income"), _count("filings")).orderBy(F.desc("income"), "registrant_name", "quarter").limit(100)
 
