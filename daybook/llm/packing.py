@@ -4,9 +4,9 @@
    a window) has to be packed.
 2. The rests' lengths are counted. Shallow combinations that fill a window exactly (two equal-role lengths ``l`` and
    ``window - l``, and for each length a few splits of what is left into two) are the columns of a non-negative least
-   squares problem: how often to repeat each so that the histogram is used up. The solution is rounded down and
-   clipped to what the histogram has left.
-3. What rounding leaves over is packed greedily from the histogram, longest first, each window filled by the longest
+   squares problem: how often to repeat each so that the histogram is used up. The solution is rounded by largest remainders, as far as
+   the histogram lasts.
+3. What that leaves over is packed greedily from the histogram, longest first, each window filled by the longest
    lengths that still fit; a plan repeats until one of its lengths runs out. Windows that stay more than ``waste`` empty are
    given up: their pieces are laid end to end and cut at the window's edges.
 
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +42,23 @@ BUCKET_ROWS = 20_000
 BROADCAST_ROWS = 100_000
 
 
-#: Distinct words that a worker remembers before it starts anew.
+#: Distinct parts of words that a worker remembers before it starts anew.
 REMEMBERED = 300_000
-_CONTROLS = set("\x1c\x1d\x1e\x1f")
-#: Marks that a plain word may end with; an apostrophe can begin a token of its own.
+#: Characters that Python and Arrow take for white space and the tokenizer does not.
+_CONTROLS = "[\x1c-\x1f]"
+#: Letters whose lower case is one letter in every library, and the marks that a plain word may end with; an apostrophe can begin a token of its own.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131\u0134-\u0137\u0139-\u0148\u014a-\u017e"
+_LOWER = "".join(chr(c) for c in range(97, 0x180) if chr(c).isalpha())
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = f"^[{_LETTERS}]*[^'\\x00-\\x20A-Za-z0-9\\x7f-\\x{{10FFFF}}]*$"
 
 
 class Encoder:
-    """Ids of whole texts from a tokenizer that never joins over white space, so each distinct word is encoded once a worker.
+    """Ids of whole texts from a tokenizer that never joins over white space.
 
-    A plain word, Latin letters and then marks, is lower-cased and cut here; its two parts go to a copy of the tokenizer that has only the merges
-    left, many in one call, and come apart again at the ids that end a word. Every other word, and every text with control characters that
-    Python takes for white space and the tokenizer does not, is encoded by the tokenizer itself."""
+    A batch's distinct words are told by Arrow. A plain word, Latin letters and then marks, is lower-cased and cut there; its two parts go to a
+    copy of the tokenizer that has only the merges left, many in one call, and come apart again at the ids that end a word. Every other word, and every text
+    with control characters that Arrow takes for white space and the tokenizer does not, is encoded by the tokenizer itself. The ids of all words of a batch are gathered at once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -67,67 +72,95 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
         self.shown = {b: c for b, c in shown.items() if b != 32}  # the characters that stand for bytes in the vocabulary
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    @staticmethod
-    def _cut(word: str) -> tuple[str, str] | None:
-        low = word.lower()
-        core = low.rstrip(_TAIL)
-        if (core.isalpha() or not core) and (low.isascii() or max(low) < "\u0250"):
-            return core, low[len(core) :]
-        return None
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        text = " ".join(parts).encode().decode("latin-1").translate(self.shown)
-        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) != len(parts):
-            raise ValueError("the tokenizer's words don't end where they should")
-        data, at = ids.tobytes(), 0
-        for part, stop in zip(parts, stops, strict=True):
-            self.parts[part] = data[4 * at : 4 * stop]
-            at = stop
-
-    def learn(self, words: list[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts: dict[str, int] = {"": 0}  # part of a word, or a whole other word after a space, to its place
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)  # ids of all parts, and where each begins
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of new parts."""
+        if parts:
+            text = " ".join(parts).encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(parts):
+                raise ValueError("the tokenizer's words don't end where they should")
+            self.parts.update(zip(parts, range(len(self.begin) - 1, len(self.begin) - 1 + len(parts)), strict=True))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + stops])
+            self.flat = np.concatenate([self.flat, ids])
+
+    def _learn_whole(self, words: list[str]) -> None:
+        """Remember the ids of other words."""
+        if words:
+            found = [self._encode(w) for w in words]
+            self.parts.update((" " + w, len(self.begin) - 1 + i) for i, w in enumerate(words))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in found])])
+            self.flat = np.concatenate([self.flat, *found])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Place of each of ``parts``."""
+        told = parts.dictionary_encode()
+        known = told.dictionary.to_pylist()
+        self._learn([x for x in known if x not in self.parts])
+        return np.fromiter(map(self.parts.__getitem__, known), dtype=np.int64, count=len(known))[told.indices.to_numpy()] if known else np.zeros(0, np.int64)
+
+    def _words(self, words: pa.Array) -> np.ndarray:
+        """Places of the two parts of each distinct word."""
         if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        cuts = [self._cut(w) for w in words]
-        new = list(dict.fromkeys(p for c in cuts if c for p in c if p not in self.parts))
-        if new:
-            self._learn_parts(new)
-        for word, cut in zip(words, cuts, strict=True):
-            self.words[word] = self.parts[cut[0]] + self.parts[cut[1]] if cut else self._encode(word)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        self.learn([w for w in fresh if w not in self.words])
-        look = self.words
-        return [self._encode(t) if _CONTROLS.intersection(t) else b"".join([look[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+            self._forget()
+        plain = pc.match_substring_regex(words, _PLAIN)
+        out = np.zeros((len(words), 2), dtype=np.int64)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        low = pc.utf8_lower(words.filter(plain))
+        core = pc.utf8_rtrim(low, characters=_TAIL)
+        tailed = np.flatnonzero((pc.binary_length(low).to_numpy() != pc.binary_length(core).to_numpy()))
+        out[at, 0] = self._places(core)
+        some = low.take(pa.array(tailed))
+        out[at[tailed], 1] = self._places(pc.utf8_ltrim(some, characters=_LOWER))
+        others = words.filter(pc.invert(plain)).to_pylist()
+        self._learn_whole([w for w in others if " " + w not in self.parts])
+        out[~plain.to_numpy(zero_copy_only=False), 0] = [self.parts[" " + w] for w in others]
+        return out
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; there are no nulls."""
+        odd = pc.match_substring_regex(texts, _CONTROLS).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+        counts = np.diff(split.offsets.to_numpy())
+        told = split.flatten().dictionary_encode()
+        pairs = self._words(told.dictionary)[told.indices.to_numpy()].ravel()
+        sizes = (self.begin[1:] - self.begin[:-1])[pairs]
+        ends = np.cumsum(sizes)
+        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[pairs] - (ends - sizes), sizes)
+        every = self.flat[where]
+        stops = np.concatenate(([0], ends))[2 * np.cumsum(counts)] if len(counts) else []
+        found = np.split(every, stops[:-1]) if len(counts) else []
+        return [self._encode(t.as_py()) if o else x for t, o, x in zip(texts, odd.tolist(), found, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, which later tasks find again with the parts that it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``row_id, <key>, n_ids, rest, full_crc, rest_crc, ids``: ids as little-endian 16-bit numbers (32 where they need it), the length that is left after full windows, and the crc32 of the 32-bit ids of every full window and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        own, end, step = encoder(tokenizer_path), np.array([END_ID], dtype=np.uint32), 4 * window
         for batch in text_steps(batches, text, 2_000_000):
-            found = [x + end for x in encoder.ids(pa.compute.fill_null(batch.column(text), "").to_pylist())]
-            step = 4 * window
-            sizes = [len(x) // 4 for x in found]
-            narrow = []
-            for x in found:
-                wide = np.frombuffer(x, dtype="<u4")
-                narrow.append(wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else x)
+            ids = [np.concatenate([x, end]).astype("<u4") for x in own.ids(pc.fill_null(batch.column(text).cast(pa.string()), ""))]
+            sizes, found = [len(x) for x in ids], [x.tobytes() for x in ids]
+            narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else y for x, y in zip(ids, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("__row"),
@@ -207,11 +240,11 @@ def plan(histogram: np.ndarray, window: int = WINDOW, waste: float = 0.004) -> P
     columns = columns[np.all((columns == 0) | (left[columns] > 0), axis=1)]
     if len(columns):
         x = non_negative_least_squares(columns, left)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1:
-                break
+        counts = x.astype(np.int64)
+        # whole parts first, then one more where the remainder is largest, as long as the lengths last
+        for i, more in [*((i, counts[i]) for i in np.argsort(-x, kind="stable") if counts[i]), *((i, 1) for i in np.argsort(counts - x, kind="stable") if x[i] - counts[i] > 1e-3)]:
             lengths = tuple(int(n) for n in columns[i] if n)
-            times = min(int(x[i]), *(int(left[n]) // lengths.count(n) for n in lengths))
+            times = min(int(more), *(int(left[n]) // lengths.count(n) for n in lengths))
             if times > 0:
                 take(lengths, times)
     loose = np.zeros(window, dtype=np.int64)
