@@ -65,3 +65,51 @@ def spring_layout(ids: list[str], links: list[tuple[str, str]], seed: int = 42,
         size = np.maximum(np.linalg.norm(move, axis=1, keepdims=True), 1e-9)
         at += move / size * np.minimum(size, 0.1 * (1 - step / rounds))
     return {n: tuple(at[i]) for n, i in place.items()}
+
+
+def from_findings(findings: DataFrame, rank: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of findings with ``rank, lobbyist_name, registrant_name, agency_short, concentration, clients, trail, mentions``; all of them, or the one of a rank.
+
+    ``clients`` is an array of names, ``trail`` one of ``label, total`` and ``mentions`` one of ``client, member`` (a member's label). Findings without lobbyist, firm or agency are left
+    out. Lobbying and mentions count up; of the other edges the finding that comes last stands. A node keeps the label of the last finding that names it.
+    """
+    tidy = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = findings if rank is None else findings.where(F.col("rank") == rank)
+    rows = rows.withColumns({"__l": tidy("lobbyist_name"), "__f": tidy("registrant_name"), "__a": F.upper(tidy("agency_short"))}).where("__l <> '' AND __f <> '' AND __a <> ''")
+    of_client = lambda c: rows.select("rank", "__l", "__a", F.explode(c).alias("x"))
+    hired = of_client("clients").withColumn("c", F.trim("x")).where("c <> ''")
+    paid = of_client("trail").withColumn("c", F.trim("x.label")).where("c <> ''")
+    said = of_client("mentions").withColumn("c", F.trim("x.client")).where("c <> '' AND x.member IS NOT NULL")
+    lobbyist, firm, agency, client, member = (node_id(k, F.col(c)) for k, c in (("lobbyist", "__l"), ("firm", "__f"), ("agency", "__a"), ("client", "c"), ("legislator", "x.member")))
+    order = F.col("rank")
+    made = [
+        edges(rows, "works_at", lobbyist, firm, F.lit(1), order), edges(rows, "former_official_of", lobbyist, agency, F.coalesce("concentration", F.lit(0.0)), order), edges(hired, "lobbies_for", lobbyist, client, F.lit(1)),
+        edges(paid, "funded_by", agency, client, F.coalesce("x.total", F.lit(0.0)), order), edges(said, "mentions", member, client, F.lit(1)),
+    ]
+    links = made[0]
+    for more in made[1:]:
+        links = links.unionByName(more)
+    names = None
+    for df, node, label, step in ((rows, lobbyist, "__l", 0), (rows, firm, "__f", 1), (rows, agency, "__a", 2), (hired, client, "c", 3), (paid, client, "c", 4), (said, client, "c", 5), (said, member, "x.member", 6)):
+        one = df.select(node.alias("id"), F.col(label).alias("label"), F.struct("rank", F.lit(step).alias("step")).alias("at"))
+        names = one if names is None else names.unionByName(one)
+    told = names.groupBy("id").agg(F.max_by("label", F.struct("at", "label")).alias("label"))
+    return told.join(nodes(links), "id"), links
+
+
+def incident(links: DataFrame, node: str) -> DataFrame:
+    """Edges at a node, with the other end."""
+    return links.where((F.col("src") == node) | (F.col("dst") == node)).withColumn("other", F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")))
+
+
+def labelled(named: DataFrame, least: int = 2) -> DataFrame:
+    """Nodes with the label that a drawing shows: firms of a degree below ``least`` have none."""
+    return named.withColumn("shown", F.when((F.col("type") != "firm") | (F.col("degree") >= least), F.col("label")))
+
+
+def document(named: DataFrame, links: DataFrame) -> str:
+    """Nodes and links as the JSON that force layouts read; both are limited by the caller."""
+    import json
+
+    body = {"nodes": [r.asDict() for r in named.orderBy("id").collect()], "links": [{"source": r.src, "target": r.dst, "type": r.type, "weight": r.weight} for r in links.orderBy("src", "dst", "type").collect()]}
+    return json.dumps(body, ensure_ascii=False, indent=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 URGENCY = ["escalated", "no_response_by_deadline", "followed_up", "sent", "acknowledged", "responded", "closed_response", "closed_no_response", "draft"]
@@ -44,3 +44,17 @@ def invalid(events: DataFrame, key: str, kinds: list[str], kind: str = "kind", a
     """``<key>, rule`` of every event that breaks a rule of the log."""
     rules = F.array_compact(F.array(F.when(F.col(kind).isNull(), "missing kind"), F.when(F.col(kind).isNotNull() & ~F.col(kind).isin(kinds), "unknown kind"), F.when(F.col(at).isNull(), "missing time")))
     return events.select(key, F.explode(rules).alias("rule"))
+
+
+def append(events: DataFrame, entries: DataFrame, new: DataFrame, key: str, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``(events, entries)`` with the events of ``new`` (``<key>, kind, at, response_kind, deadline``) at the end of their keys' lists.
+
+    Keys without an entry raise no event. A sent event sets the deadline that it brings, or ``days`` after it where the entry has none; the first such event of a batch decides.
+    """
+    known = new.join(entries.select(key), key, "left_semi")
+    last = events.groupBy(key).agg(F.max("pos").alias("__last"))
+    place = Window.partitionBy(key).orderBy("at", "kind")
+    added = known.join(last, key, "left").withColumn("pos", F.coalesce("__last", F.lit(-1)) + F.row_number().over(place)).drop("__last")
+    sent = added.where("kind = 'sent'").groupBy(key).agg(F.min_by("deadline", F.when(F.col("deadline").isNotNull(), F.col("pos"))).alias("__given"), F.min_by("at", "pos").alias("__at"))
+    dated = entries.join(sent, key, "left").withColumn("deadline", F.coalesce("__given", "deadline", F.date_add(F.to_date("__at"), days))).drop("__given", "__at")
+    return events.unionByName(added.select(*events.columns)), dated

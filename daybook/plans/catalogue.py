@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("lobbying", "investigations")
+MODULES: tuple[str, ...] = ("lobbying", "investigations", "reporting")
 
 
 def load_all() -> None:
