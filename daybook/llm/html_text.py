@@ -1,16 +1,18 @@
 """Main text of web pages, with removal of the templates that a site repeats.
 
-Each page is parsed once into text blocks. Subtrees of elements that may be page furniture are hashed with their text
+Each page is parsed once into text blocks. Every subtree of elements is hashed with its text
 and counted by host in Spark; those that recur on at least ``min_pages`` pages of a host, however many it has, are templates, and
-every block in one is deleted. What a template count can't see, furniture whose words differ from page to page, goes by
-element, role and class name. The text is that of the page's article (the longest ``article``, else ``main``, else the
-whole body).
-
-Inside the article recurring subtrees are templates too. A page whose templates would be more than half of its article is a
+every block in one is deleted. The text is that of the page's article (the longest ``article``, else ``main``, else the
+whole body). A page whose templates would be more than half of its article is a
 reprint: an article that a site prints on many pages stays, and only link-dense templates leave it.
 
+What a template count can't see is furniture whose words differ from page to page, such as adverts and reader comments. It goes by element
+and role, and by a class or id that says nothing else: every word of it is one of ``NAMES`` or of ``PLACES``, so ``post-comments`` goes and
+``has-sidebar`` stays. Such a name never removes what is around the article. An ``article`` goes by name only if a class is one of ``NAMES`` as it stands.
+
 Null and empty html, and pages without text, give an empty string and 0. Unclosed and misnested elements are closed where the next block needs it; unknown ones are
-inline. Repeated rows are treated each. A null url is a host of its own, the empty one. Extra columns pass through; ``text`` and ``n_chars`` of the input are replaced.
+inline. Repeated rows are treated each. A null url is a host of its own, the empty one. Extra columns pass through; ``text`` and ``n_chars`` of the input are replaced, and
+names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -31,21 +33,37 @@ from daybook.operators.skew import lookup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that never hold an article's text.
-FURNITURE = frozenset("head script style noscript template nav footer aside form iframe svg math button select option textarea dialog menu object canvas audio video title".split())
+FURNITURE = frozenset("head script style noscript template nav footer aside form iframe svg button select option textarea dialog menu object canvas audio video title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class names and ids that mark furniture.
+#: Words of class names and ids that mark furniture, and words that may stand beside them.
 NAMES = frozenset(
     "ad ads advert adverts advertisement adsense alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies respond share sharebar sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+PLACES = frozenset(
+    "site page main post posts entry article story user reader readers blog top bottom left right primary secondary global sticky fixed mobile desktop list item items box block wrap wrapper container inner outer area section bar slot unit panel row col column link links form title head header foot icon icons button small large x news stories".split()
+)
 #: Elements that a new block of the same kind closes: opened element -> elements it closes, and where the search stops.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "body": ("head",)}
+#: Pages and blocks of them up to which the places of templates are broadcast; more are joined by page.
+BROADCAST = 500_000
 SCOPES = frozenset("ul ol dl table select div section article main body html".split())
+#: Headings, which the word header in a class doesn't make furniture.
+BLOCKS_OF_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
+def _named(attrs: dict[str, str | None], whole: bool) -> bool:
+    """Whether a class or the id is a name of furniture; ``whole`` names have no word beside it."""
+    for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+        words = _NAME.findall(token)
+        if NAMES.intersection(words) and (len(words) == 1 or not whole and all(w in NAMES or w in PLACES for w in words)):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "digest", "code", "chars", "linked", "dropped", "article", "main")
+    __slots__ = ("tag", "parent", "digest", "code", "chars", "linked", "hard", "named", "dropped", "article", "main")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str | None]):
         self.tag, self.parent = tag, parent
@@ -55,18 +73,17 @@ class Node:
         up = parent
         self.article = self if tag == "article" and not (up and up.article) else (up.article if up else None)
         self.main = self if (tag == "main" or attrs.get("role") == "main") and not (up and up.main) else (up.main if up else None)
-        self.dropped = bool(up and up.dropped) or self._furniture(attrs)
+        self.hard = self._furniture(attrs)  # by element or role
+        self.named = tag not in ("html", "body", "main") and (_named(attrs, tag == "article") or tag not in BLOCKS_OF_TITLES and not self.article and not self.main and "header" in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+        self.dropped = bool(up and up.dropped) or self.hard or self.named
 
     def _furniture(self, attrs: dict[str, str | None]) -> bool:
         tag = self.tag
-        if tag in FURNITURE or tag == "header" and not self.article:
+        if tag in FURNITURE or tag == "header" and not self.article and not self.main:
             return True
         if tag in ("html", "body", "main"):
             return False
-        if "hidden" in attrs or attrs.get("role") in ROLES or attrs.get("aria-hidden") == "true":
-            return True
-        named = set(_NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-        return bool(named & NAMES) or not self.article and "header" in named
+        return "hidden" in attrs or attrs.get("role") in ROLES or attrs.get("aria-hidden") == "true"
 
 
 class Page(HTMLParser):
@@ -158,7 +175,7 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.node.tag in ("script", "style"):
             return
-        if self.node.dropped and self.buffer and self.node.tag not in BLOCKS and self.node.parent and not self.node.parent.dropped:
+        if (self.node.hard or self.node.named) and self.buffer and self.node.tag not in BLOCKS and self.node.parent and not self.node.parent.dropped:
             return  # furniture in the middle of a sentence: its words aren't the block's
         self.buffer.append(data)
         if self.anchors:
@@ -176,14 +193,14 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[tuple[int, bool]]]], li
     page = Page()
     page.feed(html)
     page.finish()
-    articles = {n for n in page.closed if n.tag == "article" and n.article is n and not n.dropped and n.chars}
-    mains = {n for n in page.closed if n.main is n and not n.dropped and n.chars}
+    free = lambda n: not any(x.hard for x in _up(n))
     within: Node | None = None
-    if articles:
-        most = max(n.chars for n in articles)
-        within = next(n for n in page.closed if n in articles and n.chars == most)
-    elif mains:
-        within = next(n for n in page.closed if n in mains)
+    for choice in ([n for n in page.closed if n.tag == "article" and n.article is n and n.chars], [n for n in page.closed if n.main is n and n.chars]):
+        # one that stands in furniture by name only if no other is left, and never one in furniture by element
+        found = [n for n in choice if not n.dropped] or [n for n in choice if not n.named and free(n)]
+        if found:
+            within = max(found, key=lambda n: n.chars)  # the first of the longest
+            break
     blocks, seen = [], {}
     for text, node in page.blocks:
         inside = within is None
@@ -200,22 +217,29 @@ def parse(html: str) -> tuple[list[tuple[str, bool, list[tuple[int, bool]]]], li
             if n.code:
                 chain.append((n.code, bool(within and inside and 2 * n.linked <= n.chars)))
                 seen[n.code] = None
-        blocks.append((text, inside and not node.dropped, chain))
+        inner = path[: path.index(within)] if within and inside else path
+        blocks.append((text, inside and not any(x.hard or x.named for x in inner), chain))
     return blocks, list(seen)
 
 
+def _up(node: Node | None) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.parent
+
+
 def _parsed(rows: DataFrame, html: str) -> DataFrame:
-    """``rows`` with ``row, blocks, subtrees`` in place of the html. The other columns cross the worker untouched, so nothing is joined back by page."""
+    """``rows`` with ``__row, __blocks, __subtrees`` in place of the html. The other columns cross the worker untouched, so nothing is joined back by page."""
     others = [f for f in rows.schema.fields if f.name not in (html, "__row")]
     block = pa.struct([("text", pa.string()), ("chain", pa.list_(pa.struct([("code", pa.int64()), ("soft", pa.bool_())])))])
-    schema = "row long, blocks array<struct<text:string, chain:array<struct<code:long, soft:boolean>>>>, subtrees array<long>"
+    schema = "__row long, __blocks array<struct<text:string, chain:array<struct<code:long, soft:boolean>>>>, __subtrees array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_steps(batches, html, 1_000_000):
             parsed = [parse(x or "") for x in batch.column(html).to_pylist()]
             blocks = pa.array([[{"text": t.encode("utf-8", "replace").decode(), "chain": [{"code": x, "soft": y} for x, y in c]} for t, main, c in found if main] for found, _ in parsed], pa.list_(block))
             subtrees = pa.array([s for _, s in parsed], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), blocks, subtrees, *(batch.column(f.name) for f in others)], names=["row", "blocks", "subtrees", *(f.name for f in others)])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), blocks, subtrees, *(batch.column(f.name) for f in others)], names=["__row", "__blocks", "__subtrees", *(f.name for f in others)])
 
     return rows.mapInArrow(run, ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)]))
 
@@ -227,19 +251,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.withColumn("__row", F.monotonically_increasing_id())
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     parsed = save(_parsed(rows.select("__row", html, host.alias("__host"), *others), html), "blocks")
-    seen = parsed.select("__host", F.explode("subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    templates = save(seen.select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("gone")), "templates")
-    # only pages whose main text has a subtree that could be a template meet the templates; the others are done
-    open_pages = F.exists("blocks", lambda b: F.size(b["chain"]) > 0)
-    codes = parsed.where(open_pages).select("row", F.posexplode("blocks.chain").alias("i", "chain"), "__host").select("row", "i", F.explode("chain").alias("at"), "__host")
-    placed = codes.select("row", "i", F.xxhash64("__host", "at.code").alias("template"), "at.soft")
-    total = parsed.select(F.sum(F.size("subtrees"))).first()[0] or 1
-    gone = lookup(placed, templates, "template", "n", total, ["gone"]).where("gone").groupBy("row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("soft"))
+    seen = parsed.select("__host", F.explode("__subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    templates = save(seen.select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("found")), "templates")
+    codes = parsed.select("__row", "__host", F.posexplode("__blocks.chain").alias("i", "chain")).select("__row", "__host", "i", F.explode("chain").alias("at"))
+    placed = codes.select("__row", "i", F.xxhash64("__host", "at.code").alias("template"), "at.soft")
+    total = parsed.select(F.sum(F.size("__subtrees"))).first()[0] or 1
+    hit = lookup(placed, templates, "template", "n", total, ["found"]).where("found")
+    # a page's blocks are one row of few numbers; while few pages have any, the texts stay where they are
+    gone = save(hit.groupBy("__row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("__gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("__soft")), "gone")
+    blocks = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone") + F.size("__soft")).alias("m")).first()
+    texts = parsed.select("__row", *others, F.col("__blocks.text").alias("__texts"))  # the hashes have done their work and aren't shuffled
+    marked = texts.join(F.broadcast(gone) if blocks.n + (blocks.m or 0) <= BROADCAST else gone, "__row", "left")
     none = F.array().cast("array<int>")
-    texts = lambda rows: rows.select("row", *others, F.col("blocks.text").alias("__texts"))  # noqa: E731 - the hashes have done their work and aren't shuffled
-    marked = texts(parsed.where(open_pages)).join(gone, "row", "left").unionByName(texts(parsed.where(~open_pages)).withColumn("gone", none).withColumn("soft", none))
-    left = F.filter("__texts", lambda t, i: ~F.array_contains(F.coalesce("gone", none), i))
-    fresh = F.filter("__texts", lambda t, i: ~F.array_contains(F.concat(F.coalesce("gone", none), F.coalesce("soft", none)), i))
+    left = F.filter("__texts", lambda t, i: ~F.array_contains(F.coalesce("__gone", none), i))
+    fresh = F.filter("__texts", lambda t, i: ~F.array_contains(F.concat(F.coalesce("__gone", none), F.coalesce("__soft", none)), i))
     size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
     marked = marked.withColumn("__left", left).withColumn("__fresh", fresh)
     kept = F.when(2 * size("__fresh") >= size("__left"), F.col("__fresh")).otherwise(F.col("__left"))  # else a reprint

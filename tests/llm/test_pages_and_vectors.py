@@ -28,6 +28,12 @@ def text_of(spark, *pages):
         (None, ""),
         ("<div hidden>h</div><p>v</p>", "v"),
         ("<article><header><h1>Title</h1></header><ul><li>a<li>b</ul></article>", "Title a b"),
+        ("<div class='content has-sidebar'><p>text</p></div><div class='sidebar'>s</div>", "text"),
+        ("<article class='post no-sidebar'><p>text</p></article>", "text"),
+        ("<main><header><h1>Title</h1></header><p>text</p></main>", "Title text"),
+        ("<article><p>let <math><mi>x</mi></math> be</p></article>", "let x be"),
+        ("<div class='widget'><article><p>text</p><div class='comment-list'>c</div></article></div>", "text"),
+        ("<aside><article><p>long words of another story</p></article></aside><article><p>text</p></article>", "text"),
     ],
 )
 def test_article(spark, html, want):
@@ -60,6 +66,20 @@ def test_templates_of_a_section_on_large_and_small_hosts(spark):
     assert all(got[1000 * h + i] == f"words of page {i}" for h, n in ((0, 20), (1, 900)) for i in range(n))
 
 
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, "http://a.example/", f"<div>ours</div><p>page {i}</p>", 1, 2, 3, 4) for i in range(6)], "page_id long, url string, html string, row int, gone int, blocks int, subtrees int")
+    got = html_text.extract(df).orderBy("page_id").collect()
+    assert [(r.text, r.row, r.gone, r.blocks, r.subtrees) for r in got] == [(f"page {i}", 1, 2, 3, 4) for i in range(6)]
+
+
+def test_templates_by_join_and_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.example/", f"<div>notice of {i % 3}</div><p>page {i}</p>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    monkeypatch.setattr(html_text, "BROADCAST", 0)
+    assert few == {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: f"page {i}" for i in range(60)}
+
+
 def test_linked_text_is_counted():
     page = html_text.Page()
     page.feed("<article><ul><li><a href=/a>one two</a></li><li>three <a href=/b><b>four</b> five</a> six</li></ul><p>seven</p></article>")
