@@ -2,22 +2,26 @@
 
 Two documents link when their sets' Jaccard similarity is at least ``percent`` / 100, so two sets of sizes ``x`` and ``y`` must share
 ``T = ceil(percent * (x + y) / (100 + percent))`` shingles. An inverted list holds the documents of a shingle. As in DivideSkip, long lists (shingles of
-many documents) aren't merged: each document leaves its long lists out as far as ``T`` allows, and a partner must then turn up
-at least ``l`` times in its ``n - T + l`` shortest remaining lists, ``l`` a tenth of the smaller set. Those are merged, by sorting over the
-cluster, and occurrences are counted by pair. A pair that occurs often enough is settled by binary probes of the larger sorted
-set, long lists included, against ``T``.
+many documents) aren't merged as far as ``T`` allows: each document leaves ``T - 1`` of its lists out, ``T`` the least that any partner shares, and
+a partner must then turn up in one of the others, the shortest. Those are merged, by sorting over the
+cluster. A pair that turns up is settled by binary probes of the larger sorted set, long lists included, against ``T``.
 
 1. Equal sets become one representative; only it goes on.
 2. Which lists are long is told by counts of hashed shingles, in a bitmap of fixed size. A bit only decides the order in which lists are used, so
    neither a missed nor a wrong bit can lose a link.
-3. Representatives that agree on the smallest hash of a part of the hash space are compared with the first of their group, one comparison a
-   member. That ties most near copies together before candidates are formed, so that the lists of a large group of copies don't become pairs.
-4. Lists are merged; only documents of different parts so far are candidates. Candidates are compared as stars, a centre with its partners,
-   large stars in several parts.
-5. Links found in 3 and 4 give the components. A pair that 4 leaves out is already connected, so no component changes.
+3. Representatives that agree on the smallest hash of a part of the hash space are compared with the head of their group, one comparison a
+   member. The head is the member whose other groups are largest, that is the one least changed in its family, which nearly everything in
+   the family that links at all links to. That ties near copies together before candidates are formed.
+4. Lists are merged, and only those that hold documents of different parts go on. Two documents of such a list become a pair only if their
+   sketches allow it: a sketch has the parity of the shingles in each of some two to four classes a shingle, so the classes in which two sketches
+   differ are at most the shingles in which the sets do, and more of them than ``x + y - 2 T`` rule a link out. A pair that met in an
+   earlier list isn't formed again: every document brings the first ``HEAD`` lists that it shares, and a list before the present one in both
+   says so. Families of look-alikes below the threshold therefore don't become pairs. Lists of more than ``CHUNK`` documents are met chunk by chunk, in tasks of their own.
+5. Pairs that wider sketches allow too are compared as stars, a centre with its partners, large stars in several parts.
+6. Links found in 3 and 5 give the components. A pair left out in 4 is already connected, can't link or was formed elsewhere, so no component changes.
 
 Null texts and texts without words have an empty set and link with nothing; fewer than five words are one shingle. Rows without an id are returned with a null component. Rows that
-share an id are one node. An empty table gives an empty one. Extra columns pass through; ``n_shingles`` and ``component_id`` of the input are replaced.
+share an id are one node. Ids are integers; others raise. An empty table gives an empty one. Columns beside the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from daybook.llm.text import WordTable, text_steps
 from daybook.operators.components import connected_components
@@ -36,14 +42,22 @@ from daybook.operators.durable import save
 from daybook.operators.skew import lookup
 
 WIDTH, PERCENT = 5, 75
-#: Bits of the table of long lists, and the count in one task and in all from which a list is long.
+#: Bits of the table of long lists, and how far above a bucket's mean count one task's and all tasks' must be for its lists to be long.
 BITS, LOCAL, LONG = 24, 3, 8
+#: Share of all documents from which a bucket's lists are dealt to ``SALT`` tasks, and the least number for it.
+HOT_SHARE, HOT_LEAST, SALT = 200, 4096, 64
 #: Parts of the hash space whose smallest hashes group likely copies.
 PARTS = 6
 #: Partners of one centre that are compared in one task.
-STAR = 500
+STAR = 128
+#: Documents of a list that meet in one task, each with as many others at most.
+CHUNK = 2000
 #: Documents of a list up to which all its pairs are looked at in one step.
-SMALL_LIST = 400
+SMALL_LIST = 32
+#: Bits of a sketch for each shingle, at least, and of the smallest and the largest one: of those that go with every list, and of those that candidates are tried with before their texts are read.
+SKETCH, WIDE = (2, 128, 2048), (4, 128, 1 << 15)
+#: Lists that a document names to its partners, first ones first.
+HEAD = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,22 +103,23 @@ def required(x, y, percent: int = PERCENT):
     return -(-percent * (x + y) // (100 + percent))
 
 
-def occurrences(n):
-    """How often a partner must turn up in the short lists of a set of ``n``; of two sets the smaller number counts."""
-    return n // 10 + 1
-
-
 def short_prefix(shingles: np.ndarray, long_lists: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The ``n - T + l`` lists that a document looks for partners in, ``T`` the least that any partner shares: short lists first, each kind by hash.
+    """Names of the ``n - T + 1`` lists that a document looks for partners in, ``T`` the least that any partner shares: short lists first, each kind by hash. A name is the highest 63 bits of the hash, below zero for short lists, so names sort in this order.
 
-    Of the shingles that two sets share, the first ``l`` in this order have at least ``T - l`` shared ones after them in either set, so both prefixes hold them."""
+    Of the shingles that two sets share, the first in this order has at least ``T - 1`` shared ones after it in either set, so both prefixes hold it."""
     n = len(shingles)
-    least = -(-percent * n // 100)
-    keep = n - least + min(occurrences(n), least)
+    keep = n + percent * n // -100 + 1
     is_long = long_lists[shingles >> np.uint64(64 - BITS)]
-    if int((~is_long).sum()) >= keep:
-        return shingles[~is_long][:keep]
-    return np.concatenate([shingles[~is_long], shingles[is_long][: keep - int((~is_long).sum())]])
+    names = (shingles >> np.uint64(1)).astype(np.int64)
+    short = names[~is_long] + np.iinfo(np.int64).min
+    return short[:keep] if len(short) >= keep else np.concatenate([short, names[is_long][: keep - len(short)]])
+
+
+def sketch(shingles: np.ndarray, kind: tuple[int, int, int] = SKETCH) -> bytes:
+    """Parity of the number of shingles in each of ``B`` classes, ``B`` a power of two. Halves of a sketch, taken together by exclusive or, make the sketch of half as many classes."""
+    each, least, most = kind
+    bits = min(max(least, 1 << (each * len(shingles) - 1).bit_length()), most)
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
@@ -112,11 +127,11 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 
 def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, n, sig, mins`` of every row: the set's size, a 128-bit digest of the set and, unless it is empty, its smallest hash in each part of the hash space; and rows of ``bucket, seen`` for crowded buckets of shingles of a task."""
+    """``id, n, sig, mins, sketch, wide`` of every row: the set's size, a 128-bit digest of the set and, unless it is empty, its smallest hash in each part of the hash space and its sketches; and rows of ``bucket, seen`` for crowded buckets of shingles of a task, counted above the task's mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, crowd = WordTable(_word, 500_000), np.zeros(1 << BITS, dtype=np.uint16)
-        names, kinds = ["id", "n", "sig", "mins", "bucket", "seen"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
+        table, crowd = WordTable(_word, 500_000), np.zeros(1 << BITS, dtype=np.uint32)
+        names, kinds = ["id", "n", "sig", "mins", "sketch", "wide", "bucket", "seen"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
         none = lambda k, m: pa.nulls(m, k)
         for batch in text_steps(batches, text, 2_000_000):
             sets = shingle_sets(_texts(batch, text), table)
@@ -134,118 +149,208 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
             if sets:
                 every = np.concatenate(sets) >> np.uint64(64 - BITS)
                 at, n = np.unique(every, return_counts=True)
-                crowd[at.astype(np.int64)] = np.minimum(crowd[at.astype(np.int64)].astype(np.int64) + n, 65535)
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(mins, kinds[3]), none(kinds[4], len(sets)), none(kinds[5], len(sets))], names=names)
-        at = np.flatnonzero(crowd >= LOCAL)
-        yield pa.RecordBatch.from_arrays([*(none(k, len(at)) for k in kinds[:4]), pa.array(at.astype(np.int32)), pa.array(crowd[at].astype(np.int64))], names=names)
+                crowd[at.astype(np.int64)] += n.astype(np.uint32)
+            sketches = [pa.array([sketch(s, kind) if len(s) else None for s in sets], pa.binary()) for kind in (SKETCH, WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(mins, kinds[3]), *sketches, none(kinds[6], len(sets)), none(kinds[7], len(sets))], names=names)
+        usual = int(crowd.mean())
+        at = np.flatnonzero(crowd >= usual + 2 * usual**0.5 + LOCAL)
+        yield pa.RecordBatch.from_arrays([*(none(k, len(at)) for k in kinds[:6]), pa.array(at.astype(np.int32)), pa.array(crowd[at].astype(np.int64) - usual)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, n long, sig binary, mins array<long>, bucket int, seen long")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, n long, sig binary, mins array<long>, sketch binary, wide binary, bucket int, seen long")
 
 
-def long_lists(found: DataFrame) -> np.ndarray:
-    """Bitmap of ``2 ^ BITS`` flags, whatever the corpus. Its rows reach the driver packed by 4096 buckets, so as many rows at most."""
+def long_lists(found: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of ``2 ^ BITS`` flags, whatever the corpus: buckets of long lists, and those of lists that are dealt to several tasks. Their rows reach the driver packed by 4096 buckets, so as many rows at most."""
+    hot = max(HOT_LEAST, rows // HOT_SHARE)
     crowded = found.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LONG)
-    out = np.zeros(1 << BITS, dtype=bool)
-    for r in crowded.groupBy(F.floor(F.col("bucket") / 4096).alias("page")).agg(F.collect_list("bucket").alias("at")).collect():
-        out[r["at"]] = True
+    packed = crowded.groupBy(F.floor(F.col("bucket") / 4096).alias("page")).agg(F.collect_list("bucket").alias("at"), F.collect_list(F.when(F.col("seen") >= hot, F.col("bucket"))).alias("hot"))
+    out = np.zeros(1 << BITS, dtype=bool), np.zeros(1 << BITS, dtype=bool)
+    for r in packed.toLocalIterator():
+        out[0][r["at"]] = True
+        out[1][r["hot"]] = True
     return out
 
 
-def merged_lists(docs: DataFrame, bitmap: np.ndarray, key: str, text: str, percent: int) -> DataFrame:
-    """``h, id``: lists of at least two documents, among the short prefixes of all documents. Lists are sorted over the cluster and read one after another."""
-    packed = np.packbits(bitmap)  # 2 MB
+def merged_lists(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray], key: str, text: str, percent: int) -> DataFrame:
+    """``h, id``: lists of at least two documents, among the short prefixes of all documents. Lists are sorted over the cluster and read one after another; of hot lists, dealt to several tasks, every row stays."""
+    packed = [np.packbits(x) for x in bitmaps]  # 4 MB
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flags = WordTable(_word, 500_000), np.unpackbits(packed).astype(bool)
+        table, (flags, hot) = WordTable(_word, 500_000), (np.unpackbits(x).astype(bool) for x in packed)
         for batch in text_steps(batches, text, 1_000_000):
-            prefixes = [short_prefix(s, flags, percent) if len(s) else s for s in shingle_sets(_texts(batch, text), table)]
+            prefixes = [short_prefix(s, flags, percent) for s in shingle_sets(_texts(batch, text), table)]
             ids = np.asarray(batch.column(key).cast(pa.int64()))
             if prefixes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.repeat(ids, [len(p) for p in prefixes]))], names=["h", "id"])
+                h, own = np.concatenate(prefixes), np.repeat(ids, [len(p) for p in prefixes])
+                salt = np.where(hot[(h & np.iinfo(np.int64).max) >> np.int64(63 - BITS)], (_finish(own.view(np.uint64)) % np.uint64(SALT)).astype(np.int32), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(salt.astype(np.int32))], names=["h", "id", "salt"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose neighbour has the same hash; a batch waits for the first row of the next one."""
-        h, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last = None  # hash of the row before ``h``
+        """Rows whose neighbour has the same hash, and salted ones; a batch waits for the first row of the next one."""
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)]
+        last = None  # hash of the row before those held
         for batch in batches:
-            h, ids = np.concatenate([h, np.asarray(batch.column("h"))]), np.concatenate([ids, np.asarray(batch.column("id"))])
+            held = [np.concatenate([x, np.asarray(batch.column(c))]) for x, c in zip(held, ("h", "id", "salt"), strict=True)]
+            h, ids, salt = held
             if len(h) < 2:
                 continue
             after, before = h[:-1] == h[1:], np.concatenate([[h[0] == last], h[1:-1] == h[:-2]])
-            keep = np.flatnonzero(after | before)
+            keep = np.flatnonzero(after | before | (salt[:-1] >= 0))
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(ids[keep])], names=["h", "id"])
-            last, h, ids = h[-2], h[-1:], ids[-1:]
-        if len(h) and h[0] == last:
+            last, held = h[-2], [x[-1:] for x in held]
+        h, ids, salt = held
+        if len(h) and (h[0] == last or salt[0] >= 0):
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids)], names=["h", "id"])
 
-    rows = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(lists, "h long, id long")
+    rows = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInArrow(lists, "h long, id long, salt int")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "h").sortWithinPartitions("h", "id").mapInArrow(shared, "h long, id long")
+    return rows.repartition(n, "h", "salt").sortWithinPartitions("h").mapInArrow(shared, "h long, id long")
+
+
+def mixed_lists(lists: DataFrame, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``h, i, j, c, id, n, part, sketch, head``: the lists (``h, id``) that hold different parts, a list of more than ``chunk`` documents once for each pair (``i, j``) of its chunks ``c``; ``head`` has the document's first such lists."""
+    met = save(lists.join(nodes.select("id", "n", "part"), "id").select("h", "id", "n", "part"), "met")
+    several = met.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("h", "size")
+    rows = save(met.join(several, "h").withColumn("k", F.ceil(F.col("size") / chunk).cast("int")), "mixed")
+    heads = rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("h")), 1, HEAD).alias("head"))  # at most a document's lists
+    told = save(nodes.select("id", "n", "sketch").join(heads, "id"), "heads")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    dealt = rows.select("h", "id", "n", "part", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).join(told, ["id", "n"])
+    return dealt.select("h", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "id", "n", "part", "sketch", "head")
+
+
+class _Sketches:
+    """Sketches of some rows as one matrix of 64-bit words for each width, wider ones folded."""
+
+    def __init__(self, sketches: list[bytes]):
+        widths = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches))
+        self.level = np.log2(widths).astype(np.int64) if len(widths) else widths
+        self.place: dict[int, np.ndarray] = {}
+        self.words: dict[int, np.ndarray] = {}
+        wide, rows = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for level in sorted(set(self.level.tolist()), reverse=True):
+            while len(rows) and wide.shape[1] > 1 << level - 3:
+                half = wide.shape[1] // 2
+                wide = wide[:, :half] ^ wide[:, half:]
+            own = np.flatnonzero(self.level == level)
+            there = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), dtype="<u8").reshape(len(own), -1)
+            wide, rows = (np.concatenate([wide, there]), np.concatenate([rows, own])) if len(rows) else (there, own)
+            self.place[level] = np.full(len(sketches), -1)
+            self.place[level][rows] = np.arange(len(rows))
+            self.words[level] = wide
+
+    def differ(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows differ, at the narrower width."""
+        out, both = np.zeros(len(left), dtype=np.int64), np.minimum(self.level[left], self.level[right])
+        for level, words in self.words.items():
+            at = np.flatnonzero(both == level)
+            place = self.place[level]
+            step = max(1, 1_000_000 // words.shape[1])
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                out[some] = np.bitwise_count(words[place[left[some]]] ^ words[place[right[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _list_pairs(rows: np.ndarray, chunk: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (``id, n, part``) of one list whose sizes allow a link and whose parts differ; lists begin at ``starts`` and are sorted by ``n``. In a list of two chunks only rows of different ones meet."""
+    stops = np.append(starts[1:], len(rows))
+    n, part = rows[:, 1], rows[:, 2]
+    two = np.minimum.reduceat(chunk, starts) != np.maximum.reduceat(chunk, starts)
+    fits = lambda x, y, cross: (part[x] != part[y]) & (100 * n[x] >= percent * n[y]) & (~cross | (chunk[x] != chunk[y]))  # noqa: E731 - x is the smaller
+    small = np.repeat(stops - starts <= SMALL_LIST, stops - starts)
+    end, cross = np.repeat(stops, stops - starts), np.repeat(two, stops - starts)
+    for step in range(1, SMALL_LIST):
+        left = np.flatnonzero(small & (np.arange(len(rows)) + step < end))
+        if not len(left):
+            break
+        left = left[fits(left, left + step, cross[left])]
+        yield left, left + step
+    for g in np.flatnonzero(stops - starts > SMALL_LIST).tolist():
+        lo, hi = int(starts[g]), int(stops[g])
+        kinds, which, counts = np.unique(part[lo:hi], return_inverse=True, return_counts=True)
+        largest = which == counts.argmax()
+        some, size = [], 0
+        for i in (np.flatnonzero(~largest) + lo).tolist():
+            a, b = np.searchsorted(n[lo:hi], [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
+            others = np.arange(a, b) + lo
+            others = others[(part[others] != part[i]) & (largest[a:b] | (others > i)) & (~two[g] | (chunk[others] != chunk[i]))]
+            some.append((np.full(len(others), i), others))
+            size += len(others)
+            if size >= 500_000:
+                yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+                some, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+
+def _met_before(heads: np.ndarray, here: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the heads of two rows name a common list before the one they are met in; rows of ``heads`` are filled with the largest number."""
+    a, b = heads[left], heads[right]
+    a = np.where(a < here[:, None], a, np.iinfo(np.int64).max)
+    out = np.zeros(len(left), dtype=bool)
+    for k in range(heads.shape[1]):
+        out |= ((a == b[:, k : k + 1]) & (a < np.iinfo(np.int64).max)).any(axis=1)
+    return out
 
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` from lists of ``h, id, n, part``: documents with sizes that allow a link and different parts that occur together often enough. In each list the largest part isn't compared with itself, whatever its size."""
+    """``a, b`` from ``mixed_lists``: documents of different parts whose sizes and sketches allow a link. In each list the largest part isn't compared with itself, whatever its size."""
+    columns = ["h", "i", "j", "c", "id", "n", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            n, part = rows[:, 2], rows[:, 3]
-            if len(rows) <= SMALL_LIST:
-                left, right = np.triu_indices(len(rows), 1)
-                ok = (part[left] != part[right]) & (100 * n[left] >= percent * n[right])
-                return left[ok], right[ok]
-            kinds, which, counts = np.unique(part, return_inverse=True, return_counts=True)
-            largest = which == counts.argmax()
-            some = [np.zeros((2, 0), dtype=np.int64)]
-            for i in np.flatnonzero(~largest).tolist():
-                lo, hi = np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])
-                others = np.arange(lo, hi)
-                others = others[(which[lo:hi] != which[i]) & (largest[lo:hi] | (others > i))]
-                some.append(np.stack([np.full(len(others), i), others]))
-            left, right = np.concatenate(some, axis=1)
-            return left, right
-
-        def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Pairs of complete lists, many in a batch. Lists of one part, nearly all, are told apart without a loop."""
-            if not len(rows):
-                return
-            starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-            mixed = np.flatnonzero(np.minimum.reduceat(rows[:, 3], starts) != np.maximum.reduceat(rows[:, 3], starts))
-            stops = np.append(starts[1:], len(rows))
-            found, size = [], 0
-            for lo, hi in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
-                left, right = pairs(rows[lo:hi])
-                found.append((left + lo, right + lo))
-                size += len(left)
-                if size >= 50_000:
-                    yield made(rows, found)
-                    found, size = [], 0
-            if size:
-                yield made(rows, found)
-
-        def made(rows: np.ndarray, found: list) -> pa.RecordBatch:
-            left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, b = rows[left, 1], rows[right, 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(occurrences(np.minimum(rows[left, 2], rows[right, 2])))], names=["a", "b", "least"])
-
-        held: list[np.ndarray] = []
+        def whole(rows: np.ndarray, sketches: list[bytes], heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs of complete lists, many in a batch."""
+            starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
+            told, own = _Sketches(sketches), rows[:, 4:7]
+            for left, right in _list_pairs(own, rows[:, 3], starts, percent):
+                new = ~_met_before(heads, rows[left, 0], left, right)
+                left, right = left[new], right[new]
+                x, y = own[left, 1], own[right, 1]
+                ok = np.flatnonzero(told.differ(left, right) <= x + y - 2 * required(x, y, percent))
+                if len(ok):
+                    a, b = own[left[ok], 0], own[right[ok], 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words: list[bytes] = []
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(c)) for c in ("h", "id", "n", "part")], axis=1)
+            rows = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns], axis=1)
             if not len(rows):
                 continue
-            held.append(rows)
-            last = rows[-1, 0]
-            if rows[0, 0] == last and held[0][0, 0] == last:
+            named = batch.column("head")
+            sizes = np.asarray(named.value_lengths())
+            heads = np.full((len(rows), HEAD), np.iinfo(np.int64).max)
+            heads[np.arange(HEAD) < sizes[:, None]] = np.asarray(named.flatten())
+            held.append((rows, heads))
+            words += batch.column("sketch").to_pylist()
+            last = rows[-1, :3]
+            if (held[0][0][0, :3] == last).all():
                 continue  # still the same list
-            joined = np.concatenate(held)
-            cut = int(np.searchsorted(joined[:, 0], last))
-            yield from whole(joined[:cut])
-            held = [joined[cut:]]
+            rows, heads = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.flatnonzero((rows[:, :3] != last).any(axis=1))[-1]) + 1
+            yield from whole(rows[:cut], words[:cut], heads[:cut])
+            held, words = [(rows[cut:], heads[cut:])], words[cut:]
         if held:
-            yield from whole(np.concatenate(held))
+            rows, heads = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from whole(rows, words, heads)
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = lists.select("h", "id", "n", "part").repartition(n, "h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long, least long")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "b")
+    return lists.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "id").mapInArrow(run, "a long, b long").distinct()
+
+
+def plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose wide sketches allow a link. An id with several texts is tried with each."""
+
+    @F.pandas_udf("boolean")
+    def allows(n_a: pd.Series, w_a: pd.Series, n_b: pd.Series, w_b: pd.Series) -> pd.Series:
+        x, y = n_a.to_numpy(), n_b.to_numpy()
+        at = np.arange(len(x))
+        return pd.Series(_Sketches([*w_a, *w_b]).differ(at, at + len(x)) <= x + y - 2 * required(x, y, percent))
+
+    own = lambda k: wide.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"w_{k}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    return both.where(allows("n_a", "w_a", "n_b", "w_b")).select("a", "b").distinct()
 
 
 def compare(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -289,31 +394,42 @@ def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= need
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def _likely(reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: each representative ``b`` with the heads of its groups, where sizes allow a link."""
+    keyed = reps.select("id", "n", F.posexplode("mins").alias("p", "least")).where(F.col("least") != -1).select("id", "n", F.xxhash64("p", "least").alias("g"))
+    keyed = save(keyed, "keyed")
+    groups = save(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
+    total = keyed.count()
+    grouped = lookup(keyed, groups, "g", "size", total, ["size"]).where("size is not null")
+    weighed = grouped.groupBy("id", "n").agg(F.sum(F.log2("size")).alias("weight"), F.collect_list("g").alias("gs"))  # at most ``PARTS`` groups
+    weighed = save(weighed.select("id", "n", "weight", F.explode("gs").alias("g")), "weighed")
+    heads = weighed.groupBy("g").agg(F.max_by(F.struct("id", "n"), F.struct("weight", -F.col("id"))).alias("head"), F.count(F.lit(1)).alias("size"))
+    near = lookup(weighed.select("id", "n", "g"), save(heads, "heads"), "g", "size", total, ["head"]).where("head.id <> id")
+    fits = (F.col("n") * percent <= F.col("head.n") * 100) & (F.col("head.n") * percent <= F.col("n") * 100)
+    return near.where(fits).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """``id, n, sig, component`` of every row."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} isn't an integer column")
     found = save(profiles(docs, key, text), "profiles")
-    rows = found.where("bucket is null").select("id", "n", "sig", "mins")
-    reps = save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("mins").alias("mins")), "reps")
-    bitmap = long_lists(found)
-    # likely copies, each compared with the first of its group
-    keyed = reps.select("id", "n", F.posexplode("mins").alias("p", "least")).where(F.col("least") != -1).select("id", F.xxhash64("p", "least").alias("g"))
-    firsts = save(keyed.groupBy("g").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "firsts")
-    near = lookup(keyed, firsts, "g", "size", keyed.count(), ["first"]).where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    near = save(near, "near")
-    sizes = reps.select("id", "n").distinct()  # an id with several texts has several sizes
-    fits = near.join(sizes.select(F.col("id").alias("b"), "n"), "b").withColumnRenamed("n", "n_b")
-    fits = lookup(fits, near.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(sizes.select(F.col("id").alias("a"), "n"), "a"), "a", "size", near.count(), ["n"])
-    fits = fits.where((F.col("n") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n") * 100)).select("a", "b").distinct()
-    first_links = save(compare(docs, save(fits, "likely"), key, text, percent), "links")
+    rows = found.where("bucket is null").select("id", "n", "sig", "mins", "sketch", "wide")
+    reps = save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "mins", "sketch", "wide"))), "reps")
+    total = rows.count()
+    bitmaps = long_lists(found, total)
+    # likely copies, each compared with the head of its group
+    first_links = save(compare(docs, save(plausible(_likely(reps, percent), reps, percent), "likely"), key, text, percent), "links")
     tied = connected_components(first_links, "a", "b")
-    nodes = save(sizes.join(tied, sizes["id"] == tied["node"], "left").select("id", "n", F.coalesce("component", "id").alias("part")), "nodes")
+    sizes = reps.select("id", "n", "sketch").distinct()  # an id with several texts has several sizes
+    nodes = save(sizes.join(tied, sizes["id"] == tied["node"], "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("part")), "nodes")
     # every other link
-    lists = save(merged_lists(docs, bitmap, key, text, percent), "lists").join(nodes, "id")
-    more = save(candidates(lists, percent), "candidates")
+    lists = save(merged_lists(docs, bitmaps, key, text, percent), "lists")
+    more = save(plausible(candidates(mixed_lists(lists, nodes, chunk), percent), reps, percent), "candidates")
     all_links = first_links.unionByName(save(compare(docs, more, key, text, percent), "links"))
     final = connected_components(all_links, "a", "b")
     parts = reps.join(final, reps["id"] == final["node"], "left").select("sig", "copies", F.coalesce("component", "id").alias("component"))
     named = rows.select("id", "n", "sig", F.hex("sig").alias("k"))
     told = save(parts.select(F.hex("sig").alias("k"), "copies", "component"), "parts")
-    done = lookup(named, told, "k", "copies", rows.count(), ["component"])
+    done = lookup(named, told, "k", "copies", total, ["component"])
     return done.select("id", "n", "sig", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

@@ -107,6 +107,73 @@ def test_ngram_join_large_group_and_edges(spark):
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def family(n, edits, words=60, seed=1):
+    """Texts that differ from one base in some words each."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), edits(i)):
+            copy[k] = f"e{i}.{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_ngram_join_with_chunks_salted_lists_and_large_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 20)
+    texts = family(150, lambda i: i % 4) + family(90, lambda i: 3 + i % 2, words=50, seed=2)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs)
+    for chunk in (7, ngram_join.CHUNK):
+        assert {r.id: (r.n, r.component) for r in ngram_join.components(df, chunk=chunk).collect()} == want
+
+
+def test_look_alikes_below_the_threshold_make_no_pairs(spark):
+    docs = list(enumerate(family(400, lambda i: 4)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = ngram_join.save(ngram_join.profiles(df, "doc_id", "text"), "profiles")
+    bitmaps = ngram_join.long_lists(found, len(docs))
+    lists = ngram_join.merged_lists(df, bitmaps, "doc_id", "text", 75)
+    nodes = found.where("sig is not null").select("id", "n", "sketch", found["id"].alias("part"))
+    pairs = ngram_join.candidates(ngram_join.mixed_lists(lists, nodes), 75)
+    sets = {d: brute_sets(t) for d, t in docs}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert {(a, b) for a in sets for b in sets if a < b and like(a, b) >= 0.75} <= got and len(got) < 0.02 * 400 * 399 / 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sketches_never_rule_out_what_differs_less(seed):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=n).astype(np.uint64)) for n in (1, 5, 60, 300, 3000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, size=len(s) // 9).astype(np.uint64)])) for s in sets]
+    told = ngram_join._Sketches([ngram_join.sketch(s) for s in sets])
+    left, right = np.triu_indices(len(sets), 1)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)])
+    assert (told.differ(left, right) <= real).all() and told.differ(left, right).sum() > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_list_pairs_against_every_pair(seed):
+    rng = np.random.default_rng(seed)
+    rows, chunk, starts, want = [], [], [], set()
+    for size in (1, 2, 5, ngram_join.SMALL_LIST, ngram_join.SMALL_LIST + 1, 90):
+        n = np.sort(rng.integers(40, 90, size=size))
+        own = np.stack([np.arange(size) + 1000 * len(starts), n, rng.integers(0, 4, size=size)], axis=1)
+        c = rng.integers(0, 2, size=size) if size % 2 else np.zeros(size, int)
+        starts.append(len(rows))
+        for i in range(size):
+            for j in range(i + 1, size):
+                if own[i, 2] != own[j, 2] and 100 * n[i] >= 75 * n[j] and (c[i] != c[j] or c.min() == c.max()):
+                    want.add((len(rows) + i, len(rows) + j))
+        rows += own.tolist()
+        chunk += c.tolist()
+    got = [tuple(sorted(p)) for a, b in ngram_join._list_pairs(np.array(rows), np.array(chunk), np.array(starts), 75) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_probe_against_sets():
     rng = np.random.default_rng(3)
     for _ in range(300):
