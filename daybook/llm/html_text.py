@@ -21,6 +21,8 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,7 +47,7 @@ PLACES = frozenset(
 #: Elements that a new block of the same kind closes: opened element -> elements it closes, and where the search stops.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "body": ("head",)}
 #: Pages and blocks of them up to which the places of templates are broadcast; more are joined by page.
-BROADCAST = 500_000
+BROADCAST, BITS = 200_000, 24
 SCOPES = frozenset("ul ol dl table select div section article main body html".split())
 #: Headings, which the word header in a class doesn't make furniture.
 BLOCKS_OF_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -244,6 +246,22 @@ def _parsed(rows: DataFrame, html: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in others)]))
 
 
+def _hits(gone: DataFrame):
+    """A test of a row's hash against a bitmap of ``2 ^ BITS`` hashes of the rows of ``gone``, whatever their number; it may say yes to others. The bitmap's rows reach the driver packed by 4096 hashes."""
+    bit = F.pmod(F.xxhash64("__row"), F.lit(1 << BITS))
+    flags = np.zeros(1 << BITS, dtype=bool)
+    for r in gone.groupBy(F.floor(bit / 4096).alias("page")).agg(F.collect_set(bit).alias("at")).toLocalIterator():
+        flags[r["at"]] = True
+    packed = np.packbits(flags, bitorder="little")  # 2 MB
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        at = h.to_numpy().astype(np.int64) % (1 << BITS)
+        return pd.Series((packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return may
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = 5) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html."""
 
@@ -261,8 +279,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     gone = save(hit.groupBy("__row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("__gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("__soft")), "gone")
     blocks = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone") + F.size("__soft")).alias("m")).first()
     texts = parsed.select("__row", *others, F.col("__blocks.text").alias("__texts"))  # the hashes have done their work and aren't shuffled
-    marked = texts.join(F.broadcast(gone) if blocks.n + (blocks.m or 0) <= BROADCAST else gone, "__row", "left")
     none = F.array().cast("array<int>")
+    if blocks.n + (blocks.m or 0) <= BROADCAST:
+        marked = texts.join(F.broadcast(gone), "__row", "left")
+    else:  # only pages that may have some are shuffled
+        may = _hits(gone)(F.xxhash64("__row"))
+        marked = texts.where(may).join(gone, "__row", "left").unionByName(texts.where(~may).withColumn("__gone", none).withColumn("__soft", none))
     left = F.filter("__texts", lambda t, i: ~F.array_contains(F.coalesce("__gone", none), i))
     fresh = F.filter("__texts", lambda t, i: ~F.array_contains(F.concat(F.coalesce("__gone", none), F.coalesce("__soft", none)), i))
     size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))

@@ -5,8 +5,11 @@ store Spark writes to. A record's block is an HTTP header and the payload. Recor
 ``revisit`` records with the header alone and refer to the response.
 
 The index is built by an external merge: each archive gives one run of captures, sorted by URL key and time; ranges of
-(URL key, time, page) are dealt over the cluster, and in each range a loser tree merges the runs from a spool file. Ranges
-cut through hosts and URLs, so a host with a third of all pages is spread over many of them.
+(URL key, time, page) are dealt over the cluster by the shuffle, which is the merge's external storage, and in each range a loser tree merges the runs, ``FAN`` at a time in as many passes as that takes. Ranges
+cut through hosts and URLs, so a host with a third of all pages is spread over many of them, and there are so many that a range holds about ``RANGE_ROWS`` captures whatever the corpus.
+
+A capture's time is that of the column ``captured``, or ``started`` for all where the pages have none. Ids are integers of any size; other ids raise.
+Archives are bounded by bytes: records are written in classes of size, each with its own number of records a file, so no file is larger than ``ARCHIVE_BYTES`` unless one record is.
 
 Null html is an empty payload, a null url an empty key; payloads below ``least`` bytes are never revisits. Rows that share the smallest page id of a payload are all
 responses. Null page ids are kept, as responses when nothing smaller has the payload. Columns beside the id, url and html are ignored. An empty table gives no archive and no row.
@@ -16,38 +19,43 @@ from __future__ import annotations
 
 import pickle
 import re
-import tempfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from daybook.operators.durable import save, shared_dir
 from daybook.operators.skew import lookup
 
 BREAK = "\r\n"
-#: Records in one archive file, at most; it is read into a worker's memory whole.
-ARCHIVE_RECORDS = 5_000
-#: Captures that all cursors of a merge hold in memory together.
-MERGE_ROWS = 65_536
-
-
-def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
-    """``page_id, url, html, payload_bytes, payload_digest, refers_to`` with null ``refers_to`` for responses."""
+#: Records and bytes in one archive file, at most; it is read into a worker's memory whole. Each class of sizes holds payloads ``CLASS`` times as large as the one before.
+ARCHIVE_RECORDS, ARCHIVE_BYTES, CLASS = 5_000, 128 << 20, 16
+#: Runs that one tree merges, and captures of a range, about.
+FAN, RANGE_ROWS = 256, 200_000
+#: What a record takes beside its payload and its URL, about.
+HEAD_BYTES = 2_000
+
+
+def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 100, captured: str | None = None) -> DataFrame:
+    """``page_id, url, html, payload_bytes, payload_digest, captured, refers_to`` with null ``refers_to`` for responses and null ``captured`` without such a column."""
+    if not isinstance(pages.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} isn't an integer column")
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(F.encode(body, "UTF-8"), 256).alias("payload_digest"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(F.encode(body, "UTF-8"), 256).alias("payload_digest"), (F.col(captured) if captured else F.lit(None)).cast("timestamp").alias("captured"))
     counts = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = save(counts.where("n > 1"), "payloads")
     total = pages.count()
-    found = lookup(rows, repeated, "payload_digest", "n", total, ["first"])
+    found = lookup(rows, repeated, "payload_digest", "n", total, ["first"], ["page_id", "url", "payload_bytes"])
     return found.select(*rows.columns, F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def _record(rows: DataFrame, started: str) -> DataFrame:
     """One string a record, without the two breaks that end it."""
     revisit = F.col("refers_to").isNotNull()
-    taken = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(started)) + F.coalesce(F.col("page_id"), F.lit(0)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    taken = F.date_format(F.coalesce("captured", F.lit(started).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     link = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     identity = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(BREAK + BREAK))
@@ -62,9 +70,29 @@ def _record(rows: DataFrame, started: str) -> DataFrame:
     return rows.select(head.alias("value"))
 
 
-def write_archives(records: DataFrame, path: str, started: str = "2024-01-01 00:00:00") -> None:
-    """WARC files under ``path``. The pages have no capture time: a page is taken ``page_id`` seconds after ``started``."""
-    _record(records, started).write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def size_class(payload_bytes) -> F.Column:
+    """0 for records of which ``ARCHIVE_RECORDS`` fit into a file, then one more for each ``CLASS`` times the size."""
+    at = F.lit(0)
+    for k in range(len(_records_by_class()) - 1):
+        at = at + (payload_bytes > ARCHIVE_BYTES // ARCHIVE_RECORDS * CLASS**k - HEAD_BYTES).cast("int")
+    return at
+
+
+def _records_by_class() -> list[int]:
+    """Records in a file of each class; one in the last."""
+    out = [ARCHIVE_RECORDS]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // CLASS))
+    return out
+
+
+def write_archives(records: DataFrame, path: str, started: str = "2024-01-01 00:00:00", sizes: DataFrame | None = None) -> None:
+    """WARC files under ``path``, a folder a class of sizes. ``sizes`` may give the column ``payload_bytes`` where it is cheaper to read than from the records."""
+    classed = records.withColumn("class", size_class(F.col("payload_bytes")))
+    present = sorted(r["class"] for r in (sizes or records).select(size_class(F.col("payload_bytes")).alias("class")).distinct().collect())  # at most five
+    for k in present:
+        own = classed.where(F.col("class") == k) if len(present) > 1 else classed
+        _record(own, started).write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", _records_by_class()[k]).text(f"{path}/class-{k}")
 
 
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -127,7 +155,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 for lo in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 5000], strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(parse, INDEX)
 
 
@@ -162,46 +190,37 @@ class LoserTree:
             self.winner = at
 
 
-def _blocks(spool, places: list[tuple[int, int]]) -> Iterator[tuple]:
-    for at, size in places:
-        spool.seek(at)
-        for row in pickle.loads(spool.read(size)):
+def _rows(blocks: list[bytes]) -> Iterator[tuple]:
+    """Captures of a run with their order, a block at a time."""
+    for block in blocks:
+        for row in pickle.loads(block):
             yield _order(row), row
 
 
-def merge_spooled(rows: Iterator[tuple], run_of, block: int = 256) -> Iterator[tuple]:
-    """Sorted rows from rows that come run by run, each run sorted: runs go to a temporary file in blocks, a loser tree merges one cursor a run. The file is gone when the merge ends."""
-    with tempfile.TemporaryFile() as spool:
-        runs: list[list[tuple[int, int]]] = []
-        current, held = None, []
+def _packed(rows: Iterator[tuple], block: int) -> list[bytes]:
+    out, held = [], []
+    for row in rows:
+        held.append(row)
+        if len(held) == block:
+            out.append(pickle.dumps(held, pickle.HIGHEST_PROTOCOL))
+            held = []
+    return [*out, pickle.dumps(held, pickle.HIGHEST_PROTOCOL)] if held else out
 
-        def flush() -> None:
-            if held:
-                data = pickle.dumps(held, pickle.HIGHEST_PROTOCOL)
-                runs[-1].append((spool.tell(), len(data)))
-                spool.write(data)
-                held.clear()
 
-        for row in rows:
-            if run_of(row) != current or len(held) >= block:
-                flush()
-            if run_of(row) != current:
-                current = run_of(row)
-                runs.append([])
-            held.append(row)
-        flush()
-        yield from LoserTree([_blocks(spool, places) for places in runs])
+def merge_sorted(rows: Iterator[tuple], run_of, block: int = 256, fan: int = FAN) -> Iterator[tuple]:
+    """Sorted rows from rows that come run by run, each run sorted. Runs are kept packed; while there are more than ``fan``, passes merge ``fan`` neighbours each into longer ones."""
+    runs = [_packed(run, block) for _, run in groupby(rows, run_of)]
+    while len(runs) > fan:
+        runs = [_packed(iter(LoserTree([_rows(r) for r in runs[lo : lo + fan]])), block) for lo in range(0, len(runs), fan)]
+    yield from LoserTree([_rows(r) for r in runs])
 
 
 def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The captures of all runs in the order of (URL key, time, page), ascending within and across partitions."""
-    n_runs = max(1, runs.select("archive").distinct().count())
-    block = max(8, min(1024, MERGE_ROWS // n_runs))
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in _COLUMNS), strict=True))
         out: list[tuple] = []
-        for row in merge_spooled(rows, lambda r: r[7], block):
+        for row in merge_sorted(rows, lambda r: r[7]):
             out.append(row)
             if len(out) == 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
@@ -209,17 +228,25 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    n = ranges or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     order = ["url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "offset"]
     dealt = runs.repartitionByRange(n, *order).sortWithinPartitions("archive", *order[:3], "offset")
     return dealt.select(*_COLUMNS).mapInArrow(merge, INDEX)
 
 
-def archive_and_index(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archive_and_index(pages: DataFrame, path: str | None = None, captured: str | None = None) -> DataFrame:
     """Write archives of ``pages``, read them back and return the merged capture index."""
     import uuid
 
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(plan_records(pages), path)
+    write_archives(plan_records(pages, captured=captured), path, sizes=pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("payload_bytes")))
+    if not any_file(spark, path):
+        return spark.createDataFrame([], INDEX)
     return merge_runs(save(read_runs(spark, path), "runs"))
+
+
+def any_file(spark: SparkSession, path: str) -> bool:
+    """Whether something was written: an empty table has no archive."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

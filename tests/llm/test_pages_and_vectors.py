@@ -102,6 +102,36 @@ def test_warc_round_trip(spark):
     assert warc.url_key("https://www.Example.COM:80/A/b/?q=1#x") == "com,example)/a/b/?q=1"
 
 
+def test_warc_ids_times_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 40)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400_000)
+    rows = [(10**13 + i, "http://a.example/x", "z" * n, f"2023-0{1 + i % 9}-01 00:00:00", 1) for i, n in enumerate([0, 150, 9_000, 9_001, 200_000, 3_000_000] * 9)] + [(None, "http://a.example/x", "y", None, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string, archive int")
+    got = warc.archive_and_index(df, captured="at").collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(rows) and all(by[i].captured[:10] == (at or "2024-01-01")[:10] and by[i].payload_bytes == len(html) for i, _, html, at, _ in rows)
+    first = {n: 10**13 + i for i, n in enumerate([0, 150, 9_000, 9_001, 200_000, 3_000_000])}
+    assert all(by[i].refers_to == (first[len(html)] if len(html) >= 100 and i != first[len(html)] else None) for i, _, html, _, _ in rows if i)
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in got]
+    assert order == sorted(order)
+    sizes: dict = {}
+    for r in got:
+        sizes.setdefault(r.archive, []).append(r.length)
+    assert all(sum(n) <= 400_000 * 1.2 or len(n) == 1 for n in sizes.values()) and max(map(len, sizes.values())) <= 40
+    assert warc.archive_and_index(df.where("false")).count() == 0
+    with pytest.raises(TypeError, match="integer"):
+        warc.plan_records(df.withColumn("page_id", F.col("page_id").cast("string")))
+
+
+@pytest.mark.parametrize("runs", [1, 5, 40])
+def test_merge_in_passes(runs):
+    rng = random.Random(runs)
+    rows = [[("k%d" % rng.randrange(9), "t", rng.randrange(99), "response", None, 1, "d", f"f{r}", i, 1) for i in range(rng.randrange(1, 20))] for r in range(runs)]
+    rows = [sorted(r, key=warc._order) for r in rows]
+    got = list(warc.merge_sorted((x for r in rows for x in r), lambda r: r[7], block=3, fan=4))
+    assert got == sorted((x for r in rows for x in r), key=warc._order)
+
+
 def test_broken_archive():
     with pytest.raises(ValueError, match="record"):
         list(warc.read_records(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
