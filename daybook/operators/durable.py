@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is one made here."""
+    """The folder that driver and executors share. The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests, a laptop) is one made here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="daybook-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
