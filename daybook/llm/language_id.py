@@ -27,6 +27,8 @@ from daybook.llm.text import STEP_BYTES, steps, text_steps
 
 GAP = " "
 UNKNOWN = "und"
+#: Entries of a direct table of n-grams, at most.
+DIRECT = 1 << 22
 _letter_table: np.ndarray | None = None
 
 
@@ -39,11 +41,15 @@ def _is_letter() -> np.ndarray:
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts with a zero after each, and each text's length with that zero."""
+    """Lower-cased code points of all texts with a zero after each and one before the first, so that every text begins and ends at a gap, and each text's length with its zeros."""
+    if not texts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     low = [t.lower() for t in texts]
-    joined = "\0".join(low) + "\0"
+    joined = "\0" + "\0".join(low) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return points, np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1
+    lengths = np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1
+    lengths[0] += 1
+    return points, lengths
 
 
 def _ngrams(ids: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -134,18 +140,34 @@ class _Scorer:
         for i, c in enumerate(letters):
             self.to_id[ord(c)] = i if c != GAP else 0
         place = {c: i for i, c in enumerate(letters)}
-        self.look = {n: np.full(self.width**n, -1, dtype=np.int64) for n in (1, 2, 3)}
-        for v, g in enumerate(grams):
-            code = 0
-            for c in g:
-                code = code * self.width + place[c]
-            self.look[len(g)][code] = v
+        self.codes, self.values, self.direct = {}, {}, {}
+        for n in (1, 2, 3):
+            own = [(self._code(g, place), v) for v, g in enumerate(grams) if len(g) == n]
+            self.codes[n], self.values[n] = (np.array(x, dtype=np.int64) for x in zip(*sorted(own), strict=True)) if own else (np.zeros(0, np.int64),) * 2
+            if self.width**n <= DIRECT:
+                self.direct[n] = np.full(self.width**n, -1, dtype=np.int64)
+                self.direct[n][self.codes[n]] = self.values[n]
         self.size, self.depth, self.languages = len(grams), model.depth, model.languages
         self.ranks = np.full((len(model.languages), len(grams)), model.depth, dtype=np.int64)
         for i, name in enumerate(model.languages):
             for v, g in enumerate(grams):
                 self.ranks[i, v] = model.ranks[name].get(g, model.depth)
 
+    def _code(self, gram: str, place: dict[str, int]) -> int:
+        code = 0
+        for c in gram:
+            code = code * self.width + place[c]
+        return code
+
+    def known(self, n: int, code: np.ndarray) -> np.ndarray:
+        """Number of each n-gram, -1 for those of no profile: by a direct table while one stays small, else by binary search among the profiles' n-grams, with the same result."""
+        if n in self.direct:
+            return self.direct[n][code]
+        if not len(self.codes[n]):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.codes[n], code), len(self.codes[n]) - 1)
+        return np.where(self.codes[n][at] == code, self.values[n][at], -1)
+
     def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Out-of-place distance to each language over the worst possible, and whether a text has a letter."""
         points, lengths = code_points(texts)
@@ -154,7 +176,7 @@ class _Scorer:
         lettered = np.bincount(owner[ids > 0], minlength=len(texts)) > 0
         counts = np.zeros(len(texts) * self.size, dtype=np.int64)
         for n, code, start in _ngrams(ids, self.width):
-            known = self.look[n][code]
+            known = self.known(n, code)
             keep = known >= 0
             # a gram that starts on the zero after a text belongs to the next one
             whose = owner[np.minimum(start[keep] + (n > 1) * (ids[start[keep]] == 0), len(owner) - 1)]

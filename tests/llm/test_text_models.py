@@ -45,6 +45,45 @@ def test_language_counts_against_plain_loop():
     assert all(got[g] == c for g, c in inner.items())
 
 
+@pytest.mark.parametrize("direct", [1 << 22, 0])
+def test_language_distance_against_plain_loop(spark, monkeypatch, direct):
+    """Out-of-place distances by hand, once with the direct table and once without."""
+    monkeypatch.setattr(language_id, "DIRECT", direct)
+    rows = corpus() + [(50, "слово и дело " * 9, "ru"), (51, "dies und das и это", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), depth=60)
+    held = {g for p in model.ranks.values() for g in p}
+    first = {g: min(p.get(g, model.depth) for p in model.ranks.values()) for g in held}
+    texts = [t for _, t, _ in rows if t]
+    got, _ = language_id._Scorer(model).distances(texts)
+    for k, t in enumerate(texts):
+        padded = f" {t.lower()} "
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = "".join(c if c.isalpha() else " " for c in padded[i : i + n])
+                if g in held and (n == 1 and g != " " or n == 2 and g.strip() or n == 3 and g[1] != " "):
+                    counts[g] = counts.get(g, 0) + 1
+        mine = sorted(counts, key=lambda g: (-counts[g], first[g], g))[: model.depth]
+        for j, name in enumerate(model.languages):
+            theirs = model.ranks[name]
+            cost = sum(abs(theirs[g] - i) if g in theirs else model.depth for i, g in enumerate(mine))
+            assert abs(got[k, j] - cost / (len(mine) * model.depth)) < 1e-9
+
+
+def test_repeated_rows_and_ties(spark):
+    docs, labels = labelled(spark, insult)
+    twice = docs.unionAll(docs)
+    field = toxicity.fit(docs, labels, label="y")
+    vectors = quality.word_vectors(docs)
+    net = quality.fit(docs, labels, vectors, label="y")
+    model = language_id.fit(docs.withColumn("lang", F.lit("en")))
+    for out in (toxicity.score(twice, field), quality.score(twice, vectors, net), language_id.identify(twice, model)):
+        rows = {}
+        for r in out.collect():
+            rows.setdefault(r.doc_id, []).append((r.score, getattr(r, "predicted", None), getattr(r, "lang_pred", None)))
+        assert len(rows) == 165 and all(len(x) == 2 and x[0] == x[1] for x in rows.values())
+
+
 def test_language_without_training(spark):
     docs = spark.createDataFrame(corpus(2), "doc_id long, text string, lang string")
     out = language_id.identify(docs, language_id.fit(docs.where("false"))).collect()
