@@ -9,7 +9,8 @@ counted in overlapping bands of diagonals, bands that reach the bound are kept,
 ``e`` is ``rate`` of the window's length, less where the bound would fall below one. Windows shorter than ``q`` must occur as
 they are, between spaces. Items without a letter or digit match nothing.
 
-The texts are scanned whole, in a pass for each block of at most ``BLOCK_CHARS`` benchmark characters; a block is all that reaches every worker. Null and
+The texts are scanned whole. The benchmark's q-grams are indexed once a place, some 13 bytes a character, whatever number of windows cover the place; the index is
+broadcast in blocks of ``BLOCK_CHARS`` characters, which a worker keeps for all its tasks. A benchmark is a bounded table: more than ``MOST_CHARS`` characters raise. Null and
 empty texts match nothing, repeated rows are treated each, and equal items all match. Other columns pass through; ``leaks`` of the input is
 replaced.
 """
@@ -17,6 +18,7 @@ replaced.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +31,15 @@ from daybook.llm.text import steps
 
 #: Benchmark characters that are matched in one pass over the documents.
 BLOCK_CHARS = 4_000_000
+#: Characters of a benchmark, at most; about 1 GB in each worker.
+MOST_CHARS = 64_000_000
 Q, RATE, WINDOW = 16, 0.05, 200
 #: Windows for partial quotations, and the length from which a quotation is sure to hold one.
 SHORT, STRIDE = 64, 16
 SURE = SHORT + STRIDE - 1
 _BITS = 22
+#: Entries that are counted together.
+PORTION = 2_000_000
 _kept: np.ndarray | None = None
 
 
@@ -69,56 +75,78 @@ def grams(points: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Windows of one block of items, and the sorted q-grams that they hold."""
+    """Windows of one block of items, in order of items, and the sorted q-grams of the items with their places: ``of`` the text, ``at`` the character. ``grids`` tells which windows cover a place."""
 
     item: list
     part: list[bool]  # a short window
     points: list[np.ndarray]
     budget: np.ndarray
     least: np.ndarray
+    start: np.ndarray
     short: list[tuple[object, str]]
     gram: np.ndarray
     of: np.ndarray
     at: np.ndarray
+    grids: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]  # per kind: first window of each text, number of windows, start of the last; size and stride
 
     def bitmap(self) -> np.ndarray:
         out = np.zeros(1 << _BITS, dtype=bool)
         out[self.gram >> np.uint64(64 - _BITS)] = True
         return out
 
+    def covering(self, entry: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(index, window)`` of the windows that hold whole the q-grams at ``entry``; ``index`` counts in ``entry``."""
+        out = []
+        of, at = self.of[entry].astype(np.int64), self.at[entry].astype(np.int64)
+        for first, count, last, size, stride in self.grids:
+            n, tail = count[of], last[of]
+            # evenly spaced windows 0 .. n - 2, and the last one, which ends where its text does
+            lo = np.maximum(-((size - q - at) // stride), 0)
+            hi = np.minimum(at // stride, n - 2)
+            times = np.maximum(hi - lo + 1, 0)
+            index = np.repeat(np.arange(len(entry)), times)
+            out.append((index, first[of[index]] + lo[index] + np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)))
+            ends = np.flatnonzero((n > 0) & (at >= tail))
+            out.append((ends, first[of[ends]] + n[ends] - 1))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
 
 def prepare(items: list[tuple[object, str]], q: int = Q, rate: float = RATE, window: int = WINDOW) -> Windows:
-    out = Windows([], [], [], np.zeros(0, int), np.zeros(0, int), [], np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-    budget, least, g, of, at = [], [], [], [], []
+    out = Windows([], [], [], np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), [], np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), [])
+    budget, least, start, gram, of, at, texts = [], [], [], [], [], [], []
     for item, text in items:
-        points, _ = normalise((text or "").lower())
-        points = _trim(points)
-        if not len(points):
-            continue
-        if len(points) < q:
+        points = _trim(normalise((text or "").lower())[0])
+        if 0 < len(points) < q:
             out.short.append((item, _text(points)))
-            continue
-        cuts = [(s, window) for s in _starts(len(points), window, window // 2)]
-        if SHORT < min(len(points), window):
-            cuts += [(s, SHORT) for s in _starts(len(points), SHORT, STRIDE)]
-        for s, size in cuts:
-            part = points[s : s + size]
-            m = len(part)
-            e = min(int(rate * m), (m - q) // q)
-            h = grams(part, q)
-            g.append(h)
-            of.append(np.full(len(h), len(out.item)))
-            at.append(np.arange(len(h)))
-            out.item.append(item)
-            out.part.append(size < window)
-            out.points.append(part)
-            budget.append(e)
-            least.append(m - q + 1 - q * e)
-    if g:
-        all_grams = np.concatenate(g)
-        order = np.argsort(all_grams, kind="stable")
-        out.gram, out.of, out.at = all_grams[order], np.concatenate(of)[order], np.concatenate(at)[order]
-        out.budget, out.least = np.array(budget), np.array(least)
+        elif len(points):
+            h = grams(points, q)
+            gram.append(h)
+            of.append(np.full(len(h), len(texts), dtype=np.int32))
+            at.append(np.arange(len(h), dtype=np.int32))
+            texts.append((item, points))
+    for size, stride in ((window, window // 2), (SHORT, STRIDE)):
+        first, count, last = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+        for k, (item, points) in enumerate(texts):
+            if size < window and len(points) <= size:
+                continue  # the item is one window already
+            cuts = _starts(len(points), size, stride)
+            first[k], count[k], last[k] = len(out.item), len(cuts), cuts[-1]
+            for s in cuts:
+                part = points[s : s + size]
+                m = len(part)
+                e = min(int(rate * m), (m - q) // q)
+                out.item.append(item)
+                out.part.append(size < window)
+                out.points.append(part)
+                budget.append(e)
+                least.append(m - q + 1 - q * e)
+                start.append(s)
+        out.grids.append((first, count, last, size, stride))
+    if gram:
+        every = np.concatenate(gram)
+        order = np.argsort(every, kind="stable")
+        out.gram, out.of, out.at = every[order], np.concatenate(of)[order], np.concatenate(at)[order]
+        out.budget, out.least, out.start = np.array(budget), np.array(least), np.array(start)
     return out
 
 
@@ -169,6 +197,19 @@ def align(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int,
     return edits, stop - back[1], stop
 
 
+def _portions(whose: np.ndarray, n: np.ndarray) -> Iterator[slice]:
+    """Slices of the hits, whole documents each, with about ``PORTION`` entries; a document with more is one slice."""
+    if not len(whose):
+        return
+    ends = np.append(np.flatnonzero(np.diff(whose)) + 1, len(whose))  # where each document's hits end
+    total = np.cumsum(n)[ends - 1]
+    at = done = 0
+    for k, end in enumerate(ends.tolist()):
+        if total[k] - done >= PORTION or end == len(whose):
+            yield slice(at, end)
+            at, done = end, int(total[k])
+
+
 def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int = Q) -> list[list[dict]]:
     """For each text its matched items, each at its best place, that of a short window only where no other matches: ``item, edits`` and the range of characters of the text."""
     low = [t.lower() for t in texts]
@@ -182,19 +223,24 @@ def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int =
         hit = np.flatnonzero(bitmap[h >> np.uint64(64 - _BITS)])
         lo, hi = np.searchsorted(windows.gram, h[hit], "left"), np.searchsorted(windows.gram, h[hit], "right")
         n = hi - lo
-        where = np.repeat(hit, n)
-        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        of = windows.of[entry]
-        doc = np.searchsorted(begins, where, "right") - 1
-        diagonal = where - begins[doc] - windows.at[entry] + WINDOW  # not negative
         width = int(max(32, 2 * (windows.budget.max() + 1)))
-        band = diagonal // width
-        lower = diagonal % width <= windows.budget[of]  # also in the overlap with the band before
-        doc, of, band = np.concatenate([doc, doc[lower]]), np.concatenate([of, of[lower]]), np.concatenate([band, band[lower] - 1])
-        wide = int(band.max()) + 3 if len(band) else 1
-        keys, counts = np.unique((doc * len(windows.item) + of) * wide + band + 1, return_counts=True)
-        good = counts >= windows.least[keys // wide % len(windows.item)]
-        for key in keys[good].tolist():
+        wide = (int(sizes.max()) + 2 * WINDOW) // width + 3
+        kept = []
+        # a q-gram that many places share makes many entries; some at a time are counted, whole documents together
+        whose = np.searchsorted(begins, hit, "right") - 1
+        for some in _portions(whose, n):
+            where, number = np.repeat(hit[some], n[some]), n[some]
+            entry = np.repeat(lo[some] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+            index, of = windows.covering(entry, q)
+            where, inside = where[index], windows.at[entry[index]] - windows.start[of]
+            doc = np.searchsorted(begins, where, "right") - 1
+            diagonal = where - begins[doc] - inside + WINDOW  # not negative
+            band = diagonal // width
+            lower = diagonal % width <= windows.budget[of]  # also in the overlap with the band before
+            doc, of, band = np.concatenate([doc, doc[lower]]), np.concatenate([of, of[lower]]), np.concatenate([band, band[lower] - 1])
+            keys, counts = np.unique((doc * len(windows.item) + of) * wide + band + 1, return_counts=True)
+            kept += keys[counts >= windows.least[keys // wide % len(windows.item)]].tolist()
+        for key in kept:
             b, w, d = key % wide - 1, key // wide % len(windows.item), key // wide // len(windows.item)
             points, e = parts[d][0], int(windows.budget[w])
             start = max(0, b * width - WINDOW - e)
@@ -219,31 +265,47 @@ def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int =
     return out
 
 
-def _scanner(windows: Windows, schema: str):
-    """A pandas UDF that finds the block's leaks in a column of texts."""
+_built: dict[str, tuple[list[Windows], list[np.ndarray]]] = {}
 
-    @F.pandas_udf(schema)
-    def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bitmap = windows.bitmap()
-        for column in series:
-            texts = column.fillna("").tolist()
-            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
-            yield pd.DataFrame({"leaks": [x for s in steps(sizes, 1_000_000) for x in find_leaks(texts[s], windows, bitmap)]})
 
-    return scan
+def _index(name: str, blocks: list[list[tuple[object, str]]], rate: float) -> tuple[list[Windows], list[np.ndarray]]:
+    """The index of a benchmark, made once a worker; another benchmark takes its place."""
+    if name not in _built:
+        _built.clear()
+        windows = [prepare(block, rate=rate) for block in blocks]
+        _built[name] = windows, [w.bitmap() for w in windows]
+    return _built[name]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` with ``leaks``: an array of the benchmark items found, with edits and character range (null where lower-casing changes the text's length)."""
+    spark = docs.sparkSession
     kind = benchmark.schema[item].dataType.simpleString()
-    schema = f"leaks array<struct<item:{kind},edits:int,start:int,stop:int>>"
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("body"))
-    blocks = max(1, -(-int(items.agg(F.sum(F.length("body"))).first()[0] or 0) // BLOCK_CHARS))
-    out = docs.drop("leaks")
-    found = []
-    for n in range(blocks):
-        block = [(r["item"], r["body"]) for r in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == n).orderBy("item").collect()]  # about BLOCK_CHARS characters
-        out = out.withColumn(f"__leaks{n}", _scanner(prepare(block, rate=rate), schema)(F.col(text)))
-        found.append(f"__leaks{n}")
-    merged = F.concat(*(F.col(f"{c}.leaks") for c in found))
-    return out.withColumn("leaks", merged).drop(*found)
+    chars = int(items.agg(F.sum(F.length("body"))).first()[0] or 0)
+    if chars > MOST_CHARS:
+        raise ValueError(f"a benchmark of {chars} characters; {MOST_CHARS} at most")
+    rows = [(r["item"], r["body"]) for r in items.orderBy("item", "body").collect()]  # bounded just above
+    blocks: list[list[tuple[object, str]]] = [[]]
+    size = 0
+    for row in rows:
+        if size >= BLOCK_CHARS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(row)
+        size += len(row[1])
+    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(blocks)
+
+    @F.pandas_udf(f"leaks array<struct<item:{kind},edits:int,start:int,stop:int>>")
+    def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        windows, bitmaps = _index(name, sent.value, rate)
+        for column in series:
+            texts = column.fillna("").tolist()
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
+            found: list[list[dict]] = []
+            for s in steps(sizes, 1_000_000):
+                each = [find_leaks(texts[s], w, b) for w, b in zip(windows, bitmaps, strict=True)]
+                found += [[x for block in parts for x in block] for parts in zip(*each, strict=True)]
+            yield pd.DataFrame({"leaks": found})
+
+    return docs.drop("leaks").withColumn("leaks", scan(F.col(text))["leaks"])

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators.durable import save
 
-def profiles(rows: DataFrame, filings: DataFrame, person: str, firm: str, filing: str) -> DataFrame:
-    """One row a person and firm: filings, clients, years, and income both by row (``total_income``, inflated by fan-out as the original has it) and by filing (``total_income_dedup``)."""
-    joined = rows.join(filings, filing)
-    once = joined.groupBy(person, firm, filing).agg(F.first("income").alias("income"), F.count(F.lit(1)).alias("times"), F.max("covered_position").alias("covered_position"), F.first("client_name").alias("client_name"), F.first("filing_year").alias("filing_year"))
+
+def appearances(rows: DataFrame, filings: DataFrame, person: str, firm: str, filing: str) -> DataFrame:
+    """One row a person, firm and filing, written once: ``income, times, covered_position, client_name, filing_year`` of the filing, where the person has ``times`` rows. Profiles and agency counts both come from it, so lobbyists and filings meet in one join."""
+    joined = rows.select(person, filing, "covered_position").join(filings, filing)
+    return save(joined.groupBy(person, firm, filing).agg(*(F.first(c).alias(c) for c in ("income", "client_name", "filing_year")), F.count(F.lit(1)).alias("times"), F.max("covered_position").alias("covered_position")), "appearances")
+
+
+def profiles(once: DataFrame, person: str, firm: str, filing: str) -> DataFrame:
+    """One row a person and firm: filings, clients, years, and income both by row (``total_income``, inflated by fan-out as the original has it) and by filing (``total_income_dedup``); position and sample filing are maxima, each by itself."""
     return once.groupBy(person, firm).agg(
         F.count(F.lit(1)).alias("total_filings"), F.count_distinct("client_name").alias("n_clients"), F.sum(F.col("income") * F.col("times")).alias("total_income"), F.sum("income").alias("total_income_dedup"),
-        F.min("filing_year").alias("first_year"), F.max("filing_year").alias("last_year"), F.max("covered_position").alias("covered_position"),
+        F.min("filing_year").alias("first_year"), F.max("filing_year").alias("last_year"), F.max("covered_position").alias("covered_position"), F.max(F.col(filing).cast("string")).alias("sample_uuid"),
     )
 
 
-def agency_counts(rows: DataFrame, filings: DataFrame, targets: DataFrame, person: str, firm: str, filing: str, agency: str) -> DataFrame:
+def agency_counts(once: DataFrame, targets: DataFrame, person: str, firm: str, filing: str, agency: str) -> DataFrame:
     """Filings of each person and firm that name an agency, for all agencies in one join."""
-    mine = rows.select(person, filing).distinct().join(filings.select(filing, firm, "client_name"), filing)
-    return mine.join(targets.select(filing, agency).distinct(), filing).groupBy(person, firm, agency, "client_name").agg(F.count(F.lit(1)).alias("n"))
+    return once.select(person, firm, filing, "client_name").join(targets.select(filing, agency).distinct(), filing).groupBy(person, firm, agency, "client_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_clients(counts: DataFrame, keys: list[str], n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from daybook.functions import registry
 from daybook.functions import text as T
 from daybook.operators import archive, awards, graph, lint, mentions, quality, resolve, scan, status
+from daybook.operators.durable import save
 from daybook.plans import register
 from daybook.plans.bind import FILINGS, LINES, PRESS, Bound, sql
 from daybook.plans.lobbying import spend_view
@@ -27,13 +28,13 @@ _OUT = "lobbyist_name, registrant_name, entity_name, covered_position, total_fil
 
 
 def candidates(b: Bound, min_filings: int = MIN_FILINGS, min_conc: float = MIN_CONC) -> DataFrame:
-    rows = b.lines
-    filings = b.filings.select("filing_uuid", "registrant_name", "client_name", "income", "filing_year")
-    people = scan.profiles(rows.select("filing_uuid", "lobbyist_name", "covered_position"), filings, "lobbyist_name", "registrant_name", "filing_uuid")
-    counts = scan.agency_counts(rows, filings, rows, "lobbyist_name", "registrant_name", "filing_uuid", "entity_name")
+    rows = save(b.lines.select("filing_uuid", "lobbyist_name", "covered_position", "entity_name"), "lines")
+    once = scan.appearances(rows, b.filings.select("filing_uuid", "registrant_name", "client_name", "income", "filing_year"), "lobbyist_name", "registrant_name", "filing_uuid")
+    people = scan.profiles(once, "lobbyist_name", "registrant_name", "filing_uuid")
+    counts = scan.agency_counts(once, rows, "lobbyist_name", "registrant_name", "filing_uuid", "entity_name")
     counted = scan.top_clients(counts, ["lobbyist_name", "registrant_name", "entity_name"])
     found = scan.scan(people, counted, ["lobbyist_name", "registrant_name"], F.lit(SENIORITY), min_filings, min_conc)
-    return found.withColumn("total_income", F.round("total_income", 2)).withColumn("total_income_dedup", F.round("total_income_dedup", 2))
+    return found.drop("sample_uuid").withColumn("total_income", F.round("total_income", 2)).withColumn("total_income_dedup", F.round("total_income_dedup", 2))
 
 
 @register("o34", sql(_SCAN + f"SELECT {_OUT}, row_number() OVER (ORDER BY round(share * ln(total_filings + 1) * 5, 4) DESC, lobbyist_name, registrant_name, entity_name) AS rank FROM cand WHERE total_filings >= {MIN_FILINGS} AND share >= {MIN_CONC} ORDER BY score DESC, 1, 2, 3 LIMIT 40", FILINGS, LINES))

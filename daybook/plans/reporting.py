@@ -51,15 +51,15 @@ _SCAN = (FILINGS, LINES, OFFICES, MEANING)
 def findings(b: Bound) -> DataFrame:
     """The registry scan: positions name agencies by the registry's patterns, filings by its fragments, and seniority is the registry's."""
     lines = save(offices(b), "offices")
-    filings = b.filings.select("filing_uuid", "registrant_name", "client_name", "income")
-    rows = lines.join(filings, "filing_uuid")
-    profiles = rows.groupBy("lobbyist_name", "registrant_name").agg(F.max("position").alias("covered_position"), F.count_distinct("filing_uuid").alias("total_filings"), F.max(F.col("filing_uuid").cast("string")).alias("sample_uuid"), F.round(F.sum("income"), 2).alias("total_income"))
+    filings = b.filings.select("filing_uuid", "registrant_name", "client_name", "income", "filing_year")
+    once = scan.appearances(lines.withColumnRenamed("position", "covered_position"), filings, "lobbyist_name", "registrant_name", "filing_uuid")
+    profiles = scan.profiles(once, "lobbyist_name", "registrant_name", "filing_uuid").withColumn("total_income", F.round("total_income", 2))
     marks = F.explode(registry.agencies_of(F.col("covered_position")))
     meant = profiles.select("covered_position").distinct().select("covered_position", marks.alias("m")).select("covered_position", F.col("m.agency").alias("agency_short"), "m.seniority")  # each position is read once
     people = profiles.where(F.col("total_filings") >= MIN_FILINGS).join(meant, "covered_position")
     agency = F.array_compact(F.array(*(F.when(F.col("entity").ilike(f"%{fragment}%"), F.lit(short)) for short, fragment, *_ in registry.AGENCIES)))
     targets = lines.select("filing_uuid", F.explode(agency).alias("agency_short"))
-    counts = scan.agency_counts(lines, filings, targets, "lobbyist_name", "registrant_name", "filing_uuid", "agency_short")
+    counts = scan.agency_counts(once, targets, "lobbyist_name", "registrant_name", "filing_uuid", "agency_short")
     tops = scan.top_clients(counts, ["lobbyist_name", "registrant_name", "agency_short"])
     found = scan.scan(people, tops, ["lobbyist_name", "registrant_name", "agency_short"], F.col("seniority"), MIN_FILINGS, MIN_CONC)
     return found.select("lobbyist_name", "registrant_name", "agency_short", "covered_position", "sample_uuid", "total_filings", "agency_filings", "top_clients_str", "total_income", "concentration", "score")

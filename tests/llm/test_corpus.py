@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.llm import decontaminate, line_dedup, ngram_join, packing
 
@@ -235,6 +236,57 @@ def test_quotations_at_every_offset(size):
     assert decontaminate.find_leaks([item], windows, windows.bitmap())[0][0]["stop"] == min(size, decontaminate.WINDOW)
 
 
+def fewest_edits(pattern, text):
+    """Edits of the pattern against its best substring, by the full table."""
+    row = np.zeros(len(text) + 1, dtype=int)
+    for i, c in enumerate(pattern, 1):
+        step = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+        row = np.concatenate([[i], step])
+        row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))
+    return int(row.min())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_filter_misses_nothing_that_full_alignment_finds(seed):
+    rng = random.Random(seed)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    items = [(i, say(n)[:size].strip()) for i, (n, size) in enumerate([(60, 20), (60, 31), (60, 64), (60, 90), (80, 200), (90, 203), (120, 330)])]
+    items.append((90, items[4][1]))  # equal items both match
+    windows = decontaminate.prepare(items)
+    assert all(windows.gram[k] == decontaminate.grams(decontaminate.normalise(items[windows.of[k]][1])[0])[windows.at[k]] for k in range(0, len(windows.gram), 37))
+
+    def edited(text, n):
+        chars = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(chars))
+            chars[k : k + 1] = rng.choice([[], [rng.choice("abcdefgh ")], [chars[k], rng.choice("abcdefgh")]])
+        return "".join(chars)
+
+    docs = [say(40)]
+    for _, body in items:
+        docs += [f"{say(10)} {edited(body, n)} {say(10)}" for n in (0, 1, 2, 5, 9, 14)] + [f"{say(5)} {edited(body[len(body) // 3 :], 2)} {say(30)} {body[: len(body) // 2]}"]
+    got = [[x["item"] for x in found] for found in decontaminate.find_leaks(docs, windows, windows.bitmap())]
+    for text, found in zip(docs, got, strict=True):
+        points = decontaminate.normalise(text)[0]
+        want = {windows.item[w] for w, part in enumerate(windows.points) if fewest_edits(part, points) <= windows.budget[w]}
+        assert set(found) == want
+
+
+def test_blocks_of_a_benchmark_and_clashing_names(spark, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n))
+    items = [(i, say(30)) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"{say(20)} {items[i][1]} {say(20)}" if i % 2 else say(50), "x", "y") for i in range(12)], "doc_id long, text string, item string, __leaks0 string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: ([x["item"] for x in r.leaks], r.item, r["__leaks0"]) for r in decontaminate.mark(docs, bench).collect()}
+    assert whole == {i: ([i] if i % 2 else [], "x", "y") for i in range(12)}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert {r.doc_id: ([x["item"] for x in r.leaks], r.item, r["__leaks0"]) for r in decontaminate.mark(docs, bench).collect()} == whole
+    monkeypatch.setattr(decontaminate, "MOST_CHARS", 300)
+    with pytest.raises(ValueError, match="at most"):
+        decontaminate.mark(docs, bench)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -248,6 +300,7 @@ def test_packing_round_trip(spark):
     for _, rows in got.sort_values("offset").groupby("sequence_id"):
         assert (rows.offset + rows.length).tolist()[:-1] == rows.offset.tolist()[1:] and rows.offset.iloc[0] == 0 and rows.length.sum() <= packing.WINDOW
     assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
+    assert got.sequence_id.nunique() * packing.WINDOW < 1.05 * got.length.sum() + packing.WINDOW  # little padding
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
 
 
@@ -266,6 +319,71 @@ def test_plan_uses_every_length_once(seed):
     assert (used == histogram).all()
 
 
+def test_most_windows_come_from_the_least_squares():
+    rng = np.random.default_rng(1)
+    histogram = np.bincount(np.minimum(rng.lognormal(6, 1, size=20000).astype(int) + 1, 4095), minlength=4096)
+    made = packing.plan(histogram)
+    left, exact = histogram.copy(), 0
+    for lengths, times in zip(made.windows, made.repeats, strict=True):
+        exact += times * (len(lengths) <= 3 and sum(lengths) == packing.WINDOW)
+        for n in lengths:
+            left[n] -= times
+    assert (left == made.loose).all() and made.loose.sum() < 100
+    short = sum(n * histogram[n] for n in range(4096)) / packing.WINDOW
+    assert sum(made.repeats) <= short * 1.01 + 1 and exact > 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, no rows, and a column of a clashing name through every stage."""
+    import shutil
+
+    import corpus_pipeline as c
+
+    for name in ("documents", "benchmark"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    base = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(40)
+    odd = [(900, None, None, None, None), (901, "", "en", "s", 0), (902, " \n ", "en", "s", 3), (903, "the that with from and " * 30_000, None, "s", 1), (904, "12 34", None, None, 5), (905, "the that with from and this is said of all", "en", "s", 1), (905, "the that with from and this is said of all", "en", "s", 1), (None, "the that with from and this is said of none", "en", "s", 2)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumn("component", F.lit(1)).withColumn("leaks", F.lit(2))
+    ids = {r.doc_id for r in base.collect()} | {903, 905, None}
+    for rows, want in ((docs, True), (docs.where("false"), False)):
+        for name, stage in c.STAGES:
+            rows = c.save(stage(spark, rows, str(tmp_path)), name)
+            if name != "packing":
+                assert set(c.COLUMNS) <= set(rows.columns)
+            if name == "language_id":
+                kept = {r.doc_id for r in rows.collect()}
+                assert (kept == ids) if want else not kept
+        got = {r.doc_id for r in rows.select("doc_id").collect()}
+        assert ({903, 905, None} <= got <= ids) if want else not got
+
+
+def test_every_registered_query_of_this_part(spark):
+    """The registered queries themselves, on the smallest tables: contracts' columns and one row a document, page, vector or piece."""
+    import __spark_entry__
+    from daybook.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    size = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages", "embeddings")}
+    want = {
+        "op2_ngram_join": ("documents", ["doc_id", "n_shingles", "component_id"]), "op4_toxicity": ("documents", ["doc_id", "held_out", "score", "predicted", "spans"]), "op6_html_text": ("pages", ["page_id", "url", "text", "n_chars"]),
+        "op7_language_id": ("documents", ["doc_id", "held_out", "lang_pred", "score"]), "op8_embedding_dedup": ("embeddings", ["vec_id", "n_links", "component_id", "kept"]), "op9_warc": ("pages", ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]),
+        "op10_quality": ("documents", ["doc_id", "held_out", "score", "predicted"]), "op1_line_dedup": ("documents", ["doc_id", "text"]),
+    }
+    queries = __spark_entry__.queries()
+    assert set(registry.QUERIES) | {"pipeline"} <= set(queries)
+    rows = {}
+    for name, (table, columns) in want.items():
+        out = queries[name](spark, sf)
+        assert set(columns) <= set(out.columns)
+        rows[name] = out.collect()
+        assert len(rows[name]) == size[table]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows["op2_ngram_join"]} == brute_components(docs)
+    assert queries["op5_decontaminate"](spark, sf).columns[:2] == ["doc_id", "item_id"]
+    pieces = queries["op3_packing"](spark, sf).toPandas()
+    assert pieces.groupby("doc_id").length.sum().to_dict() == pieces.groupby("doc_id").doc_tokens.first().to_dict() and len(pieces.doc_id.unique()) == size["documents"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
