@@ -57,3 +57,20 @@ def resolve_people(names: DataFrame, threshold: float = 95.0, high: float = 97.0
     roots = save(_components(forms, fuzzy.select("a", "b")), "roots")
     least = fuzzy.join(roots, fuzzy["a"] == roots["norm"]).groupBy("root").agg(F.min("ratio").alias("ratio"))
     return _described(forms.join(roots, "norm"), "person", least, high)
+
+
+def write_entity_map(mapped: DataFrame, path: str) -> DataFrame:
+    """The entity map as a table, in order of names within files, so that a lookup by name reads few row groups."""
+    n = max(1, int(mapped.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    mapped.repartitionByRange(n, "raw_name").sortWithinPartitions("raw_name", "entity_type").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return mapped.sparkSession.read.schema(mapped.schema).parquet(path)
+
+
+def evaluate(mapped: DataFrame, same: DataFrame, other: DataFrame) -> DataFrame:
+    """Figures of a map on pairs ``a, b`` of names that mean one entity and pairs that don't."""
+    from daybook.operators.reports import figures
+
+    cluster = lambda c: mapped.select(F.col("raw_name").alias(c), F.col("cluster_id").alias(f"of_{c}"))
+    marked = same.select("a", "b", F.lit(True).alias("same")).unionByName(other.select("a", "b", F.lit(False).alias("same")))
+    told = marked.join(cluster("a"), "a", "left").join(cluster("b"), "b", "left")
+    return figures(told, F.col("same"), F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False)))

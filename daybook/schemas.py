@@ -16,6 +16,6 @@ HOUSE_XML = (
     f"alis struct<ali_info:array<struct<issueAreaCode:string,specific_issues:struct<description:string>,lobbyists:struct<lobbyist:array<{_LOBBYIST}>>>>,ali_Code:array<string>>, specific_issues struct<description:array<string>>, lobbyists struct<lobbyist:array<{_LOBBYIST}>>"
 )
 FINDINGS_JSON = "findings array<struct<rank:long,score:double,lobbyist_name:string,registrant_name:string,agency_short:string,concentration:double,total_income:double,top_clients_str:string>>"
-TRACE_CASE = "lobbyist string, agency string, award_groups array<string>, time_period struct<start:string,end:string>, match array<string>, clients array<struct<label:string,search:string,name_tokens:array<string>>>"
-PRESS_CASE = "case_id string, label string, clients array<struct<name:string,aliases:array<string>>>, filters struct<since:string,until:string,party:string,state:string,chamber:string,domain_contains:string>, match array<string>"
+TRACE_CASE = "lobbyist string, agency string, award_groups array<string>, time_period struct<start:string,end:string>, match array<struct<lobbyist_name:string,agency_short:string>>, clients array<struct<label:string,search:string,name_tokens:array<string>>>"
+PRESS_CASE = "case_id string, label string, clients array<struct<name:string,aliases:array<string>>>, filters struct<since:string,until:string,party:string,state:string,chamber:string,domain_contains:string>, match array<struct<lobbyist_name:string,agency_short:string>>"
 AWARD = "client string, award_id string, recipient string, amount double, agency string, sub_agency string, award_type string, description string, start_date string"

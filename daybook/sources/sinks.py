@@ -8,7 +8,8 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FINDING = ["rank", "score", "lobbyist_name", "registrant_name", "agency", "covered_position", "concentration", "agency_filings", "total_filings", "n_clients", "total_income", "first_year", "last_year", "top_clients_str"]
+# Columns of the findings file, in order.
+FINDING = ["score", "agency_short", "lobbyist_name", "registrant_name", "covered_position", "concentration", "agency_filings", "total_filings", "n_clients", "total_income", "first_year", "last_year", "top_clients_str", "sample_uuid", "sample_source"]
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -16,6 +17,12 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*(columns or df.columns)).coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
+def findings_csv(found: DataFrame, path: str) -> None:
+    """The findings with their fixed columns, best first; a column that the scan lacks is empty."""
+    named = found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in FINDING))
+    csv(named.orderBy(F.desc("score"), "lobbyist_name", "registrant_name", "agency_short"), path)
+
+
 def trail_csv(trails: DataFrame, path: str) -> None:
     """A row a client of each trail; a trail without clients keeps one."""
     csv(trails.select("case_id", F.explode_outer("clients").alias("c")).select("case_id", F.coalesce("c.label", F.lit("")).alias("label"), F.coalesce("c.total", F.lit(0.0)).alias("total")), path)
@@ -34,8 +41,43 @@ def markdown(df: DataFrame, order: list, title: str) -> str:
     return "\n".join([*head, *("| " + " | ".join(cell(r[c]) for c in df.columns) + " |" for r in rows)]) + "\n"
 
 
+def findings_draft(found: DataFrame, top: int = 10) -> str:
+    """A draft that tells the first findings one by one; only they reach the driver."""
+    out = ["# Structural patterns", ""]
+    for r in found.orderBy(F.desc("score"), "lobbyist_name", "registrant_name", "agency_short").limit(top).collect():
+        out += [f"## {r.lobbyist_name} — {r.agency_short}", "", f"{r.agency_filings} of {r.total_filings} filings at {r.registrant_name} ({100 * r.concentration:.1f}%) name the agency; score {r.score:.2f}.", "", f"- Position: {r.covered_position}", f"- Clients: {r.top_clients_str}", f"- Sample filing: {r.sample_uuid}", ""]
+    return "\n".join(out)
+
+
+def money_trail(trails: DataFrame, totals: DataFrame, top: int = 50) -> str:
+    """A report of trails with their totals in front."""
+    t = totals.first()
+    head = ["# Money trail", "", f"- Total: ${t.grand_total or 0:,.0f}", f"- Routine: ${t.routine_total or 0:,.0f}", f"- Discretionary: {t.pct_discretionary or 0:.1f}%", ""]
+    rows = trails.orderBy(F.desc("total"), "client_name").limit(top).collect()
+    return "\n".join([*head, "| Client | Awards | Total | Discretionary |", "|---|---|---|---|", *(f"| {r.client_name} | {r.n_awards} | ${r.total:,.0f} | ${r.discretionary_amount:,.0f} |" for r in rows)]) + "\n"
+
+
+def press_report(tallies: DataFrame, matches: DataFrame, per_client: int = 10) -> str:
+    """Clients by number of matches, each with its newest releases."""
+    from pyspark.sql import Window
+
+    newest = Window.partitionBy("client").orderBy(F.desc("date"), "doc_id")
+    rows = matches.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= per_client).orderBy("client", "k").collect()
+    out = ["# Press releases", ""]
+    for t in tallies.orderBy(F.desc("n_matches"), "client").collect():
+        out += [f"## {t.client}", "", f"{t.n_matches} matches by {t.n_members} members, {t.first_date} to {t.last_date}", "", *(f"- {r.date} {r.member_name}: {r.snippet}" for r in rows if r.client == t.client), ""]
+    return "\n".join(out)
+
+
+def graph_summary(named: DataFrame, links: DataFrame, bridges: DataFrame, triangles: DataFrame, hubs: DataFrame) -> str:
+    """Counts by type, then the strongest bridges, triangles and hubs."""
+    part = lambda title, df, order, n: [f"## {title}", "", *("- " + ", ".join(f"{c}: {r[c]}" for c in df.columns) for r in df.orderBy(*order).limit(n).collect()), ""]
+    kinds = [f"- {r.type}: {r.n}" for df in (named, links) for r in df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy("type").collect()]
+    return "\n".join(["# Graph", "", *kinds, "", *part("Bridges", bridges, [F.desc("n_lobbyists"), "client"], 15), *part("Triangles", triangles, [F.desc("mentions"), F.desc("dollars"), "member", "client", "agency"], 25), *part("Hubs", hubs, [F.desc("score"), "client"], 15)])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows whose key isn't among the new ones, and the new ones."""
+    """Old rows whose key isn't among the new ones, and the new ones; a document of them is sorted by its writer."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
