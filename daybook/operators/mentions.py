@@ -17,17 +17,28 @@ def filtered(press: DataFrame, since: str | None = None, until: str | None = Non
     return out
 
 
-def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: int | None = None, key: tuple[str, ...] = ("member_name", "date", "title"), tie: str = "doc_id") -> DataFrame:
-    """``client`` with each matching release once a client, newest first, ``n`` at most. One scan of the text for all clients: the patterns are literals that make an array of the clients found."""
+def _any(marks: list[str]) -> str:
+    """One expression for all of ``term_pattern``'s, so that a release without a mention is read once."""
+    return "(?iu)(?:" + "|".join(m.removeprefix("(?iu)") for m in marks) + ")"
+
+
+def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: int | None = None, key: tuple[str, ...] = ("member_name", "date", "title"), tie: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """``client`` with each matching release once a client, newest first, ``n`` at most. One scan of the text for all clients: rows that name any are found by one expression, and only these are tried with each client's, literals that make an array of the clients found.
+
+    The text itself has done its work then and isn't among the columns. ``limit`` keeps so many of the newest hits of each client before repeats are taken out, as the original does; by default all stay."""
     marks = [(label, mark) for label, aliases in clients if (mark := term_pattern(aliases or [label]))]
+    rest = [c for c in press.columns if c != "text"]
     if not marks:
-        return press.withColumn("client", F.lit(None).cast("string")).withColumn("snippet", F.lit("")).where("false")
+        return press.select(*rest, F.lit(None).cast("string").alias("client"), F.lit("").alias("snippet")).where("false")
+    named = press.where(F.col("text").rlike(_any([m for _, m in marks])) | F.col("title").rlike(_any([m for _, m in marks])))
     found = F.array_compact(F.array(*(F.when(F.col("text").rlike(m) | F.col("title").rlike(m), F.struct(F.lit(label).alias("client"), F.when(F.col("text").rlike(m), snippet(F.col("text"), m)).otherwise(snippet(F.col("title"), m)).alias("snippet"))) for label, m in marks)))
-    hits = press.withColumn("hit", F.explode(found)).select("*", "hit.client", "hit.snippet").drop("hit")
+    hits = named.select(*rest, F.explode(found).alias("hit")).select(*rest, "hit.client", "hit.snippet")
+    newest = Window.partitionBy("client").orderBy(F.desc("date"), tie)
+    if limit is not None:
+        hits = hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= limit).drop("__n")
     first = Window.partitionBy("client", *key).orderBy(tie)
     hits = hits.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     if per_client is not None:
-        newest = Window.partitionBy("client").orderBy(F.desc("date"), tie)
         hits = hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= per_client).drop("__n")
     return hits
 
@@ -41,6 +52,7 @@ def attribute(press: DataFrame, clients: list[tuple[str, list[str]]]) -> DataFra
     return press.withColumn("client", who).where("client IS NOT NULL")
 
 
-def tallies(hits: DataFrame, person: str = "member_name") -> DataFrame:
-    """Matches, members and dates of each client."""
-    return hits.groupBy("client").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct(person).alias("n_members"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+def tallies(hits: DataFrame, person: str = "member_name", identity: str = "bioguide_id") -> DataFrame:
+    """Matches, members and dates of each client; a member is told by ``identity`` where the release has one, else by name."""
+    who = F.coalesce(F.nullif(F.col(identity), F.lit("")), F.col(person)) if identity in hits.columns else F.col(person)
+    return hits.groupBy("client").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct(who).alias("n_members"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))

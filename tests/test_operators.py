@@ -124,3 +124,71 @@ def test_archive(spark):
     row = archive.merge(held, new).where("url = 'http://b'").first()
     assert (row.wayback, row.archive_today) == ("x", "z")
     assert archive.exit_code(new).first().exit_code == 1
+
+
+def test_search_of_releases(spark):
+    from daybook.operators import mentions
+
+    rows = [(1, "Ann", "A1", "2024-01-01", "t", "ACME built it"), (2, "Ann", "A1", "2024-01-01", "t", "again Acme"), (3, "Bob", "", "2024-02-01", "about acme", "x"), (4, "B. Bob", None, "2024-03-01", "t", "Acmeville and o’Neil's"), (5, "Ann", "A1", "2024-04-01", "u", "acme and O'Neil")]
+    press = spark.createDataFrame(rows, "doc_id int, member_name string, bioguide_id string, date string, title string, text string")
+    case = [("Acme", []), ("ONeil", ["O'Neil"]), ("None", ["nobody"])]
+    hits = mentions.search(press, case)
+    assert sorted((r.client, r.doc_id) for r in hits.collect()) == [("Acme", 1), ("Acme", 3), ("Acme", 5), ("ONeil", 4), ("ONeil", 5)] and "text" not in hits.columns
+    assert {r.client: (r.n_matches, r.n_members) for r in mentions.tallies(hits).collect()} == {"Acme": (3, 2), "ONeil": (2, 2)}
+    assert sorted((r.client, r.doc_id) for r in mentions.search(press, case, per_client=1).collect()) == [("Acme", 5), ("ONeil", 5)]
+    assert sorted(r.doc_id for r in mentions.search(press, case[:1], limit=2).collect()) == [3, 5]
+    assert mentions.search(press, []).count() == 0 and next(r.snippet for r in hits.collect() if r.doc_id == 1) == "**ACME** built it"
+
+
+def test_resolved_names_against_union_find(spark):
+    """The query over names of parts and hosts, against blocks, ratios and a union by hand."""
+    from daybook import plans
+    from daybook.functions import text as T
+    from daybook.plans import catalogue
+
+    catalogue.load_all()
+    sf = "/root/testdata/sf0.001"
+    raws = {r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()} | {r.h for r in spark.read.parquet(f"{sf}/pages.parquet").select(F.parse_url("url", F.lit("HOST")).alias("h")).collect()}
+    raws -= {None, ""}
+    forms = spark.createDataFrame([(r, n) for r in raws for n in T.other_names(r)], "raw string, name string").select("raw", T.organisation(F.col("name")).alias("norm")).where("norm <> ''").collect()
+    norms, up = sorted({r.norm for r in forms}), {}
+    root = lambda n: n if up.get(n, n) == n else root(up[n])
+    join = lambda a, b: up.__setitem__(max(root(a), root(b)), min(root(a), root(b)))
+    by_raw = {}
+    for r in forms:
+        by_raw.setdefault(r.raw, []).append(r.norm)
+    for group in by_raw.values():
+        for n in group[1:]:
+            join(group[0], n)
+    for a in norms:
+        for b in norms:
+            if a < b and a.split(" ")[0] == b.split(" ")[0] and abs(len(a) - len(b)) <= max(len(a), len(b)) // 2 and T.indel(T.sorted_words(a), T.sorted_words(b)) >= 92:
+                join(a, b)
+    want = {}
+    for raw, group in by_raw.items():
+        want.setdefault(root(group[0]), set()).add(raw)
+    assert clusters(plans.QUERIES["i_orgs"](spark, sf)) == sorted(map(sorted, want.values()))
+
+
+def test_registry_names_every_agency(spark):
+    """Each agency's own words in either order, and titles too far away."""
+    from daybook.functions import registry
+
+    rows = [("General Counsel, FERC",), ("FERC, General Counsel",), ("General Counsel " + "x" * 61 + " FERC",), ("Chief of Staff " + "x" * 70 + " FERC",), ("Secretary, VA Approps",), ("Chairwoman of the SEC and Commissioner, FTC",), ("SEC",)]
+    got = spark.createDataFrame(rows, "p string").select("p", registry.agencies_of(F.col("p")).alias("a")).collect()
+    assert [sorted(x.agency for x in r.a) for r in got] == [["ferc"], ["ferc"], [], ["ferc"], [], ["ftc", "sec"], []]
+    years = spark.createDataFrame([("Aide 2011-2014, 1999",), ("Aide",)], "p string").select(registry.end_year(F.col("p")).alias("y"))
+    assert [r.y for r in years.collect()] == [2014, None]
+    assert [r[0] for r in years.select(registry.fast_pivot(F.col("y"), F.lit(2016))).collect()] == [True, False]
+
+
+def test_small_functions(spark):
+    from daybook.functions import text as T
+
+    row = spark.createDataFrame([("a | |b ", "Rural Housing Service (x)", ["Ac"], "the ACME co")], "p string, s string, t array<string>, r string").select(T.pieces(F.col("p")), T.routine(F.col("s")), T.names_recipient(F.col("t"), F.col("r"))).first()
+    assert tuple(row) == (["a", "b"], True, True)
+    html = spark.createDataFrame([('<meta http-equiv="refresh" content="0; url=https://x.org/a">',), ("<p>",)], "h string").select(archive.canonical(F.col("h")).alias("u"))
+    assert [r.u for r in html.collect()] == ["https://x.org/a", None]
+    t = spark.createDataFrame([(1,), (2,), (3,)], "v int")
+    assert [quality.sentinel(t, F.col("v") > 1, "s", low, high).first().severity for low, high in ((2, 2), (3, None), (1, None))] == ["pass", "fail", "pass"]
+    assert [r.v for r in quality.missing(t, t.where("v < 3"), "v").collect()] == [3]
