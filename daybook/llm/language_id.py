@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, steps, text_steps
+from daybook.llm.text import STEP_BYTES, release, steps, text_steps
 
 GAP = " "
 UNKNOWN = "und"
@@ -199,11 +199,12 @@ def identify(docs: DataFrame, model: Profiles, text: str = "text", sharpness: fl
 
     @F.pandas_udf("lang string, score double")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         scorer = _Scorer(model) if model.languages else None
         for column in series:
             texts = column.fillna("").tolist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for s in steps(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1000, STEP_BYTES // 4) if scorer else ():
+            for s in steps(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 4000, STEP_BYTES // 4) if scorer else ():
                 far, lettered = scorer.distances(texts[s])
                 best = far.argmin(axis=1)
                 share = np.exp(-sharpness * (far - far.min(axis=1, keepdims=True)))

@@ -103,13 +103,18 @@ def required(x, y, percent: int = PERCENT):
     return -(-percent * (x + y) // (100 + percent))
 
 
+def _bit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Flags ``at`` of a bitmap of eight flags a byte."""
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def short_prefix(shingles: np.ndarray, long_lists: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Names of the ``n - T + 1`` lists that a document looks for partners in, ``T`` the least that any partner shares: short lists first, each kind by hash. A name is the highest 63 bits of the hash, below zero for short lists, so names sort in this order.
 
     Of the shingles that two sets share, the first in this order has at least ``T - 1`` shared ones after it in either set, so both prefixes hold it."""
     n = len(shingles)
     keep = n + percent * n // -100 + 1
-    is_long = long_lists[shingles >> np.uint64(64 - BITS)]
+    is_long = _bit(long_lists, (shingles >> np.uint64(64 - BITS)).astype(np.int64))
     names = (shingles >> np.uint64(1)).astype(np.int64)
     short = names[~is_long] + np.iinfo(np.int64).min
     return short[:keep] if len(short) >= keep else np.concatenate([short, names[is_long][: keep - len(short)]])
@@ -130,7 +135,7 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``id, n, sig, mins, sketch, wide`` of every row: the set's size, a 128-bit digest of the set and, unless it is empty, its smallest hash in each part of the hash space and its sketches; and rows of ``bucket, seen`` for crowded buckets of shingles of a task, counted above the task's mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, crowd = WordTable(_word, 500_000), np.zeros(1 << BITS, dtype=np.uint32)
+        table, crowd = WordTable(_word, 300_000), np.zeros(1 << BITS, dtype=np.uint16)
         names, kinds = ["id", "n", "sig", "mins", "sketch", "wide", "bucket", "seen"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
         none = lambda k, m: pa.nulls(m, k)
         for batch in text_steps(batches, text, 2_000_000):
@@ -149,7 +154,7 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
             if sets:
                 every = np.concatenate(sets) >> np.uint64(64 - BITS)
                 at, n = np.unique(every, return_counts=True)
-                crowd[at.astype(np.int64)] += n.astype(np.uint32)
+                crowd[at.astype(np.int64)] = np.minimum(crowd[at.astype(np.int64)] + n, 65535)  # enough to tell a long list
             sketches = [pa.array([sketch(s, kind) if len(s) else None for s in sets], pa.binary()) for kind in (SKETCH, WIDE)]
             yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(mins, kinds[3]), *sketches, none(kinds[6], len(sets)), none(kinds[7], len(sets))], names=names)
         usual = int(crowd.mean())
@@ -176,13 +181,13 @@ def merged_lists(docs: DataFrame, bitmaps: tuple[np.ndarray, np.ndarray], key: s
     packed = [np.packbits(x) for x in bitmaps]  # 4 MB
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (flags, hot) = WordTable(_word, 500_000), (np.unpackbits(x).astype(bool) for x in packed)
+        table, (flags, hot) = WordTable(_word, 300_000), packed
         for batch in text_steps(batches, text, 1_000_000):
             prefixes = [short_prefix(s, flags, percent) for s in shingle_sets(_texts(batch, text), table)]
             ids = np.asarray(batch.column(key).cast(pa.int64()))
             if prefixes:
                 h, own = np.concatenate(prefixes), np.repeat(ids, [len(p) for p in prefixes])
-                salt = np.where(hot[(h & np.iinfo(np.int64).max) >> np.int64(63 - BITS)], (_finish(own.view(np.uint64)) % np.uint64(SALT)).astype(np.int32), -1)
+                salt = np.where(_bit(hot, (h & np.iinfo(np.int64).max) >> np.int64(63 - BITS)), (_finish(own.view(np.uint64)) % np.uint64(SALT)).astype(np.int32), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(salt.astype(np.int32))], names=["h", "id", "salt"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,21 +142,11 @@ class Encoder:
         return [self._encode(t.as_py()) if o else x for t, o, x in zip(texts, odd.tolist(), found, strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """This worker's encoder, which later tasks find again with the parts that it remembers."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``row_id, <key>, n_ids, rest, full_crc, rest_crc, ids``: ids as little-endian 16-bit numbers (32 where they need it), the length that is left after full windows, and the crc32 of the 32-bit ids of every full window and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, step = encoder(tokenizer_path), np.array([END_ID], dtype=np.uint32), 4 * window
+        own, end, step = Encoder(tokenizer_path), np.array([END_ID], dtype=np.uint32), 4 * window
         for batch in text_steps(batches, text, 2_000_000):
             ids = [np.concatenate([x, end]).astype("<u4") for x in own.ids(pc.fill_null(batch.column(text).cast(pa.string()), ""))]
             sizes, found = [len(x) for x in ids], [x.tobytes() for x in ids]

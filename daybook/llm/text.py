@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,18 @@ def steps(lengths: np.ndarray, budget: int = STEP_BYTES) -> Iterator[slice]:
             yield slice(lo, hi)
 
 
+def release() -> None:
+    """Give back to the system what earlier tasks of this worker have freed. A worker outlives its tasks, and what the allocators keep of one stage would count beside the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have none
+    if trim:
+        trim(0)
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that their texts sum to about ``budget`` bytes; nulls count as empty."""
+    release()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for s in steps(sizes.astype(np.int64) + 64, budget):

@@ -3,7 +3,8 @@
 Labels mark documents, the field needs labelled tokens. Words whose document frequency is significantly higher in toxic
 than in clean labelled documents mark the tokens of toxic documents as toxic; every other token is clean. The field has
 two states, one weight for each hashed word and for each hashed word beginning, and a full transition table, and is
-trained by gradient steps on its exact likelihood. Forward and backward passes give each token's marginal; a logistic
+trained by gradient steps on its exact likelihood. Word statistics are counted in the cluster; only the words that pass, bucket numbers of a bounded number of pieces of texts, and
+five features a labelled document reach the driver, never a text. Forward and backward passes give each token's marginal; a logistic
 layer turns a document's largest marginal, their sum and share and its length into its score.
 
 Null and empty texts have no token and get the logistic layer's score for that. Without both classes among the
@@ -15,21 +16,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, WordTable, steps
+from daybook.llm.text import STEP_BYTES, WordTable, release, steps, text_steps
+from daybook.operators.durable import drop, save
 
 BUCKETS = 1 << 17
-#: Labelled clean and toxic documents that word statistics are taken from, at most; those with the smallest hashes of their ids. The field trains on ``FIELD_ROWS`` of each.
+#: Labelled clean and toxic documents that word statistics and the logistic layer are taken from, at most; those with the smallest hashes of their ids.
 FIT_ROWS = (8_000, 4_000)
-FIELD_ROWS = 1_500
+#: Words of a piece, and pieces of clean and of toxic documents that the field trains on, at most; those with the smallest hashes. A piece is a sequence of its own.
+PIECE, PIECES = 400, 2_000
 #: Letters of a word's beginning.
 HEAD = 4
 #: Log odds of the toxic state for a word that no toxic document has.
@@ -98,19 +101,51 @@ def marginals(field: Field, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return odds / (1 + odds)
 
 
-def lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 5.0, sure: float = 3.0) -> set[str]:
-    """Words that at least ``least`` toxic documents hold, ``odds`` times as often as clean ones (with half a document added to both) and by ``sure`` standard errors of the log ratio."""
-    seen = (Counter(), Counter())
-    for text, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({normal(w) for w in text.split()} - {""})
-    clean, bad = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    out = set()
-    for w, n in seen[1].items():
-        m = seen[0][w]
-        ratio = np.log((n + 0.5) / bad) - np.log((m + 0.5) / clean)
-        if n >= least and ratio >= np.log(odds) and ratio >= sure * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5)):
-            out.add(w)
-    return out
+def lexicon(found: DataFrame, clean: int, toxic: int, text: str, least: int = 4, odds: float = 5.0, sure: float = 3.0) -> set[str]:
+    """Words that at least ``least`` toxic documents hold, ``odds`` times as often as clean ones (with half a document added to both) and by ``sure`` standard errors of the log ratio. ``found`` has the text and the label ``__y``; each task counts its own documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        core = WordTable(normal, 300_000)
+        for batch in text_steps(batches, text):
+            for t, y in zip(batch.column(text).to_pylist(), batch.column("__y").to_pylist(), strict=True):
+                for w in {core[w] for w in (t or "").split()} - {""}:
+                    seen.setdefault(w, [0, 0])[y] += 1
+            if len(seen) > 500_000:
+                yield _counted(seen)
+                seen = {}
+        yield _counted(seen)
+
+    words = found.select(text, "__y").mapInArrow(count, "word string, m long, n long").groupBy("word").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    ratio = F.ln((F.col("n") + 0.5) / toxic) - F.ln((F.col("m") + 0.5) / clean)
+    error = F.sqrt(1 / (F.col("n") + 0.5) + 1 / (F.col("m") + 0.5))
+    passed = words.where((F.col("n") >= least) & (ratio >= float(np.log(odds))) & (ratio >= sure * error))  # words of a bounded number of toxic documents
+    return {r["word"] for r in passed.select("word").collect()}
+
+
+def _counted(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    clean, toxic = zip(*seen.values(), strict=True) if seen else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], names=["word", "m", "n"])
+
+
+def pieces(found: DataFrame, words: set[str], key: str, text: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets (2 x words) and token labels of at most ``most`` pieces of documents of each class, in an order of their own."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, marked = WordTable(_bucket, 300_000), WordTable(lambda w: normal(w) in words, 300_000)
+        for batch in text_steps(batches, text):
+            rows = []
+            for k, t, y in zip(batch.column("__k").to_pylist(), batch.column(text).to_pylist(), batch.column("__y").to_pylist(), strict=True):
+                split = (t or "").split()
+                for i in range(0, len(split), PIECE):
+                    part = split[i : i + PIECE]
+                    ids, _ = _tokens([" ".join(part)], table)
+                    rows.append((k, i, y, ids.astype("<i4").tobytes(), bytes(bool(y and marked[w]) for w in part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["k", "i", "y", "ids", "marks"])
+
+    cuts = found.select(F.xxhash64(key).alias("__k"), text, "__y").mapInArrow(cut, "k long, i long, y int, ids binary, marks binary")
+    rows = [r for y in (0, 1) for r in cuts.where(F.col("y") == y).orderBy(F.xxhash64("k", "i"), "k", "i", "ids").limit(most).collect()]  # some bytes a word
+    return [(np.frombuffer(r["ids"], "<i4").astype(np.int64).reshape(2, -1), np.frombuffer(r["marks"], np.uint8).astype(bool)) for r in rows]
 
 
 def _doc_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -125,25 +160,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, updates: int = 96, group: int = 128, rate: float = 0.3) -> Field:
-    """Token labels from the lexicon, then about ``updates`` adaptive gradient steps on the likelihood of groups of documents, then the logistic layer weighted to the classes' shares in all labels."""
-    field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(5), prior)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return field
-    words, rng = lexicon(texts, toxic), np.random.default_rng(5)
-    table, marked = WordTable(_bucket), WordTable(lambda w: normal(w) in words)
+def train(parts: list[tuple[np.ndarray, np.ndarray]], field: Field, updates: int = 96, group: int = 128, rate: float = 0.3) -> None:
+    """About ``updates`` adaptive gradient steps of the field on the likelihood of groups of pieces."""
+    rng = np.random.default_rng(5)
     square_e, square_t = np.full(BUCKETS, 1e-6), np.full((2, 2), 1e-6)
-    mixed = rng.permutation(len(texts))
-    used = np.concatenate([mixed[toxic[mixed] == k][:FIELD_ROWS] for k in (0, 1)])
-    for _ in range(-(-updates // -(-len(used) // group))):
-        order = rng.permutation(used)
+    for _ in range(-(-updates // max(1, -(-len(parts) // group)))):
+        order = rng.permutation(len(parts))
         for lo in range(0, len(order), group):
-            rows = order[lo : lo + group]
-            chosen = [texts[i] for i in rows]
-            ids, sizes = _tokens(chosen, table)
-            if not ids.size:
-                continue
-            y = np.fromiter((marked[w] for t, i in zip(chosen, rows, strict=True) for w in t.split()), dtype=bool, count=ids.shape[1]) & np.repeat(toxic[rows] == 1, sizes)
+            chosen = [parts[i] for i in order[lo : lo + group]]
+            ids, y = np.concatenate([i for i, _ in chosen], axis=1), np.concatenate([m for _, m in chosen])
+            sizes = np.array([len(m) for _, m in chosen])
             ahead, back, e = forward_backward(field, ids, sizes)
             p = ahead * back / (1 + ahead * back)
             slope = sum(np.bincount(kind, weights=y - p, minlength=BUCKETS) for kind in ids) - 1e-3 * field.emission
@@ -162,30 +188,54 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, updates: int = 96,
             field.transition += 0.3 * rate * turn / np.sqrt(square_t)
             field.emission.clip(-12, 12, out=field.emission)
             field.transition.clip(-6, 6, out=field.transition)
-    parts = []
-    for lo in range(0, len(texts), 500):
-        ids, sizes = _tokens(texts[lo : lo + 500], table)
-        parts.append(_doc_features(marginals(field, ids, sizes), sizes))
-    x = np.concatenate(parts)
+
+
+def train_layer(x: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Logistic layer on document features, weighted to the classes' shares in all labels: Newton steps with a small ridge."""
     weight = np.where(toxic == 1, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean())) / len(toxic)
-    doc = np.zeros(5)
-    for _ in range(60):  # Newton steps with a small ridge
+    doc = np.zeros(x.shape[1])
+    for _ in range(60):
         q = _sigmoid(x @ doc)
         slope = x.T @ (weight * (toxic - q)) - 1e-4 * doc
-        curve = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(5)
+        curve = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(len(doc))
         doc = doc + np.linalg.solve(curve, slope)
-    field.doc, field.fitted = doc, True
-    return field
+    return doc
+
+
+def _features(field: Field):
+    """A pandas UDF from texts to document features."""
+
+    @F.pandas_udf(", ".join(f"f{i} double" for i in range(5)))
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
+        table = WordTable(_bucket)
+        for column in series:
+            texts = column.fillna("").tolist()
+            lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
+            out = np.zeros((len(texts), 5))
+            for s in steps(lengths, 4 * STEP_BYTES):
+                ids, sizes = _tokens(texts[s], table)
+                out[s] = _doc_features(marginals(field, ids, sizes), sizes)
+            yield pd.DataFrame(out, columns=[f"f{i}" for i in range(5)])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: tuple[int, int] = FIT_ROWS) -> Field:
     """Field from at most ``rows`` labelled documents, clean and toxic; ``labels`` holds only rows that may be learnt from."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("__y"))
-    prior = usable.agg(F.avg("__y")).first()[0]
+    prior = float(usable.agg(F.avg("__y")).first()[0] or 0.0)
+    field = Field(np.zeros(BUCKETS), np.zeros((2, 2)), np.zeros(5), prior)
     by_class = [usable.where(F.col("__y") == y).orderBy(F.xxhash64(key), key).limit(rows[y]) for y in (0, 1)]
-    chosen = by_class[0].unionByName(by_class[1])
-    table = docs.select(key, text).join(F.broadcast(chosen), key).toPandas().sort_values([key, "__y"])  # at most sum(rows) ids and texts
-    return train(table[text].fillna("").tolist(), table["__y"].to_numpy(dtype=np.int64), float(prior or 0.0))
+    chosen = F.broadcast(by_class[0].unionByName(by_class[1]))  # at most sum(rows) ids
+    found = save(docs.select(key, text).join(chosen, key), "labelled")
+    sizes = {r["__y"]: r["n"] for r in found.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) == 2:
+        train(pieces(found, lexicon(found, sizes[0], sizes[1], text), key, text, PIECES), field)
+        table = found.select(key, "__y", _features(field)(F.col(text)).alias("f")).select(key, "__y", "f.*").toPandas().sort_values([key, "__y"])  # seven numbers a document
+        field.doc, field.fitted = train_layer(table[[f"f{i}" for i in range(5)]].to_numpy(), table["__y"].to_numpy(dtype=np.int64), prior), True
+    drop(found)
+    return field
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -193,6 +243,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", threshold: float =
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
     def tag(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         table = WordTable(_bucket)
         for column in series:
             texts = column.fillna("").tolist()
