@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of the blocks of ``scratch`` that are open, innermost last.
+_open: ContextVar[list[list[DataFrame]]] = ContextVar("open", default=[])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests, a laptop) is one made here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +39,36 @@ def save(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Da
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._daybook_path = path
+    if _open.get():
+        _open.get()[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``save`` writes inside are deleted at the end, all but those that are passed to what this gives, which go to the block around it if there is one.
+
+    What leaves the block may be read from kept tables only."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _open.set([*_open.get(), mine])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        stays = {df._daybook_path for df in kept}
+        for df in mine:
+            if df._daybook_path not in stays:
+                drop(df)
+        if _open.get():
+            _open.get()[-1].extend(kept)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``save`` wrote, once nothing will read it again."""
     path = getattr(df, "_daybook_path", None)

@@ -192,3 +192,19 @@ def test_small_functions(spark):
     t = spark.createDataFrame([(1,), (2,), (3,)], "v int")
     assert [quality.sentinel(t, F.col("v") > 1, "s", low, high).first().severity for low, high in ((2, 2), (3, None), (1, None))] == ["pass", "fail", "pass"]
     assert [r.v for r in quality.missing(t, t.where("v < 3"), "v").collect()] == [3]
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from daybook.operators.durable import save, scratch
+
+    there = lambda df: Path(df._daybook_path.removeprefix("file:")).exists()
+    with scratch() as keep:
+        a, b = save(spark.range(3), "a"), keep(save(spark.range(4), "b"))
+        with scratch() as inner:
+            c, d = save(spark.range(5), "c"), inner(save(spark.range(6), "d"))
+        assert not there(c) and there(d) and d.count() == 6
+    assert [there(x) for x in (a, b, d)] == [False, True, False] and b.count() == 4
+    e = save(spark.range(2), "e")
+    assert there(e)
