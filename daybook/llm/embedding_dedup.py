@@ -3,8 +3,10 @@
 Vectors of one label link when their cosine is at least ``threshold``, that is when the unit vectors lie within ``eps`` of
 each other. Equal vectors are one representative with a count. Representatives are rotated onto principal directions (a rotation keeps distances, so
 directions fitted on a bounded sample do), sorted by label and by the grid cells of their leading coordinates, and cut into
-blocks with bounding boxes. Pairs of blocks whose boxes are within ``eps`` are joined: the pair is halved again and again,
-halves whose boxes are further apart are skipped, and small rests are compared in double precision.
+blocks with bounding boxes. The join recurses on intervals of this sequence: a label's whole sequence is joined with itself, an interval is cut into some ``2 ^ FANOUT`` smaller ones, and pairs
+of intervals whose boxes are further apart than ``eps`` are skipped with all that is in them. Down to blocks the levels of intervals are tables of boxes, joined level by level; a pair of
+blocks is halved again and again in one task, and small rests are compared in double precision. Products within ``CLOSE`` of the threshold are taken anew in one fixed order of sums, so a pair at the threshold
+is told alike wherever it is met.
 
 A block pair gives one row for each vector that links in it, its number of links and the smallest id that it hangs together with; pairs of
 vectors are never written. Components are those rows' connected components. What a hot label or a
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.operators.components import connected_components
-from daybook.operators.durable import save
+from daybook.operators.durable import save, scratch
 from daybook.operators.skew import lookup
 
-#: Vectors in a block, rows that are compared without halving them further, leading coordinates that cells and boxes have.
-BLOCK, LEAF, LEADING = 512, 64, 12
+#: Bytes of vectors in a block, about; rows that are compared without halving them further, leading coordinates that cells and boxes have.
+BLOCK, LEAF, LEADING = 1 << 18, 64, 12
+#: Smaller intervals in an interval, as a power of two, and blocks that meet one other block in one task.
+FANOUT, STAR = 5, 16
+CLOSE = 1e-12
 #: Representatives that the principal directions are fitted on, at most; those with the smallest hashes.
 FIT_ROWS = 20_000
 
@@ -99,7 +104,7 @@ def grid_order(reps: DataFrame, eps: float, turn: dict[int, np.ndarray]) -> Data
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "label", "n", "v", "dim")), strict=True):
-                if held and (len(held) == BLOCK or (row[1], row[4]) != (held[0][1], held[0][4])):
+                if held and (len(held) >= max(LEAF, BLOCK // (8 * held[0][4])) or (row[1], row[4]) != (held[0][1], held[0][4])):
                     yield block()
                     held = []
                 held.append(row)
@@ -110,14 +115,36 @@ def grid_order(reps: DataFrame, eps: float, turn: dict[int, np.ndarray]) -> Data
     return save(made.withColumn("block", F.monotonically_increasing_id()), "grid")
 
 
+def _levels(blocks: DataFrame) -> tuple[list[DataFrame], list[tuple[int, int]]]:
+    """Tables of intervals from blocks up to one interval a label and length, ``label, dim, p, n, lo, hi`` with an interval's numbers (of the partition and of the place in it) and its box; and by how many bits both numbers shrink from each table to the next."""
+    place = F.col("block")
+    at = blocks.select("label", "dim", F.shiftright(place, 33).alias("p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("n"), "lo", "hi")
+    most = at.agg(F.max("p").alias("p"), F.max("n").alias("n")).first()
+    tables, shifts, p, n = [at], [], most.p or 0, most.n or 0
+    while p or n:  # places are taken together first, then partitions
+        shifts.append((0, FANOUT) if n else (FANOUT, 0))
+        up = tables[-1].select("label", "dim", F.shiftright("p", shifts[-1][0]).alias("p"), F.shiftright("n", shifts[-1][1]).alias("n"), "lo", "hi")
+        box = [F.array(*(least(F.col(c)[i]) for i in range(LEADING))).alias(c) for c, least in (("lo", F.min), ("hi", F.max))]
+        tables.append(save(up.groupBy("label", "dim", "p", "n").agg(*box), "intervals"))
+        p, n = p >> shifts[-1][0], n >> shifts[-1][1]
+    return tables, shifts
+
+
 def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """``a, b`` (``a <= b``) of blocks of one label and length whose boxes are within ``eps``: an equi join on the first coordinate's cells, each pair at the first cell that both reach."""
-    heads = blocks.select("block", "label", "dim", "lo", "hi", F.floor(F.col("lo")[0] / eps).alias("first"), F.floor(F.col("hi")[0] / eps).alias("last"))
-    left = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns), F.explode(F.sequence("first", F.col("last") + 1)).alias("cell"))
-    right = heads.select(*(F.col(c).alias(f"b_{c}") for c in heads.columns), F.explode(F.sequence("first", F.col("last") + 1)).alias("cell"))
-    gap = F.aggregate(F.zip_with(F.zip_with("a_lo", "b_hi", lambda x, y: x - y), F.zip_with("b_lo", "a_hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    met = left.join(right.withColumnRenamed("cell", "b_cell"), (F.col("a_label") == F.col("b_label")) & (F.col("a_dim") == F.col("b_dim")) & (F.col("cell") == F.col("b_cell")) & (F.col("a_block") <= F.col("b_block")))
-    return met.where(F.col("cell") == F.greatest("a_first", "b_first")).where(gap <= eps * eps * (1 + 1e-9)).select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
+    """``a, b`` (``a <= b``) of blocks of one label and length whose boxes are within ``eps``, from the whole sequences down."""
+    tables, shifts = _levels(blocks)
+    pairs = tables[-1].select("label", "dim", F.col("p").alias("a_p"), F.col("n").alias("a_n"), F.col("p").alias("b_p"), F.col("n").alias("b_n"))
+    apart = F.zip_with(F.zip_with("a_lo", "b_hi", lambda x, y: x - y), F.zip_with("b_lo", "a_hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    near = F.aggregate(apart, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps * (1 + 1e-9)
+    once = (F.col("a_p") < F.col("b_p")) | (F.col("a_p") == F.col("b_p")) & (F.col("a_n") <= F.col("b_n"))
+    for table, (by_p, by_n) in zip(reversed(tables[:-1]), reversed(shifts), strict=True):
+        parents = pairs.toDF("label", "dim", "a_up_p", "a_up_n", "b_up_p", "b_up_n")
+        for side in ("a", "b"):
+            inner = table.select("label", "dim", *(F.col(c).alias(f"{side}_{c}") for c in ("p", "n", "lo", "hi")), F.shiftright("p", by_p).alias(f"{side}_up_p"), F.shiftright("n", by_n).alias(f"{side}_up_n"))
+            parents = parents.join(inner, ["label", "dim", f"{side}_up_p", f"{side}_up_n"])
+        pairs = save(parents.where(once & near).select("label", "dim", "a_p", "a_n", "b_p", "b_n"), "pairs")
+    number = lambda side: F.shiftleft(f"{side}_p", 33).bitwiseOR(F.col(f"{side}_n")).alias(side)
+    return pairs.select(number("a"), number("b"))
 
 
 class _Forest:
@@ -154,7 +181,10 @@ def join_blocks(a: np.ndarray, b: np.ndarray | None, counts_a: np.ndarray, count
         if gap @ gap > eps * eps * (1 + 1e-9):
             return
         if hi - lo <= LEAF and high - low <= LEAF:
-            near = unit[lo:hi] @ unit[low:high].T >= threshold
+            product = unit[lo:hi] @ unit[low:high].T
+            near = product >= threshold
+            for i, j in np.argwhere(np.abs(product - threshold) <= CLOSE).tolist():
+                near[i, j] = math.fsum((unit[lo + i] * unit[low + j]).tolist()) >= threshold
             if lo == low:
                 near &= ~np.eye(hi - lo, dtype=bool)
             links[lo:hi] += near @ counts[low:high]
@@ -189,29 +219,40 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     rows = representatives(vectors, key, vector, label)
     sound = rows.where("k is not null")
-    reps = save(sound.groupBy("k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "reps")
-    turn = directions(reps)
-    blocks = grid_order(reps, eps, turn)
-    # range order follows the sort, so a block and its pair keep the order of ids only inside; pairs carry both payloads
-    load = blocks.select("block", "dim", "ids", "counts", "vectors")
-    pairs = save(block_pairs(blocks, eps), "pairs")
-    both = pairs.join(load.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("dim", "ids", "counts", "vectors"))), "a").join(load.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "counts", "vectors"))), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, dim, *payload in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_dim", "a_ids", "a_counts", "a_vectors", "b_ids", "b_counts", "b_vectors")), strict=True):
-                ids, counts, x, ids_b, counts_b, x_b = (np.frombuffer(p, dtype="<f8" if i % 3 == 2 else "<i8") for i, p in enumerate(payload))
-                same = a == b
-                links, roots = join_blocks(x.reshape(-1, dim), None if same else x_b.reshape(-1, dim), counts, None if same else counts_b, threshold, eps, turn)
-                every = ids if same else np.concatenate([ids, ids_b])
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(links[at]), pa.array(every[np.array(roots, dtype=np.int64)[at]])], names=["rep", "links", "other"])
-
-    found = save(both.select("a", "b", "a_dim", "a_ids", "a_counts", "a_vectors", "b_ids", "b_counts", "b_vectors").mapInArrow(compare, "rep long, links long, other long"), "links")
-    total = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found, "rep", "other").select(F.col("node").alias("rep"), "component")
-    told = reps.select("k", "rep", "n").join(total, "rep", "left").join(parts, "rep", "left")
-    told = save(told.select("k", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "told")
+    with scratch() as keep:
+        reps = save(sound.groupBy("k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v")), "reps")
+        turn = directions(reps)
+        blocks = grid_order(reps, eps, turn)
+        load = blocks.select("block", "dim", "ids", "counts", "vectors")
+        pairs = save(block_pairs(blocks, eps), "pairs")
+        # a block is sent once for every ``STAR`` blocks that it meets
+        stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+        members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), F.col("b").alias("block"))
+        heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("a").alias("block"))
+        n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = members.unionByName(heads).join(load, "block").select("a", "part", "member", "block", "dim", "ids", "counts", "vectors")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+            for batch in batches:
+                for a, member, block, dim, *payload in zip(*(batch.column(c) for c in ("a", "member", "block", "dim", "ids", "counts", "vectors")), strict=True):
+                    ids, counts, x = (np.frombuffer(p.as_buffer(), dtype=kind) for p, kind in zip(payload, ("<i8", "<i8", "<f8"), strict=True))
+                    x = x.reshape(-1, dim.as_py())
+                    if not member.as_py():
+                        first = ids, counts, x
+                        continue
+                    own, own_counts, own_x = first
+                    same = a == block
+                    links, roots = join_blocks(own_x, None if same else x, own_counts, None if same else counts, threshold, eps, turn)
+                    every = own if same else np.concatenate([own, ids])
+                    at = np.flatnonzero(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(links[at]), pa.array(every[np.array(roots, dtype=np.int64)[at]])], names=["rep", "links", "other"])
+
+        found = save(dealt.repartition(n, "a", "part").sortWithinPartitions("a", "part", "member").mapInArrow(compare, "rep long, links long, other long"), "links")
+        total = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        parts = connected_components(found, "rep", "other").select(F.col("node").alias("rep"), "component")
+        told = reps.select("k", "rep", "n").join(total, "rep", "left").join(parts, "rep", "left")
+        told = keep(save(told.select("k", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "told"))
     members = rows.select("id", "k")
     done = lookup(members, told, "k", "n", vectors.count(), ["n_links", "component_id"])
     out = done.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -184,6 +184,31 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.link(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("fanout", [1, 5])
+def test_embeddings_of_a_hot_label_over_many_blocks(spark, monkeypatch, fanout):
+    """Hundreds of groups of one label, in blocks of 64 and several levels of intervals; a few of another."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1)
+    monkeypatch.setattr(embedding_dedup, "FANOUT", fanout)
+    monkeypatch.setattr(embedding_dedup, "STAR", 2)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(260, 10))
+    x = base[rng.integers(0, 260, size=1500)] + rng.normal(size=(1500, 10)) * 0.08
+    label = (rng.random(1500) < 0.03).astype(int)
+    rows = [(i, [float(c) for c in v], int(k), "x") for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    part = np.arange(1500)
+    while True:
+        new = np.minimum(part, np.where(near, part[None], 1500).min(axis=1))
+        if (new == part).all():
+            break
+        part = new
+    assert got == {i: (int(near[i].sum()), int(part[i])) for i in range(1500)} and near.sum() > 3000
+
+
 def test_blocks_are_skipped_and_halved():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(150, 8)) * 0.02 + 1, rng.normal(size=(150, 8)) * 0.02 - 1])
