@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import steps
+from daybook.llm.text import kept, steps
 
 #: Benchmark characters that are matched in one pass over the documents.
 BLOCK_CHARS = 4_000_000
@@ -265,16 +265,10 @@ def find_leaks(texts: list[str], windows: Windows, bitmap: np.ndarray, q: int =
     return out
 
 
-_built: dict[str, tuple[list[Windows], list[np.ndarray]]] = {}
-
-
-def _index(name: str, blocks: list[list[tuple[object, str]]], rate: float) -> tuple[list[Windows], list[np.ndarray]]:
-    """The index of a benchmark, made once a worker; another benchmark takes its place."""
-    if name not in _built:
-        _built.clear()
-        windows = [prepare(block, rate=rate) for block in blocks]
-        _built[name] = windows, [w.bitmap() for w in windows]
-    return _built[name]
+def _index(blocks: list[list[tuple[object, str]]], rate: float) -> tuple[list[Windows], list[np.ndarray]]:
+    """The index of a benchmark and its bitmaps, block by block."""
+    windows = [prepare(block, rate=rate) for block in blocks]
+    return windows, [w.bitmap() for w in windows]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
@@ -294,11 +288,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             size = 0
         blocks[-1].append(row)
         size += len(row[1])
-    name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(blocks)
+    name, sent = f"benchmark {uuid.uuid4().hex}", spark.sparkContext.broadcast(blocks)
 
     @F.pandas_udf(f"leaks array<struct<item:{kind},edits:int,start:int,stop:int>>")
     def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        windows, bitmaps = _index(name, sent.value, rate)
+        windows, bitmaps = kept(name, lambda: _index(sent.value, rate))
         for column in series:
             texts = column.fillna("").tolist()
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.text import text_steps
-from daybook.operators.durable import save
+from daybook.operators.durable import save, scratch
 from daybook.operators.skew import lookup
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,16 +268,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     others = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     rows = pages.withColumn("__row", F.monotonically_increasing_id())
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    parsed = save(_parsed(rows.select("__row", html, host.alias("__host"), *others), html), "blocks")
-    seen = parsed.select("__host", F.explode("__subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    templates = save(seen.select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("found")), "templates")
-    codes = parsed.select("__row", "__host", F.posexplode("__blocks.chain").alias("i", "chain")).select("__row", "__host", "i", F.explode("chain").alias("at"))
-    placed = codes.select("__row", "i", F.xxhash64("__host", "at.code").alias("template"), "at.soft")
-    total = parsed.select(F.sum(F.size("__subtrees"))).first()[0] or 1
-    hit = lookup(placed, templates, "template", "n", total, ["found"]).where("found")
-    # a page's blocks are one row of few numbers; while few pages have any, the texts stay where they are
-    gone = save(hit.groupBy("__row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("__gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("__soft")), "gone")
-    blocks = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone") + F.size("__soft")).alias("m")).first()
+    with scratch() as keep:
+        parsed = keep(save(_parsed(rows.select("__row", html, host.alias("__host"), *others), html), "blocks"))
+        seen = parsed.select("__host", F.explode("__subtrees").alias("code")).groupBy("__host", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+        templates = save(seen.select(F.xxhash64("__host", "code").alias("template"), "n", F.lit(True).alias("found")), "templates")
+        codes = parsed.select("__row", "__host", F.posexplode("__blocks.chain").alias("i", "chain")).select("__row", "__host", "i", F.explode("chain").alias("at"))
+        placed = codes.select("__row", "i", F.xxhash64("__host", "at.code").alias("template"), "at.soft")
+        total = parsed.select(F.sum(F.size("__subtrees"))).first()[0] or 1
+        hit = lookup(placed, templates, "template", "n", total, ["found"]).where("found")
+        # a page's blocks are one row of few numbers; while few pages have any, the texts stay where they are
+        gone = keep(save(hit.groupBy("__row").agg(F.collect_set(F.when(~F.col("soft"), F.col("i"))).alias("__gone"), F.collect_set(F.when(F.col("soft"), F.col("i"))).alias("__soft")), "gone"))
+        blocks = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__gone") + F.size("__soft")).alias("m")).first()
     texts = parsed.select("__row", *others, F.col("__blocks.text").alias("__texts"))  # the hashes have done their work and aren't shuffled
     none = F.array().cast("array<int>")
     if blocks.n + (blocks.m or 0) <= BROADCAST:

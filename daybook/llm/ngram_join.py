@@ -38,7 +38,7 @@ from pyspark.sql.types import IntegralType
 
 from daybook.llm.text import WordTable, text_steps
 from daybook.operators.components import connected_components
-from daybook.operators.durable import save
+from daybook.operators.durable import save, scratch
 from daybook.operators.skew import lookup
 
 WIDTH, PERCENT = 5, 75
@@ -418,23 +418,26 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     """``id, n, sig, component`` of every row."""
     if not isinstance(docs.schema[key].dataType, IntegralType):
         raise TypeError(f"{key} isn't an integer column")
-    found = save(profiles(docs, key, text), "profiles")
-    rows = found.where("bucket is null").select("id", "n", "sig", "mins", "sketch", "wide")
-    reps = save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "mins", "sketch", "wide"))), "reps")
-    total = rows.count()
-    bitmaps = long_lists(found, total)
-    # likely copies, each compared with the head of its group
-    first_links = save(compare(docs, save(plausible(_likely(reps, percent), reps, percent), "likely"), key, text, percent), "links")
-    tied = connected_components(first_links, "a", "b")
-    sizes = reps.select("id", "n", "sketch").distinct()  # an id with several texts has several sizes
-    nodes = save(sizes.join(tied, sizes["id"] == tied["node"], "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("part")), "nodes")
-    # every other link
-    lists = save(merged_lists(docs, bitmaps, key, text, percent), "lists")
-    more = save(plausible(candidates(mixed_lists(lists, nodes, chunk), percent), reps, percent), "candidates")
-    all_links = first_links.unionByName(save(compare(docs, more, key, text, percent), "links"))
-    final = connected_components(all_links, "a", "b")
-    parts = reps.join(final, reps["id"] == final["node"], "left").select("sig", "copies", F.coalesce("component", "id").alias("component"))
+    with scratch() as keep:
+        found = keep(save(profiles(docs, key, text), "profiles"))
+        rows = found.where("bucket is null").select("id", "n", "sig", "mins", "sketch", "wide")
+        reps = save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "mins", "sketch", "wide"))), "reps")
+        total = rows.count()
+        bitmaps = long_lists(found, total)
+        # likely copies, each compared with the head of its group
+        with scratch() as out:
+            first_links = out(save(compare(docs, save(plausible(_likely(reps, percent), reps, percent), "likely"), key, text, percent), "links"))
+        tied = connected_components(first_links, "a", "b")
+        sizes = reps.select("id", "n", "sketch").distinct()  # an id with several texts has several sizes
+        nodes = save(sizes.join(tied, sizes["id"] == tied["node"], "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("part")), "nodes")
+        # every other link
+        with scratch() as out:
+            lists = save(merged_lists(docs, bitmaps, key, text, percent), "lists")
+            more = out(save(plausible(candidates(mixed_lists(lists, nodes, chunk), percent), reps, percent), "candidates"))
+        all_links = first_links.unionByName(save(compare(docs, more, key, text, percent), "links"))
+        final = connected_components(all_links, "a", "b")
+        parts = reps.join(final, reps["id"] == final["node"], "left").select("sig", "copies", F.coalesce("component", "id").alias("component"))
+        told = keep(save(parts.select(F.hex("sig").alias("k"), "copies", "component"), "parts"))
     named = rows.select("id", "n", "sig", F.hex("sig").alias("k"))
-    told = save(parts.select(F.hex("sig").alias("k"), "copies", "component"), "parts")
     done = lookup(named, told, "k", "copies", total, ["component"])
     return done.select("id", "n", "sig", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.text import text_steps
+from daybook.llm.text import kept, text_steps
 from daybook.operators.durable import save
 
 WINDOW = 4096
@@ -146,8 +146,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
     """``row_id, <key>, n_ids, rest, full_crc, rest_crc, ids``: ids as little-endian 16-bit numbers (32 where they need it), the length that is left after full windows, and the crc32 of the 32-bit ids of every full window and of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, step = Encoder(tokenizer_path), np.array([END_ID], dtype=np.uint32), 4 * window
-        for batch in text_steps(batches, text, 2_000_000):
+        name = f"encoder {tokenizer_path}"
+        own, end, step = kept(name, lambda: Encoder(tokenizer_path)), np.array([END_ID], dtype=np.uint32), 4 * window
+        for batch in text_steps(batches, text, 2_000_000, keep=name):
             ids = [np.concatenate([x, end]).astype("<u4") for x in own.ids(pc.fill_null(batch.column(text).cast(pa.string()), ""))]
             sizes, found = [len(x) for x in ids], [x.tobytes() for x in ids]
             narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else y for x, y in zip(ids, found, strict=True)]

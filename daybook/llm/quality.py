@@ -14,17 +14,17 @@ document all count. Other columns pass through; ``score`` and ``predicted`` of t
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, WordTable, steps, text_steps
+from daybook.llm.text import STEP_BYTES, kept, steps, text_steps
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 2
 #: Labelled documents that the network learns from, at most; those with the smallest hashes of their ids.
@@ -38,26 +38,49 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return where, rng.choice(np.array([-1, 1]), size=where.shape)
 
 
-def _shape(word: str) -> str:
-    """Case pattern and punctuation of a word, with runs as one: ``Th,`` is ``Xx,``."""
-    out: list[str] = []
-    for c in word[:64]:
-        kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:6])
+class Buckets(dict):
+    """Word to its two buckets, letters above shape, for the distinct words of a batch at once; emptied when it reaches ``limit`` words, so a worker's memory is bounded.
 
+    The letters are the word's letters and digits in lower case. The shape is its case pattern and punctuation, with runs of a kind of letter or of digits as one: ``Th,`` is ``Xx,``."""
 
-def _two_buckets(word: str) -> int:
-    core = "".join(filter(str.isalnum, word)).lower()
-    return zlib.crc32(core.encode("utf-8", "replace")) % BUCKETS << 32 | zlib.crc32(b"\1" + _shape(word).encode("utf-8", "replace")) % BUCKETS
+    def __init__(self, limit: int = 700_000):
+        super().__init__()
+        self.limit = limit
 
+    def learn(self, words: list[str]) -> None:
+        column = pa.array(words, pa.string())
+        letters = pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{N}]+", "")
+        shape = column
+        for runs, mark in ((r"\p{Lu}+", "X"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "x"), (r"\p{N}+", "9")):
+            shape = pc.replace_substring_regex(shape, runs, mark)
+        number = lambda c, salt: pd.util.hash_array(np.array(c.to_pylist(), dtype=object), hash_key=salt, categorize=False) % np.uint64(BUCKETS)
+        self.update(zip(words, (number(letters, "letters of words") << np.uint64(32) | number(shape, "shapes of a word")).astype(np.int64).tolist(), strict=True))
 
-def _words(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, words: pa.Array) -> np.ndarray:
+        told = words.dictionary_encode()
+        known = told.dictionary.to_pylist()
+        if len(self) > self.limit:
+            self.clear()
+        fresh = [w for w in known if w not in self]
+        if fresh:
+            self.learn(fresh)
+        return np.fromiter(map(self.__getitem__, known), dtype=np.int64, count=len(known))[told.indices.to_numpy()] if known else np.zeros(0, np.int64)
+
+
+#: The name under which a worker keeps its table.
+TABLE = "buckets of words"
+
+
+def _words(texts: list[str], table: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter and shape bucket of every word of all texts, and the number of words of each text."""
-    lists = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    both = np.fromiter((table[w] for ws in lists for w in ws), dtype=np.int64, count=int(sizes.sum()))
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(texts, pa.string())))
+    words = split.flatten()
+    sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # of a blank text there is one empty word
+    if empty.any():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    both = table.of(words)
     return both >> 32, both & 0xFFFFFFFF, sizes
 
 
@@ -67,8 +90,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, sign = _index_vectors()
-        table, total = WordTable(_two_buckets), np.zeros(BUCKETS * DIM, dtype=np.int64)
-        for batch in text_steps(batches, text):
+        entries = (2 * where + (sign < 0)).T.copy()  # places of ones, each with a place for minus ones behind it
+        table, counts = kept(TABLE, Buckets), np.zeros(2 * BUCKETS * DIM, dtype=np.int64)
+        for batch in text_steps(batches, text, keep=TABLE):
             texts = [t for t in batch.column(text).to_pylist() if t]
             core, shape, sizes = _words(texts, table)
             if len(core) < 2:
@@ -76,13 +100,13 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             inner = np.ones(len(core) - 1, dtype=bool)
             inner[np.cumsum(sizes)[:-1][sizes[:-1] > 0] - 1] = False  # no context across documents
             left, right = np.flatnonzero(inner), np.flatnonzero(inner) + 1
-            for a, b in ((left, right), (right, left)):
-                for mine in (core, shape):
-                    for theirs in (core, shape):
-                        for k in range(NONZERO):
-                            at = mine[a] * DIM + where[theirs[b], k]
-                            total += np.bincount(at, weights=sign[theirs[b], k], minlength=BUCKETS * DIM).astype(np.int64)
-        grid = total.reshape(BUCKETS, DIM)
+            theirs = [column[ids] for ids in (core, shape) for column in entries]
+            for mine in (core * (2 * DIM), shape * (2 * DIM)):
+                for a, b in ((left, right), (right, left)):
+                    base = mine[a]
+                    for column in theirs:
+                        counts += np.bincount(base + column[b], minlength=len(counts))
+        grid = (counts[0::2] - counts[1::2]).reshape(BUCKETS, DIM)
         used = np.flatnonzero(grid.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(grid[used, i]) for i in range(DIM))], names=["bucket", *columns])
 
@@ -95,25 +119,26 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def pool(texts: list[str], vectors: np.ndarray, table: WordTable) -> np.ndarray:
+def pool(texts: list[str], vectors: np.ndarray, table: Buckets) -> np.ndarray:
     """One row a text: mean letter vector, mean shape vector, and pooled moments (length of the means, likeness of neighbours, distinct share, log length)."""
     core, shape, sizes = _words(texts, table)
     owner = np.repeat(np.arange(len(texts)), sizes)
     n = np.maximum(sizes, 1)[:, None].astype(np.float64)
     out = [np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM))]
-    filled = np.flatnonzero(sizes)
-    begins = (np.cumsum(sizes) - sizes)[filled]
-    for mean, ids in zip(out, (core, shape), strict=True):
-        if len(filled):
-            mean[filled] = np.add.reduceat(vectors[ids], begins, axis=0, dtype=np.float64)
+    distinct = np.zeros(len(texts))
+    for i, (mean, ids) in enumerate(zip(out, (core, shape), strict=True)):
+        kinds, times = np.unique(owner * BUCKETS + ids, return_counts=True)  # each word of a text once, with its number
+        whose, begins = np.unique(kinds // BUCKETS, return_index=True)
+        if len(kinds):
+            mean[whose] = np.add.reduceat(vectors[kinds % BUCKETS].astype(np.float64) * times[:, None], begins, axis=0)
         mean /= n
+        if not i:
+            distinct[whose] = np.diff(np.append(begins, len(kinds))) / n[whose, 0]
     near = np.zeros(len(texts))
     if len(core) > 1:
         same = owner[1:] == owner[:-1]
         like = np.einsum("ij,ij->i", vectors[core[1:]], vectors[core[:-1]])
         near = np.bincount(owner[1:][same], weights=like[same], minlength=len(texts)) / n[:, 0]
-    kinds = np.unique(owner * BUCKETS + core)
-    distinct = np.bincount(kinds // BUCKETS, minlength=len(texts)) / n[:, 0]
     more = np.stack([np.linalg.norm(out[0], axis=1), np.linalg.norm(out[1], axis=1), near, distinct, np.log1p(sizes)], axis=1)
     return np.concatenate([*out, more], axis=1)
 
@@ -123,7 +148,7 @@ def _pooled(docs: DataFrame, vectors: np.ndarray, text: str, finish, schema: str
 
     @F.pandas_udf(schema)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = WordTable(_two_buckets)
+        table = kept(TABLE, Buckets)
         for column in series:
             texts = column.fillna("").tolist()
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64

@@ -30,8 +30,21 @@ def steps(lengths: np.ndarray, budget: int = STEP_BYTES) -> Iterator[slice]:
             yield slice(lo, hi)
 
 
-def release() -> None:
-    """Give back to the system what earlier tasks of this worker have freed. A worker outlives its tasks, and what the allocators keep of one stage would count beside the next."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """This worker's object of that name, which later tasks find again until another operator begins in the worker."""
+    release(name)
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release(keep: str | None = None) -> None:
+    """Drop what other operators kept, and give back to the system what earlier tasks of this worker have freed. A worker outlives its tasks, and what is left of one stage would count beside the next."""
+    for name in [k for k in _kept if k != keep]:
+        del _kept[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have none
@@ -39,9 +52,9 @@ def release() -> None:
         trim(0)
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that their texts sum to about ``budget`` bytes; nulls count as empty."""
-    release()
+def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = STEP_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that their texts sum to about ``budget`` bytes; nulls count as empty. What the worker kept under another name than ``keep`` goes."""
+    release(keep)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for s in steps(sizes.astype(np.int64) + 64, budget):

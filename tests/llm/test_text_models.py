@@ -166,3 +166,61 @@ def test_quality(spark):
 def test_steps_cover_rows():
     cut = list(steps(np.array([5, 5, 100, 1, 1]), 10))
     assert [i for s in cut for i in range(s.start, s.stop)] == [0, 1, 2, 3, 4]
+
+
+def test_word_vectors_and_pooling_against_plain_loops(spark):
+    texts = ["The cat, the CAT; a dog 12!", "", None, "one", "dog cat dog cat  über Straße", "x" * 90 + "!!! " + "Ab" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    where, sign = quality._index_vectors()
+    table = quality.Buckets()
+    told = {w: int(v) for t in texts if t for w, v in zip(t.split(), table.of(quality.pa.array(t.split())), strict=True)}
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        words = [(told[w] >> 32, told[w] & 0xFFFFFFFF) for w in (t or "").split()]
+        for i, mine in enumerate(words):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(words):
+                    for a in mine:
+                        for b in words[j]:
+                            for k in range(quality.NONZERO):
+                                want[a, where[b, k]] += sign[b, k]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.where(norm > 0, want / np.maximum(norm, 1e-9), 0)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, want, atol=1e-6)
+    got = quality.pool([t or "" for t in texts], vectors, quality.Buckets())
+    for row, t in zip(got, texts, strict=True):
+        words = [(told[w] >> 32, told[w] & 0xFFFFFFFF) for w in (t or "").split()]
+        n = max(1, len(words))
+        means = [sum((vectors[w[k]].astype(float) for w in words), np.zeros(quality.DIM)) / n for k in (0, 1)]
+        near = sum(float(vectors[a[0]] @ vectors[b[0]]) for a, b in zip(words, words[1:], strict=False)) / n
+        assert np.allclose(row, [*means[0], *means[1], np.linalg.norm(means[0]), np.linalg.norm(means[1]), near, len({w[0] for w in words}) / n, np.log1p(len(words))], atol=1e-5)
+
+
+def test_shapes_of_whole_words():
+    """Runs of letters of a case and of digits count once, however long the word; marks count each."""
+    of = lambda *w: [int(x) & 0xFFFFFFFF for x in quality.Buckets().of(quality.pa.array(w))]
+    a, b, c, d, e, f = of("Th,", "Xxxxx,", "x" * 200 + "A", "y" * 70 + "B", "a1b22c333d4444e5!", "z9z9z9z9z9!")
+    assert a == b and c == d and e == f and len({a, c, e}) == 3
+
+
+def test_network_fits_and_is_calibrated():
+    rng = np.random.default_rng(0)
+    x = np.zeros((6000, 69))
+    x[:, :4] = rng.normal(size=(6000, 4))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    net = quality.train(x[:5000], y[:5000])
+    p = net.probability(x[5000:])
+    linear = np.mean((x[5000:, 2] > 0) == (y[5000:] == 1))
+    assert np.mean((p >= 0.5) == (y[5000:] == 1)) > linear + 0.05 and abs(p.mean() - y[5000:].mean()) < 0.05
+    sharp = quality._cross_entropy(net.logits(x[5000:]), y[5000:])
+    assert quality._cross_entropy(net.logits(x[5000:]) / net.temperature, y[5000:]) <= sharp + 0.01
+
+
+def test_toxic_words_are_counted_by_document(spark):
+    rows = [(i, "good good fine" if i % 2 else "bad, Bad! fine " + ("rare" if i == 0 else "")) for i in range(400)]
+    found = spark.createDataFrame([(t, 1 - i % 2) for i, t in rows], "text string, __y int").repartition(3)
+    assert toxicity.lexicon(found, 200, 200, "text") == {"bad"}
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").withColumn("__y", 1 - F.col("doc_id") % 2).withColumn("__y", F.col("__y").cast("int"))
+    parts = toxicity.pieces(docs, {"bad"}, "doc_id", "text", 7)
+    assert len(parts) == 14 and sum(m.sum() for _, m in parts) == 14 and all(i.shape == (2, len(m)) for i, m in parts)
