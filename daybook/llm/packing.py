@@ -381,5 +381,6 @@ def _loose(rows: DataFrame, tokens: DataFrame, made: Plan, key: str, window: int
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Tokenise, write the ids to the shared folder, and place every piece."""
-    return pack(save(tokenize(docs, tokenizer_path, key, text, window), "tokens"), key, window)
+    """Tokenise, write the ids to the shared folder, and place every piece. The id may have any name but those of the result's other columns."""
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    return pack(save(tokenize(own, tokenizer_path, "__key", "text", window), "tokens"), "__key", window).withColumnRenamed("__key", key)

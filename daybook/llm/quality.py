@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, kept, steps, text_steps
+from daybook.llm.text import STEP_BYTES, distinct_words, kept, steps, text_steps
 
 BUCKETS, DIM, NONZERO = 1 << 14, 32, 2
 #: Labelled documents that the network learns from, at most; those with the smallest hashes of their ids.
@@ -56,15 +56,14 @@ class Buckets(dict):
         number = lambda c, salt: pd.util.hash_array(np.array(c.to_pylist(), dtype=object), hash_key=salt, categorize=False) % np.uint64(BUCKETS)
         self.update(zip(words, (number(letters, "letters of words") << np.uint64(32) | number(shape, "shapes of a word")).astype(np.int64).tolist(), strict=True))
 
-    def of(self, words: pa.Array) -> np.ndarray:
-        told = words.dictionary_encode()
-        known = told.dictionary.to_pylist()
+    def of(self, words: list[str]) -> np.ndarray:
+        """Buckets of distinct words."""
         if len(self) > self.limit:
             self.clear()
-        fresh = [w for w in known if w not in self]
+        fresh = [w for w in words if w not in self]
         if fresh:
             self.learn(fresh)
-        return np.fromiter(map(self.__getitem__, known), dtype=np.int64, count=len(known))[told.indices.to_numpy()] if known else np.zeros(0, np.int64)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 #: The name under which a worker keeps its table.
@@ -73,14 +72,8 @@ TABLE = "buckets of words"
 
 def _words(texts: list[str], table: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter and shape bucket of every word of all texts, and the number of words of each text."""
-    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(texts, pa.string())))
-    words = split.flatten()
-    sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
-    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # of a blank text there is one empty word
-    if empty.any():
-        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
-        words = words.filter(pa.array(~empty))
-    both = table.of(words)
+    words, at, sizes = distinct_words(texts)
+    both = table.of(words)[at]
     return both >> 32, both & 0xFFFFFFFF, sizes
 
 

@@ -61,6 +61,18 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget:
             yield batch.slice(s.start, s.stop - s.start)
 
 
+def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, the number of each word of the texts among them, and how many words each text has. Words are those of ``str.split``, which Arrow splits alike."""
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(texts, pa.string())))
+    words, sizes = split.flatten(), np.diff(split.offsets.to_numpy()).astype(np.int64)
+    blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # of a blank text there is one empty word
+    if blank.any():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[blank], minlength=len(sizes))
+        words = words.filter(pa.array(~blank))
+    told = words.dictionary_encode()
+    return told.dictionary.to_pylist(), told.indices.to_numpy().astype(np.int64), sizes
+
+
 class WordTable(dict):
     """Word to value, computed once a word; emptied when it reaches ``limit`` words, so a worker's memory is bounded."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, WordTable, release, steps, text_steps
+from daybook.llm.text import STEP_BYTES, WordTable, distinct_words, release, steps, text_steps
 from daybook.operators.durable import drop, save
 
 BUCKETS = 1 << 17
@@ -54,9 +54,8 @@ def _bucket(word: str) -> int:
 
 def _tokens(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """Two buckets for each word of all texts (2 x words), and the number of words of each text."""
-    lists = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    both = np.fromiter((table[w] for ws in lists for w in ws), dtype=np.int64, count=int(sizes.sum()))
+    words, at, sizes = distinct_words(texts)
+    both = np.fromiter((table[w] for w in words), dtype=np.int64, count=len(words))[at]
     return np.stack([both & 0xFFFFFFFF, both >> 32]), sizes
 
 
@@ -134,13 +133,17 @@ def pieces(found: DataFrame, words: set[str], key: str, text: str, most: int) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, marked = WordTable(_bucket, 300_000), WordTable(lambda w: normal(w) in words, 300_000)
         for batch in text_steps(batches, text):
-            rows = []
-            for k, t, y in zip(batch.column("__k").to_pylist(), batch.column(text).to_pylist(), batch.column("__y").to_pylist(), strict=True):
-                split = (t or "").split()
-                for i in range(0, len(split), PIECE):
-                    part = split[i : i + PIECE]
-                    ids, _ = _tokens([" ".join(part)], table)
-                    rows.append((k, i, y, ids.astype("<i4").tobytes(), bytes(bool(y and marked[w]) for w in part)))
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            held, at, sizes = distinct_words(texts)
+            both = np.fromiter((table[w] for w in held), dtype=np.int64, count=len(held))[at]
+            sure = np.fromiter((marked[w] for w in held), dtype=bool, count=len(held))[at]
+            ids = np.stack([both & 0xFFFFFFFF, both >> 32]).astype("<i4")
+            rows, begin = [], 0
+            for k, y, size in zip(batch.column("__k").to_pylist(), batch.column("__y").to_pylist(), sizes.tolist(), strict=True):
+                for i in range(0, size, PIECE):
+                    part = slice(begin + i, begin + min(i + PIECE, size))
+                    rows.append((k, i, y, ids[:, part].tobytes(), (sure[part] & bool(y)).astype(np.uint8).tobytes()))
+                begin += size
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["k", "i", "y", "ids", "marks"])
 
     cuts = found.select(F.xxhash64(key).alias("__k"), text, "__y").mapInArrow(cut, "k long, i long, y int, ids binary, marks binary")
@@ -208,7 +211,7 @@ def _features(field: Field):
     @F.pandas_udf(", ".join(f"f{i} double" for i in range(5)))
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
-        table = WordTable(_bucket)
+        table = WordTable(_bucket, 400_000)
         for column in series:
             texts = column.fillna("").tolist()
             lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 64
@@ -244,7 +247,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", threshold: float =
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>")
     def tag(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
-        table = WordTable(_bucket)
+        table = WordTable(_bucket, 400_000)
         for column in series:
             texts = column.fillna("").tolist()
             scores, spans = np.full(len(texts), field.prior), [[] for _ in texts]

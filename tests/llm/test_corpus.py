@@ -319,6 +319,17 @@ def test_plan_uses_every_length_once(seed):
     assert (used == histogram).all()
 
 
+def test_packing_by_join_and_by_broadcast_and_a_clashing_id(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([2500, 2600, 2700, 2800])))) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    few = {tuple(r) for r in packing.pack_documents(df, TOKENIZER, key="row_id").collect()}
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    again = packing.pack_documents(df, TOKENIZER, key="row_id")
+    assert {tuple(r) for r in again.collect()} == few and again.columns[0] == "row_id"
+    assert sum(r[2] for r in few) == sum({r[0]: r[4] for r in few}.values())
+
+
 def test_most_windows_come_from_the_least_squares():
     rng = np.random.default_rng(1)
     histogram = np.bincount(np.minimum(rng.lognormal(6, 1, size=20000).astype(int) + 1, 4095), minlength=4096)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daybook.llm import language_id, quality, toxicity
-from daybook.llm.text import steps
+from daybook.llm.text import distinct_words, steps
 
 EN = "the quick brown fox jumps over the lazy dog and the cat sat on the mat with the other animals there".split()
 DE = "der schnelle braune fuchs springt ueber den faulen hund und die katze sitzt auf der matte mit den anderen tieren".split()
@@ -163,6 +163,12 @@ def test_quality(spark):
     assert none.probability(np.zeros((2, 69))).tolist() == [0.5, 0.5]
 
 
+def test_distinct_words_are_those_of_split():
+    texts = ["a b  a", "", " \t\n", "x\u2003y\x1cz\x85w\u00a0v", "one"]
+    words, at, sizes = distinct_words(texts)
+    assert [words[i] for i in at] == [w for t in texts for w in t.split()] and sizes.tolist() == [len(t.split()) for t in texts]
+
+
 def test_steps_cover_rows():
     cut = list(steps(np.array([5, 5, 100, 1, 1]), 10))
     assert [i for s in cut for i in range(s.start, s.stop)] == [0, 1, 2, 3, 4]
@@ -173,7 +179,7 @@ def test_word_vectors_and_pooling_against_plain_loops(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     where, sign = quality._index_vectors()
     table = quality.Buckets()
-    told = {w: int(v) for t in texts if t for w, v in zip(t.split(), table.of(quality.pa.array(t.split())), strict=True)}
+    told = {w: int(v) for t in texts if t for w, v in zip(t.split(), table.of(t.split()), strict=True)}
     want = np.zeros((quality.BUCKETS, quality.DIM))
     for t in texts:
         words = [(told[w] >> 32, told[w] & 0xFFFFFFFF) for w in (t or "").split()]
@@ -199,7 +205,7 @@ def test_word_vectors_and_pooling_against_plain_loops(spark):
 
 def test_shapes_of_whole_words():
     """Runs of letters of a case and of digits count once, however long the word; marks count each."""
-    of = lambda *w: [int(x) & 0xFFFFFFFF for x in quality.Buckets().of(quality.pa.array(w))]
+    of = lambda *w: [int(x) & 0xFFFFFFFF for x in quality.Buckets().of(list(w))]
     a, b, c, d, e, f = of("Th,", "Xxxxx,", "x" * 200 + "A", "y" * 70 + "B", "a1b22c333d4444e5!", "z9z9z9z9z9!")
     assert a == b and c == d and e == f and len({a, c, e}) == 3
 
