@@ -26,7 +26,7 @@ def _described(forms: DataFrame, kind: str, fuzzy: DataFrame, high: float) -> Da
     """Canonical name, method, confidence and number of names of each cluster; ``forms`` has ``raw, weight, norm, root``, ``fuzzy`` the best ratio by root."""
     names = forms.groupBy("root", "raw").agg(F.max("weight").alias("weight"), F.min("norm").alias("norm"))
     size = Window.partitionBy("root")
-    named = names.withColumn("n_variants", F.count(F.lit(1)).over(size).cast("int")).withColumn("canonical_name", F.max_by("raw", F.struct("weight", F.hash("raw"))).over(size))
+    named = names.withColumn("n_variants", F.count(F.lit(1)).over(size).cast("int")).withColumn("canonical_name", F.min_by("raw", F.struct(-F.col("weight"), "raw")).over(size))
     named = named.join(fuzzy, "root", "left")
     method = F.when(F.col("n_variants") == 1, "singleton").when(F.col("ratio").isNull(), "normalized_exact").when(F.col("ratio") >= high, "fuzzy_high").otherwise("fuzzy_low")
     confidence = F.when(F.col("n_variants") == 1, F.lit(1.0)).when(F.col("ratio").isNull(), F.lit(1.0)).when((F.lit(kind) == "org") & (F.col("ratio") >= high), F.lit(0.95)).otherwise(F.greatest(F.lit(0.5), F.col("ratio") / 100))

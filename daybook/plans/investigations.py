@@ -271,7 +271,30 @@ def verdict(spark, sf_dir) -> DataFrame:
     return out.select(*(F.col(c).cast("int").alias(c) for c in out.columns))
 
 
-@register("i_orgs")
+def _norm_sql(name: str) -> str:
+    """``text.organisation`` as SQL."""
+    s = f"regexp_replace(replace(lower(regexp_replace(trim({name}), '(?i){T.HONORIFICS}', '')), '&amp;', '&'), '\\s*&\\s*', ' & ', 'g')"
+    for _ in range(3):
+        s = f"regexp_replace(regexp_replace({s}, '(?i)(?:[,.\\s]+(?:{T.ORG_SUFFIXES}))+\\s*$', ''), '^[ ,.;]+|[ ,.;]+$', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({s}, '^the ', ''), '[^a-z0-9&]+', ' ', 'g'))"
+
+
+#: Twice the longest common subsequence over the sum of lengths, by the table's rows as lists.
+_COMMON = "list_reduce(y.codes, lambda above, c: list_reduce(list_transform(range(1, CAST(len(x.codes) AS INTEGER) + 1), lambda i: [CAST(i AS INTEGER)]), lambda done, i: done || [greatest(done[len(done)], above[i[1] + 1], above[i[1]] + CASE WHEN x.codes[i[1]] = c THEN 1 ELSE 0 END)], [0]), list_transform(range(0, CAST(len(x.codes) AS INTEGER) + 1), lambda i: 0))[-1]"
+_RESOLVED = f"""WITH RECURSIVE names AS (SELECT raw, count(*) AS weight FROM (SELECT p_name AS raw FROM part UNION ALL SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1) FROM pages) WHERE raw <> '' GROUP BY 1),
+forms AS (SELECT raw, weight, {_norm_sql("raw")} AS norm FROM names),
+k AS (SELECT *, split_part(norm, ' ', 1) AS block, list_transform(string_split(array_to_string(list_sort(string_split(norm, ' ')), ' '), ''), lambda c: [unicode(c)]) AS codes FROM (SELECT DISTINCT norm FROM forms WHERE norm <> '')),
+close AS MATERIALIZED (SELECT x.norm AS a, y.norm AS b, 200.0 * {_COMMON} / (len(x.codes) + len(y.codes)) AS ratio FROM k x JOIN k y ON x.block = y.block AND x.norm < y.norm AND abs(length(x.norm) - length(y.norm)) <= greatest(length(x.norm), length(y.norm)) // 2),
+fuzzy AS (SELECT * FROM close WHERE ratio >= 92), ends AS MATERIALIZED (SELECT a, b FROM fuzzy UNION ALL SELECT b, a FROM fuzzy),
+reach AS (SELECT norm AS id, norm AS root FROM k UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.id WHERE reach.root < ends.b),
+roots AS MATERIALIZED (SELECT id AS norm, min(root) AS root FROM reach GROUP BY 1),
+least AS (SELECT root, min(ratio) AS ratio FROM fuzzy JOIN roots ON a = norm GROUP BY 1),
+told AS (SELECT raw, root, first_value(raw) OVER (PARTITION BY root ORDER BY weight DESC, raw) AS canonical_name, count(*) OVER (PARTITION BY root) AS n, ratio FROM (SELECT raw, root, max(weight) AS weight FROM forms JOIN roots USING (norm) GROUP BY 1, 2) LEFT JOIN least USING (root))
+SELECT raw AS raw_name, 'org' AS entity_type, canonical_name, 'org:' || substr(md5(root), 1, 12) AS cluster_id, CAST(CASE WHEN n = 1 OR ratio IS NULL THEN 1.0 WHEN ratio >= 95 THEN 0.95 ELSE greatest(0.5, ratio / 100) END AS DOUBLE) AS confidence,
+  CASE WHEN n = 1 THEN 'singleton' WHEN ratio IS NULL THEN 'normalized_exact' WHEN ratio >= 95 THEN 'fuzzy_high' ELSE 'fuzzy_low' END AS match_method, CAST(n AS INTEGER) AS n_variants FROM told"""
+
+
+@register("i_orgs", _RESOLVED)
 def resolved_orgs(spark, sf_dir) -> DataFrame:
     b = Bound(spark, sf_dir)
     names = b.table("part").select(F.col("p_name").alias("raw")).unionAll(b.table("pages").select(F.parse_url("url", F.lit("HOST")).alias("raw"))).groupBy("raw").agg(F.count(F.lit(1)).alias("weight"))
