@@ -257,3 +257,14 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     done = lookup(members, told, "k", "n", vectors.count(), ["n_links", "component_id"])
     out = done.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def oracle(source: str = "embeddings") -> str:
+    """DuckDB SQL for ``vec_id, n_links, component_id, kept`` of a table with distinct integer ids: the cosine of every pair of a label. For small tables."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM {source} WHERE label IS NOT NULL AND len(embedding) > 0),
+sound AS (SELECT * FROM v WHERE list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+ends AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM {source} UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.id WHERE reach.root < ends.b),
+links AS (SELECT a, count(*) AS n FROM ends GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept FROM {source} e LEFT JOIN links l ON l.a = e.vec_id JOIN (SELECT id, min(root) AS root FROM reach GROUP BY 1) r ON r.id = e.vec_id"""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.text import STEP_BYTES, release, steps, text_steps
+from daybook.llm.text import STEP_BYTES, crc_sql, release, steps, text_steps
 
 GAP = " "
 UNKNOWN = "und"
@@ -217,3 +217,20 @@ def identify(docs: DataFrame, model: Profiles, text: str = "text", sharpness: fl
         raise ValueError(f"no column {text}")
     out = docs.withColumn("__lang_id", predict(F.col(text)))
     return out.withColumn("lang_pred", F.col("__lang_id.lang")).withColumn("score", F.col("__lang_id.score")).drop("__lang_id")
+
+
+def oracle(source: str = "documents", depth: int = 400, sharpness: float = 25.0) -> str:
+    """DuckDB SQL for ``doc_id, held_out, lang_pred, score`` with the score rounded to six digits: profiles from documents whose crc32 is no multiple of five, all documents compared. For tables with distinct integer ids."""
+    return f"""
+WITH d AS (SELECT doc_id, lang, text IS NOT NULL AND lang IS NOT NULL AND {crc_sql("doc_id")} % 5 <> 0 AS learnt, {crc_sql("doc_id")} % 5 = 0 AS held_out, string_split(' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]', ' ', 'g') || ' ', '') AS cs FROM {source}),
+z AS (SELECT doc_id, unnest(list_zip(cs, cs[2:], cs[3:])) AS t FROM d),
+g AS (SELECT doc_id, t[1] AS gram FROM z WHERE t[1] <> ' ' UNION ALL SELECT doc_id, t[1] || t[2] FROM z WHERE t[1] || t[2] <> '  ' UNION ALL SELECT doc_id, t[1] || t[2] || t[3] FROM z WHERE t[2] <> ' ' AND t[3] IS NOT NULL),
+c AS MATERIALIZED (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2),
+ranks AS MATERIALIZED (SELECT lang, gram, k - 1 AS r FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS k FROM c JOIN d USING (doc_id) WHERE learnt GROUP BY 1, 2) WHERE k <= {depth}),
+firsts AS (SELECT gram, min(r) AS f FROM ranks GROUP BY 1),
+mine AS (SELECT doc_id, gram, k - 1 AS place FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, gram) AS k FROM c JOIN firsts USING (gram)) WHERE k <= {depth}),
+langs AS (SELECT DISTINCT lang FROM ranks),
+far AS (SELECT doc_id, l.lang, sum(CASE WHEN r IS NULL THEN {depth} ELSE abs(r - place) END) / (count(*) * {depth}.0) AS x FROM mine CROSS JOIN langs l LEFT JOIN ranks ON ranks.lang = l.lang AND ranks.gram = mine.gram GROUP BY 1, 2),
+every AS (SELECT d.doc_id, l.lang, coalesce(far.x, 1.0) AS x, min(coalesce(far.x, 1.0)) OVER (PARTITION BY d.doc_id) AS best FROM d CROSS JOIN langs l LEFT JOIN far ON far.doc_id = d.doc_id AND far.lang = l.lang WHERE list_bool_or(list_transform(cs, lambda ch: ch <> ' '))),
+told AS (SELECT doc_id, min(lang) FILTER (x = best) AS lang_pred, 1 / sum(exp(-{sharpness} * (x - best))) AS score FROM every GROUP BY 1)
+SELECT doc_id, held_out, coalesce(lang_pred, '{UNKNOWN}') AS lang_pred, CAST(round(coalesce(score, 0), 6) AS DOUBLE) AS score FROM d LEFT JOIN told USING (doc_id)"""

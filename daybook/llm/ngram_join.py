@@ -441,3 +441,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     named = rows.select("id", "n", "sig", F.hex("sig").alias("k"))
     done = lookup(named, told, "k", "copies", total, ["component"])
     return done.select("id", "n", "sig", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def oracle(source: str = "documents") -> str:
+    """DuckDB SQL for ``doc_id, n_shingles, component_id`` of a table with distinct integer ids: every pair that shares a shingle. For small tables; the pairs of a family grow with its square."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM {source}),
+sets AS (SELECT DISTINCT doc_id, array_to_string(ws[u.i : u.i + 4], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) AS i) u WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ends AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM {source} UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.id WHERE reach.root < ends.b)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id FROM {source} d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT id, min(root) AS root FROM reach GROUP BY 1) r ON r.id = d.doc_id"""

@@ -11,12 +11,12 @@ from daybook.llm.text import crc_mod
 from daybook.sources.tables import load
 
 
-@register("op7_language_id")
+@register("op7_language_id", language_id.oracle())
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = docs.withColumn("held_out", crc_mod("doc_id", 5) == 0)
     model = language_id.fit(held.where(~F.col("held_out")))
-    return language_id.identify(held.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.identify(held.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
 
 
 @register("op4_toxicity")
@@ -42,9 +42,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@register("op9_warc")
+@register("op9_warc", warc.oracle())
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_and_index(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "length")
+    return warc.archive_and_index(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @register("op6_html_text")
@@ -63,12 +63,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), "leak.edits", "leak.start", "leak.stop")
 
 
-@register("op8_embedding_dedup")
+@register("op8_embedding_dedup", embedding_dedup.oracle())
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(load(spark, sf_dir, "embeddings"))
 
 
-@register("op2_ngram_join")
+@register("op2_ngram_join", ngram_join.oracle())
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.components(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

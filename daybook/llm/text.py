@@ -21,6 +21,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+def crc_sql(column: str) -> str:
+    """DuckDB SQL for crc32 of an integer as text, byte by byte and bit by bit."""
+    digits = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    byte = "list_reduce([xor(c, b)] || [CAST(x AS BIGINT) FOR x IN range(8)], lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {digits}, lambda c, b: {byte}), 4294967295)"
+
+
 def steps(lengths: np.ndarray, budget: int = STEP_BYTES) -> Iterator[slice]:
     """Slices of consecutive rows whose lengths sum to about ``budget``."""
     edges = np.cumsum(lengths, dtype=np.int64) // budget

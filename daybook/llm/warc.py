@@ -250,3 +250,11 @@ def any_file(spark: SparkSession, path: str) -> bool:
     """Whether something was written: an empty table has no archive."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def oracle(source: str = "pages", least: int = 100) -> str:
+    """DuckDB SQL for ``page_id, payload_bytes, payload_digest, record_type, refers_to`` of a table with distinct ids."""
+    return f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM {source}),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {least} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
