@@ -208,3 +208,25 @@ def test_scratch_tables_go(spark):
     assert [there(x) for x in (a, b, d)] == [False, True, False] and b.count() == 4
     e = save(spark.range(2), "e")
     assert there(e)
+
+
+def test_house_style_by_sql_and_by_rule():
+    """The SQL of the rules against the rules, on lines that try each of them and what it excepts."""
+    import duckdb
+
+    from daybook.plans import ORACLES, catalogue
+
+    catalogue.load_all()
+    lines = [
+        "He saw 3 cats.", "3 cats and 4 dogs", "it costs $5 or 7%", "v2 has 3 bugs", "`a 3 b` and 4", "see [x 5](http://a/6 7) 8", "A, B, and C are, well, and fine", "over 5 and OVER $6", "10 percent of 5 percent", "in AL AK, ÉAL and TX", "|AL|",
+        "\"a’ b", "January 5 and March 6 February 12th August 3", "x9 9x 9 9.", "---", "6 hidden", "---", "```", "7 hidden", "```", "# 8 title", "é7 7é 7", "1. list 5", "8 years 8 cats",
+    ]
+    docs = [(i, "\n".join(lines[:i])) for i in range(1, len(lines) + 1)] + [(100 + i, x) for i, x in enumerate(lines)] + [(200, None), (201, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    want = {}
+    for d, text in docs:
+        for f in lint.document_findings(text or ""):
+            want.setdefault(f["rule"], []).append(d)
+    assert dict((rule, (n, k)) for rule, n, k in con.execute(ORACLES["h24"]).fetchall()) == {rule: (len(x), len(set(x))) for rule, x in want.items()} and len(want) == 7
