@@ -109,15 +109,6 @@ def say_versus_pay(spark, sf_dir) -> DataFrame:
     return said.join(paid, "quarter")
 
 
-@register("o33", sql(", map AS (SELECT DISTINCT c_name AS raw_name, c_mktsegment AS cluster_id FROM customer), best AS (SELECT cluster_id FROM map GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT registrant_name, count(DISTINCT filing_uuid) AS filings FROM filings JOIN map ON client_name = raw_name WHERE cluster_id = (SELECT cluster_id FROM best) GROUP BY 1", FILINGS))
-def cluster_filings(spark, sf_dir) -> DataFrame:
-    """Filings through a name map, for the largest cluster; ties go to the smaller id."""
-    b = Bound(spark, sf_dir)
-    named = b.table("customer").select(F.col("c_name").alias("client_name"), F.col("c_mktsegment").alias("cluster_id")).distinct()
-    best = F.broadcast(named.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id").limit(1).select("cluster_id"))  # one row
-    return b.filings.join(named.join(best, "cluster_id"), "client_name").groupBy("registrant_name").agg(F.count_distinct("filing_uuid").alias("filings"))
-
-
 _AWARDS = ", rows AS (SELECT client_name, filing_uuid, suppkey, lobbyist_name, amount, general_issue_code LIKE 'PROMO%' AS routine, CAST(filing_uuid AS VARCHAR) || ':' || CAST(suppkey AS VARCHAR) AS award FROM lines JOIN filings USING (filing_uuid)), once AS (SELECT *, row_number() OVER (PARTITION BY client_name, award ORDER BY amount DESC, routine) AS k FROM rows), trails AS (SELECT client_name, count(*) AS n_awards, round(sum(amount), 2) AS total, round(coalesce(sum(CASE WHEN routine THEN amount END), 0), 2) AS routine_amount, round(coalesce(sum(CASE WHEN NOT routine THEN amount END), 0), 2) AS discretionary_amount, count(DISTINCT lobbyist_name) AS recipients FROM once WHERE k = 1 GROUP BY 1)"
 
 
@@ -301,6 +292,21 @@ def resolved_orgs(spark, sf_dir) -> DataFrame:
     return resolve.resolve_orgs(names)
 
 
+_CLUSTERS = _RESOLVED[: _RESOLVED.index("\nSELECT raw AS raw_name")]
+
+
+@register("o33", f"{_CLUSTERS}, {FILINGS}, {LINES}, best AS (SELECT root FROM told WHERE raw IN (SELECT p_name FROM part) GROUP BY 1 ORDER BY count(*) DESC, 'org:' || substr(md5(root), 1, 12) LIMIT 1) SELECT registrant_name, count(DISTINCT filing_uuid) AS filings FROM lines JOIN filings USING (filing_uuid) WHERE covered_position IN (SELECT raw FROM told WHERE root = (SELECT root FROM best)) GROUP BY 1")
+def cluster_filings(spark, sf_dir) -> DataFrame:
+    """Filings that name any spelling of the largest cluster of positions in the entity map; ties go to the smaller id."""
+    b = Bound(spark, sf_dir)
+    held = b.table("part").select(F.col("p_name").alias("raw_name")).distinct()
+    mapped = save(resolved_orgs(spark, sf_dir).select("raw_name", "cluster_id").join(held, "raw_name", "left_semi"), "entity_map")
+    best = F.broadcast(mapped.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id").limit(1).select("cluster_id"))  # one row
+    names = mapped.join(best, "cluster_id").select(F.col("raw_name").alias("covered_position")).distinct()
+    rows = b.lines.select("filing_uuid", "covered_position").join(names, "covered_position", "left_semi")
+    return rows.join(b.filings.select("filing_uuid", "registrant_name"), "filing_uuid").groupBy("registrant_name").agg(F.count_distinct("filing_uuid").alias("filings"))
+
+
 @register("h9", "SELECT c_custkey, trim(regexp_replace(regexp_replace(upper(c_name), '[^A-Z0-9_ -]', ' ', 'g'), ' +', ' ', 'g')) AS client_key FROM customer")
 def client_keys(spark, sf_dir) -> DataFrame:
     return Bound(spark, sf_dir).table("customer").select("c_custkey", T.client_key(F.col("c_name")).alias("client_key"))
