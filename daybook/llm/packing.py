@@ -148,7 +148,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"encoder {tokenizer_path}"
         own, end, step = kept(name, lambda: Encoder(tokenizer_path)), np.array([END_ID], dtype=np.uint32), 4 * window
-        for batch in text_steps(batches, text, 2_000_000, keep=name):
+        for batch in text_steps(batches, text, 5_000_000, keep=name):
             ids = [np.concatenate([x, end]).astype("<u4") for x in own.ids(pc.fill_null(batch.column(text).cast(pa.string()), ""))]
             sizes, found = [len(x) for x in ids], [x.tobytes() for x in ids]
             narrow = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else y for x, y in zip(ids, found, strict=True)]
