@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import kept, steps
+from daybook.llm.text import kept, release, steps
 
 #: Benchmark characters that are matched in one pass over the documents.
 BLOCK_CHARS = 4_000_000
@@ -301,5 +301,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 each = [find_leaks(texts[s], w, b) for w, b in zip(windows, bitmaps, strict=True)]
                 found += [[x for block in parts for x in block] for parts in zip(*each, strict=True)]
             yield pd.DataFrame({"leaks": found})
+        release(name)
 
     return docs.drop("leaks").withColumn("leaks", scan(F.col(text))["leaks"])

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, depth: int = 400, text: str = "text", lang: str = "lang
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
-        for batch in text_steps(batches, text):
+        for batch in text_steps(batches, text, STEP_BYTES // 4):
             by_lang: dict[str, list[str]] = {}
             for t, g in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), strict=True):
                 by_lang.setdefault(g, []).append(t)
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Profiles, text: str = "text", sharpness: fl
         for column in series:
             texts = column.fillna("").tolist()
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for s in steps(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 4000, STEP_BYTES // 4) if scorer else ():
+            for s in steps(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 4000, STEP_BYTES // 8) if scorer else ():
                 far, lettered = scorer.distances(texts[s])
                 best = far.argmin(axis=1)
                 share = np.exp(-sharpness * (far - far.min(axis=1, keepdims=True)))
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, model: Profiles, text: str = "text", sharpness: fl
                 for i in np.flatnonzero(lettered):
                     names[s.start + i] = scorer.languages[best[i]]
             yield pd.DataFrame({"lang": names, "score": scores})
+        release()
 
     if text not in docs.columns:
         raise ValueError(f"no column {text}")

@@ -66,6 +66,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", budget:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for s in steps(sizes.astype(np.int64) + 64, budget):
             yield batch.slice(s.start, s.stop - s.start)
+    release(keep)  # an idle worker counts beside stages that need none
 
 
 def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
