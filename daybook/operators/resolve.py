@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.text import cluster_id, indel_ratio, org_names, organisation, person, word_ratio
+from daybook.functions.text import cluster_id, org_names, organisation, person
 from daybook.operators.components import connected_components
 from daybook.operators.durable import save
+from daybook.operators.fuzzy import similar
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,23 +32,14 @@ def _described(forms: DataFrame, kind: str, fuzzy: DataFrame, high: float) -> Da
     return named.select(F.col("raw").alias("raw_name"), F.lit(kind).alias("entity_type"), "canonical_name", cluster_id(kind, F.col("root")).alias("cluster_id"), confidence.alias("confidence"), method.alias("match_method"), "n_variants")
 
 
-def length_band(length: F.Column, threshold: float) -> F.Column:
-    """Bands so wide that names whose ratio can reach ``threshold`` lie in one band or in neighbours: with no common letter lost the ratio is twice the shorter length over the sum of both."""
-    widest = (200 - threshold) / threshold * 1.0001
-    return F.floor(F.ln(F.greatest(length, F.lit(1))) / float(math.log(widest)))
-
-
 def resolve_orgs(names: DataFrame, threshold: float = 92.0, high: float = 95.0) -> DataFrame:
-    """``entity_map`` of ``raw, weight``. Names are compared inside blocks of an equal first word and of lengths that can reach the threshold, and only when neither is more than twice as long as the other; both prunes run before the ratio."""
+    """``entity_map`` of ``raw, weight``. Names are compared inside blocks of an equal first word, with their words sorted, and only when neither is more than twice as long as the other; those that can reach the threshold meet in the segment index (``fuzzy``), so a first word that very many names share costs no more than others."""
     forms = names.where("raw IS NOT NULL AND raw <> ''").groupBy("raw").agg(F.sum("weight").alias("weight")).withColumn("norm", F.explode(F.array_distinct(F.transform(org_names("raw"), organisation)))).where("norm <> ''")
     forms = save(forms, "forms")
     alias = forms.groupBy("raw").agg(F.min("norm").alias("a"), F.collect_set("norm").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
-    # a first word that very many names share is split by length, so a hot block is many small joins
-    keyed = forms.select("norm").distinct().withColumn("block", F.split_part("norm", F.lit(" "), F.lit(1))).withColumn("len", F.length("norm")).withColumn("band", length_band(F.col("len"), threshold))
-    left = keyed.select("block", F.col("norm").alias("a"), F.col("len").alias("la"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = keyed.select("block", F.col("norm").alias("b"), F.col("len").alias("lb"), "band")
-    close = left.join(right, ["block", "band"]).where("a < b").where(F.abs(F.col("la") - F.col("lb")) <= F.floor(F.greatest("la", "lb") / 2))
-    fuzzy = save(close.select("a", "b").withColumn("ratio", word_ratio("a", "b")).where(F.col("ratio") >= threshold), "fuzzy")
+    sorted_words = F.array_join(F.array_sort(F.split("norm", " ")), " ")
+    close = similar(forms.select("norm").distinct(), threshold, F.split_part("norm", F.lit(" "), F.lit(1)), sorted_words)
+    fuzzy = save(close.where(F.col("gap") <= F.floor(F.greatest(F.length("a"), F.length("b")) / 2)).select("a", "b", "ratio"), "fuzzy")
     roots = save(_components(forms, alias.unionByName(fuzzy.select("a", "b"))), "roots")
     least = fuzzy.join(roots, fuzzy["a"] == roots["norm"]).groupBy("root").agg(F.min("ratio").alias("ratio"))
     return _described(forms.join(roots, "norm"), "org", least, high)
@@ -60,11 +50,7 @@ def resolve_people(names: DataFrame, threshold: float = 95.0, high: float = 97.0
     forms = names.where("raw IS NOT NULL AND raw <> ''").groupBy("raw").agg(F.sum("weight").alias("weight")).withColumn("p", person(F.col("raw"))).select("raw", "weight", "p.last", "p.first").where("last <> ''")
     forms = save(forms.withColumn("norm", F.concat_ws(" ", "last", "first")), "people")
     keyed = forms.where("first <> ''").select("norm", "last", "first").distinct()
-    size = F.length("last")
-    a = keyed.select("first", F.col("norm").alias("a"), F.col("last").alias("x"), F.explode(F.sequence(size - 2, size + 2)).alias("size"))
-    b = keyed.select("first", F.col("norm").alias("b"), F.col("last").alias("y"), size.alias("size"))
-    close = a.join(b, ["first", "size"]).where("a < b AND x <> y")
-    fuzzy = save(close.withColumn("ratio", indel_ratio("x", "y")).where(F.col("ratio") >= threshold).select("a", "b", "ratio"), "fuzzy")
+    fuzzy = save(similar(keyed, threshold, F.col("first"), F.col("last")).where("gap <= 2").select("a", "b", "ratio"), "fuzzy")
     roots = save(_components(forms, fuzzy.select("a", "b")), "roots")
     least = fuzzy.join(roots, fuzzy["a"] == roots["norm"]).groupBy("root").agg(F.min("ratio").alias("ratio"))
     return _described(forms.join(roots, "norm"), "person", least, high)
