@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.text import snippet, term_pattern
+from daybook.functions.text import framed
+from daybook.operators.automaton import mentions
 
 
 def filtered(press: DataFrame, since: str | None = None, until: str | None = None, party: str | None = None, state: str | None = None, chamber: str | None = None, domain_contains: str | None = None) -> DataFrame:
@@ -17,22 +18,16 @@ def filtered(press: DataFrame, since: str | None = None, until: str | None = Non
     return out
 
 
-def _any(marks: list[str]) -> str:
-    """One expression for all of ``term_pattern``'s, so that a release without a mention is read once."""
-    return "(?iu)(?:" + "|".join(m.removeprefix("(?iu)") for m in marks) + ")"
-
-
 def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: int | None = None, key: tuple[str, ...] = ("member_name", "date", "title"), tie: str = "doc_id", limit: int | None = None) -> DataFrame:
-    """``client`` with each matching release once a client, newest first, ``n`` at most. One scan of the text for all clients: rows that name any are found by one expression, and only these are tried with each client's, literals that make an array of the clients found.
+    """``client`` with each matching release once a client, newest first, ``n`` at most. One pass over text and title finds all clients (``automaton``), however many there are; only rows with a mention go on, with the mention's place, from which the snippet is cut.
 
     The text itself has done its work then and isn't among the columns. ``limit`` keeps so many of the newest hits of each client before repeats are taken out, as the original does; by default all stay."""
-    marks = [(label, mark) for label, aliases in clients if (mark := term_pattern(aliases or [label]))]
     rest = [c for c in press.columns if c != "text"]
-    if not marks:
-        return press.select(*rest, F.lit(None).cast("string").alias("client"), F.lit("").alias("snippet")).where("false")
-    named = press.where(F.col("text").rlike(_any([m for _, m in marks])) | F.col("title").rlike(_any([m for _, m in marks])))
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(m) | F.col("title").rlike(m), F.struct(F.lit(label).alias("client"), F.when(F.col("text").rlike(m), snippet(F.col("text"), m)).otherwise(snippet(F.col("title"), m)).alias("snippet"))) for label, m in marks)))
-    hits = named.select(*rest, F.explode(found).alias("hit")).select(*rest, "hit.client", "hit.snippet")
+    found = press.withColumn("__hits", mentions(clients, F.col("text"), F.col("title"))).where(F.size("__hits") > 0)
+    hits = found.withColumn("__hit", F.explode("__hits"))
+    where = F.when(F.col("__hit.source") == 0, F.col("text")).otherwise(F.col("title"))
+    label = F.element_at(F.array(*(F.lit(label) for label, _ in clients)) if clients else F.array(F.lit(None).cast("string")), F.col("__hit.place") + 1)
+    hits = hits.select(*rest, label.alias("client"), framed(where, F.col("__hit.at"), F.col("__hit.size")).alias("snippet"))
     newest = Window.partitionBy("client").orderBy(F.desc("date"), tie)
     if limit is not None:
         hits = hits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= limit).drop("__n")
@@ -45,11 +40,9 @@ def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: i
 
 def attribute(press: DataFrame, clients: list[tuple[str, list[str]]]) -> DataFrame:
     """``client`` of each release: the first in the list's order that the title or the text names."""
-    who = F.lit(None).cast("string")
-    for label, aliases in reversed(clients):
-        if mark := term_pattern(aliases or [label]):
-            who = F.when(F.col("text").rlike(mark) | F.col("title").rlike(mark), label).otherwise(who)
-    return press.withColumn("client", who).where("client IS NOT NULL")
+    found = press.withColumn("__hits", mentions(clients, F.col("text"), F.col("title"))).where(F.size("__hits") > 0)
+    label = F.element_at(F.array(*(F.lit(label) for label, _ in clients)) if clients else F.array(F.lit(None).cast("string")), F.col("__hits")[0]["place"] + 1)
+    return found.withColumn("client", label).drop("__hits")
 
 
 def tallies(hits: DataFrame, person: str = "member_name", identity: str = "bioguide_id") -> DataFrame:

@@ -89,6 +89,15 @@ def members_mentioning(spark, sf_dir) -> DataFrame:
     return mentions.attribute(Bound(spark, sf_dir).press, CASE).groupBy("member_name", "client").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("o35_many", sql(", names AS (SELECT DISTINCT regexp_extract(text, '^\\w+ \\w+ \\w+') AS client FROM benchmark WHERE regexp_matches(text, '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+')), hits AS (SELECT client, doc_id, member_name, date FROM names JOIN press ON contains(lower(text), lower(client)) AND regexp_matches(text, '\\b' || client || '\\b', 'i')), once AS (SELECT *, row_number() OVER (PARTITION BY client, member_name, date, doc_id) AS k FROM hits) SELECT client, count(*) AS n_matches, count(DISTINCT member_name) AS n_members, min(date) AS first_date, max(date) AS last_date FROM once GROUP BY 1", PRESS))
+def many_names(spark, sf_dir) -> DataFrame:
+    """Releases that name each of hundreds of clients, in one pass; the clients are the first three words of the benchmark's items."""
+    b = Bound(spark, sf_dir)
+    names = b.table("benchmark").where("text RLIKE '^[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'").select(F.regexp_extract("text", r"^\w+ \w+ \w+", 0).alias("client")).distinct()
+    clients = [(r.client, []) for r in names.orderBy("client").collect()]  # a case's list, as long as the benchmark
+    return mentions.tallies(mentions.search(b.press, clients, key=("doc_id",)))
+
+
 _AT = "regexp_extract(text, '(?is)^(.*?)\\ball rights reserved\\b', 1)"
 
 
