@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daybook.operators.durable import save
+
 
 def node_id(kind: str, label: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.upper(F.trim(label)))
@@ -28,14 +30,76 @@ def bridges(lobbies_for: DataFrame, least: int = 2) -> DataFrame:
     return lobbies_for.groupBy(F.col("dst").alias("client")).agg(F.count_distinct("src").alias("n_lobbyists"), F.array_join(F.array_sort(F.collect_set("src")), " | ").alias("lobbyists")).where(F.col("n_lobbyists") >= least)
 
 
+#: Rows of a lobbyist's offices that may be broadcast.
+FEW = 200_000
+#: Clients times offices of a lobbyist from which on it counts as a hub; without one there is nothing to route.
+HUB = 1_000_000
+#: How many times the rows of the cheapest way a lobbyist's clients times its offices may be; these need no third edge before they are grouped.
+SLACK = 4
+
+
+def _costs(hired: DataFrame, held: DataFrame, paid: DataFrame) -> DataFrame:
+    """For each lobbyist with clients and offices, the way to its triangles: its clients times its offices, unless the payments to its clients or the payments by its offices are far fewer."""
+    by_client = hired.join(paid.groupBy("client").agg(F.count(F.lit(1)).alias("d")), "client").groupBy("lobbyist").agg(F.count(F.lit(1)).alias("clients"), F.sum("d").alias("to_clients"))
+    by_agency = held.join(paid.groupBy("agency").agg(F.count(F.lit(1)).alias("d")), "agency").groupBy("lobbyist").agg(F.count(F.lit(1)).alias("offices"), F.sum("d").alias("by_offices"))
+    both = by_client.join(by_agency, "lobbyist")
+    crossed = F.col("clients") * F.col("offices")
+    fewest = F.least("to_clients", "by_offices")
+    way = F.when(crossed <= SLACK * fewest, "both").when(F.col("to_clients") <= F.col("by_offices"), "client").otherwise("agency")
+    return both.select("lobbyist", way.alias("way"), F.when(crossed <= SLACK * fewest, crossed).otherwise(fewest).alias("rows"))
+
+
+def _crossed(hired: DataFrame, held: DataFrame) -> DataFrame:
+    """Clients and offices of each lobbyist. The rows multiply here, so they are dealt by client to a fixed number of tasks, which adaptive planning would make few by the size of what comes in; grouped by client later, they stay where they are."""
+    n = int(hired.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hired.repartition(n, "client").join(F.broadcast(held) if held.count() <= FEW else held, "lobbyist")
+
+
+def linked(hired: DataFrame, held: DataFrame, paid: DataFrame) -> DataFrame:
+    """``lobbyist, client, agency`` of every triangle of a lobbyist that works for the client, held office at the agency, and an agency that pays the client; beside them pairs of client and agency without
+    payment for lobbyists that have few of them, which the join with the payments drops.
+
+    Edges that end nowhere go first. A lobbyist with ten thousand clients never meets all its agencies: it goes from its clients to those who pay them (or from its offices to those they pay), and a semi-join with the third edge
+    closes the triangle. So the rows made are at most ``SLACK`` times those of every lobbyist's cheapest two edges."""
+    hired = save(hired.join(paid.select("client").distinct(), "client", "left_semi"), "hired")
+    held = save(held.join(paid.select("agency").distinct(), "agency", "left_semi"), "held")
+    routes = save(_costs(hired, held, paid).select("lobbyist", "way"), "routes")
+    columns = ["lobbyist", "client", "agency"]
+    ways = {r.way for r in routes.select("way").distinct().collect()}  # three at most
+    of = lambda df, way: df if ways == {way} else df.join(routes.where(F.col("way") == way), "lobbyist", "left_semi")
+    close = F.broadcast if held.count() <= FEW else (lambda df: df)
+    made = []
+    if "both" in ways or not ways:
+        made.append(_crossed(of(hired, "both"), held))
+    if "client" in ways:
+        made.append(of(hired, "client").join(paid, "client").join(close(held), ["lobbyist", "agency"], "left_semi"))
+    if "agency" in ways:
+        made.append(of(held, "agency").join(paid, "agency").join(hired, ["lobbyist", "client"], "left_semi"))
+    out = made[0].select(*columns)
+    for more in made[1:]:
+        out = out.unionByName(more.select(*columns))
+    return out
+
+
+def has_hub(hired: DataFrame, held: DataFrame) -> bool:
+    """Whether some lobbyist's clients times its offices are many."""
+    sizes = hired.groupBy("lobbyist").agg(F.count(F.lit(1)).alias("a")).join(held.groupBy("lobbyist").agg(F.count(F.lit(1)).alias("b")), "lobbyist")
+    return (sizes.agg(F.max(F.col("a") * F.col("b"))).first()[0] or 0) > HUB
+
+
 def triangles(mentions: DataFrame, funded_by: DataFrame, lobbies_for: DataFrame, official_of: DataFrame) -> DataFrame:
     """A member mentions a client that an agency funds and a former official of that agency lobbies for."""
     said = mentions.select(F.col("src").alias("member"), F.col("dst").alias("client"), F.col("weight").alias("mentions"))
     paid = funded_by.select(F.col("src").alias("agency"), F.col("dst").alias("client"), F.col("weight").alias("dollars"))
     hired = lobbies_for.select(F.col("src").alias("lobbyist"), F.col("dst").alias("client")).distinct()
     held = official_of.select(F.col("src").alias("lobbyist"), F.col("dst").alias("agency")).distinct()
-    linked = hired.join(held, "lobbyist").groupBy("client", "agency").agg(F.array_join(F.array_sort(F.collect_set("lobbyist")), " | ").alias("lobbyists"))
-    return said.join(paid.join(linked, ["client", "agency"]), "client").select("member", "client", "agency", "lobbyists", "mentions", "dollars")
+    if has_hub(hired, held):
+        paid = save(paid.join(said.select("client").distinct(), "client", "left_semi"), "paid")
+        pairs = linked(hired, held, paid.select("client", "agency").distinct())
+    else:
+        pairs = _crossed(hired, held)
+    told = pairs.groupBy("client", "agency").agg(F.array_join(F.array_sort(F.collect_set("lobbyist")), " | ").alias("lobbyists"))
+    return said.join(paid.join(told, ["client", "agency"]), "client").select("member", "client", "agency", "lobbyists", "mentions", "dollars")
 
 
 def hubs(mentions: DataFrame, funded_by: DataFrame) -> DataFrame:

@@ -8,32 +8,41 @@ from pyspark.sql import functions as F
 from daybook.operators.durable import save
 
 
-def appearances(rows: DataFrame, filings: DataFrame, person: str, firm: str, filing: str) -> DataFrame:
-    """One row a person, firm and filing, written once: ``income, times, covered_position, client_name, filing_year`` of the filing, where the person has ``times`` rows. Profiles and agency counts both come from it, so lobbyists and filings meet in one join."""
-    joined = rows.select(person, filing, "covered_position").join(filings, filing)
-    return save(joined.groupBy(person, firm, filing).agg(*(F.first(c).alias(c) for c in ("income", "client_name", "filing_year")), F.count(F.lit(1)).alias("times"), F.max("covered_position").alias("covered_position")), "appearances")
+def appearances(rows: DataFrame, filings: DataFrame, person: str, firm: str, filing: str, agencies: Column) -> DataFrame:
+    """One row a person, firm and filing, written once: ``income, times, covered_position, client_name, filing_year`` of the filing, where the person has ``times`` rows, and in ``agencies`` the set of those that any row of the filing names; ``agencies`` gives a row's as an array.
+
+    Profiles and agency counts both come from it, so lobbyists and filings meet in one join; everything here is keyed by the filing and shuffled by it once. A set of agencies is at most the registry."""
+    dealt = rows.select(filing, person, "covered_position", agencies.alias("__a")).repartition(F.col(filing))
+    facts = [c for c in ("income", "client_name", "filing_year", "source_path") if c in filings.columns]
+    named = dealt.select(filing, F.explode("__a").alias("__a")).groupBy(filing).agg(F.collect_set("__a").alias("agencies"))
+    joined = dealt.select(filing, person, "covered_position").join(filings.select(filing, firm, *facts), filing)
+    once = joined.groupBy(filing, person, firm).agg(*(F.first(c).alias(c) for c in facts), F.count(F.lit(1)).alias("times"), F.max("covered_position").alias("covered_position"))
+    return save(once.join(named, filing, "left").withColumn("agencies", F.coalesce("agencies", F.array().cast("array<string>"))), "appearances")
 
 
 def profiles(once: DataFrame, person: str, firm: str, filing: str) -> DataFrame:
     """One row a person and firm: filings, clients, years, and income both by row (``total_income``, inflated by fan-out as the original has it) and by filing (``total_income_dedup``); position and sample filing are maxima, each by itself."""
+    sample = [F.max("source_path").alias("sample_source")] if "source_path" in once.columns else []
     return once.groupBy(person, firm).agg(
         F.count(F.lit(1)).alias("total_filings"), F.count_distinct("client_name").alias("n_clients"), F.sum(F.col("income") * F.col("times")).alias("total_income"), F.sum("income").alias("total_income_dedup"),
-        F.min("filing_year").alias("first_year"), F.max("filing_year").alias("last_year"), F.max("covered_position").alias("covered_position"), F.max(F.col(filing).cast("string")).alias("sample_uuid"),
+        F.min("filing_year").alias("first_year"), F.max("filing_year").alias("last_year"), F.max("covered_position").alias("covered_position"), F.max(F.col(filing).cast("string")).alias("sample_uuid"), *sample,
     )
 
 
-def agency_counts(once: DataFrame, targets: DataFrame, person: str, firm: str, filing: str, agency: str) -> DataFrame:
-    """Filings of each person and firm that name an agency, for all agencies in one join."""
-    return once.select(person, firm, filing, "client_name").join(targets.select(filing, agency).distinct(), filing).groupBy(person, firm, agency, "client_name").agg(F.count(F.lit(1)).alias("n"))
+def agency_counts(once: DataFrame, person: str, firm: str, agency: str) -> DataFrame:
+    """Filings of each person and firm that name an agency, for all agencies in one aggregate, counted before they are shuffled."""
+    return once.select(person, firm, F.explode("agencies").alias(agency)).groupBy(person, firm, agency).agg(F.count(F.lit(1)).alias("agency_filings"))
 
 
-def top_clients(counts: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    """Agency filings and the ``n`` clients with most of them, ties by name, as one string."""
+def top_clients(once: DataFrame, chosen: DataFrame, person: str, firm: str, agency: str, n: int = 5) -> DataFrame:
+    """The ``n`` clients with most filings that name the agency, ties by name, as one string, for the ``chosen`` persons, firms and agencies only. The window ranks and nothing else, so Spark keeps ``n`` rows a group while it sorts."""
+    keys = [person, firm, agency]
+    rows = once.select(person, firm, "client_name", F.explode("agencies").alias(agency)).join(chosen.select(*keys), keys, "left_semi")
+    counts = rows.groupBy(*keys, "client_name").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(*keys).orderBy(F.desc("n"), "client_name")
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumn("place", F.row_number().over(best)).withColumn("agency_filings", F.sum("n").over(whole)).where(F.col("place") <= n)
+    ranked = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
     listed = F.array_sort(F.collect_list(F.struct("place", "client_name")))
-    return ranked.groupBy(*keys).agg(F.first("agency_filings").alias("agency_filings"), F.array_join(F.transform(listed, lambda s: s["client_name"]), " | ").alias("top_clients_str"))
+    return ranked.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda s: s["client_name"]), " | ").alias("top_clients_str"))
 
 
 def scan(people: DataFrame, counted: DataFrame, keys: list[str], seniority: Column, min_filings: int = 10, min_conc: float = 0.20) -> DataFrame:

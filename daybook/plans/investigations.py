@@ -28,12 +28,12 @@ _OUT = "lobbyist_name, registrant_name, entity_name, covered_position, total_fil
 
 
 def candidates(b: Bound, min_filings: int = MIN_FILINGS, min_conc: float = MIN_CONC) -> DataFrame:
-    rows = save(b.lines.select("filing_uuid", "lobbyist_name", "covered_position", "entity_name"), "lines")
-    once = scan.appearances(rows, b.filings.select("filing_uuid", "registrant_name", "client_name", "income", "filing_year"), "lobbyist_name", "registrant_name", "filing_uuid")
-    people = scan.profiles(once, "lobbyist_name", "registrant_name", "filing_uuid")
-    counts = scan.agency_counts(once, rows, "lobbyist_name", "registrant_name", "filing_uuid", "entity_name")
-    counted = scan.top_clients(counts, ["lobbyist_name", "registrant_name", "entity_name"])
-    found = scan.scan(people, counted, ["lobbyist_name", "registrant_name"], F.lit(SENIORITY), min_filings, min_conc)
+    """Persons, firms and agencies that pass both limits, with profile and score; clients are counted for these alone."""
+    person, firm, agency = "lobbyist_name", "registrant_name", "entity_name"
+    once = scan.appearances(b.lines, b.filings, person, firm, "filing_uuid", F.array(agency))
+    people = scan.profiles(once, person, firm, "filing_uuid")
+    found = save(scan.scan(people, scan.agency_counts(once, person, firm, agency), [person, firm], F.lit(SENIORITY), min_filings, min_conc), "candidates")
+    found = found.join(scan.top_clients(once, found, person, firm, agency), [person, firm, agency])
     return found.drop("sample_uuid").withColumn("total_income", F.round("total_income", 2)).withColumn("total_income_dedup", F.round("total_income_dedup", 2))
 
 
@@ -142,8 +142,8 @@ said AS (SELECT registrant_name AS m, client_name AS c, count(*) AS w FROM filin
 
 
 def _motif_edges(b: Bound):
-    """Edges over whole tables."""
-    rows = b.lines.join(b.filings.select("filing_uuid", "client_name"), "filing_uuid")
+    """Edges over whole tables, from one join."""
+    rows = save(b.lines.select("filing_uuid", "lobbyist_name", "entity_name", "amount").join(b.filings.select("filing_uuid", "client_name"), "filing_uuid").drop("filing_uuid"), "works")
     client, person = graph.node_id("client", F.col("client_name")), graph.node_id("lobbyist", F.col("lobbyist_name"))
     agency = graph.node_id("agency", F.col("entity_name"))
     hired = graph.edges(rows, "lobbies_for", person, client, F.lit(1))

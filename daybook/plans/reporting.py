@@ -36,14 +36,14 @@ def offices(b: Bound) -> DataFrame:
 
 
 _FOUND = f""", once AS (SELECT DISTINCT lobbyist_name, registrant_name, filing_uuid, client_name FROM offices JOIN filings USING (filing_uuid)),
-prof AS (SELECT lobbyist_name, registrant_name, max(position) AS position, count(DISTINCT filing_uuid) AS total_filings, max(CAST(filing_uuid AS VARCHAR)) AS sample_uuid, sum(income) AS total_income FROM offices JOIN filings USING (filing_uuid) GROUP BY 1, 2),
+prof AS (SELECT lobbyist_name, registrant_name, max(position) AS position, count(DISTINCT filing_uuid) AS total_filings, max(CAST(filing_uuid AS VARCHAR)) AS sample_uuid, max('filings/' || filing_year || '/' || filing_period || '/' || filing_uuid || '.json') AS sample_source, sum(income) AS total_income FROM offices JOIN filings USING (filing_uuid) GROUP BY 1, 2),
 told AS (SELECT * FROM prof JOIN meaning USING (position) WHERE total_filings >= {MIN_FILINGS}),
 named AS (SELECT DISTINCT filing_uuid, m.agency_short FROM offices JOIN (SELECT DISTINCT agency_short, fragment FROM meaning) m ON entity ILIKE '%' || m.fragment || '%'),
 cc AS (SELECT lobbyist_name, registrant_name, agency_short, client_name, count(*) AS n FROM once JOIN named USING (filing_uuid) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY lobbyist_name, registrant_name, agency_short ORDER BY n DESC, client_name) AS k, sum(n) OVER (PARTITION BY lobbyist_name, registrant_name, agency_short) AS agency_filings FROM cc),
 tops AS (SELECT lobbyist_name, registrant_name, agency_short, CAST(max(agency_filings) AS BIGINT) AS agency_filings, string_agg(client_name, ' | ' ORDER BY k) AS top_clients_str FROM rk WHERE k <= 5 GROUP BY 1, 2, 3),
 cand AS (SELECT *, CAST(agency_filings AS DOUBLE) / total_filings AS share FROM told JOIN tops USING (lobbyist_name, registrant_name, agency_short))
-, found AS (SELECT lobbyist_name, registrant_name, agency_short, position AS covered_position, sample_uuid, total_filings, agency_filings, top_clients_str, round(total_income, 2) AS total_income, round(share, 4) AS concentration, round(share * ln(total_filings + 1) * seniority, 4) AS score FROM cand WHERE share >= {MIN_CONC})
+, found AS (SELECT lobbyist_name, registrant_name, agency_short, position AS covered_position, sample_uuid, sample_source, total_filings, agency_filings, top_clients_str, round(total_income, 2) AS total_income, round(share, 4) AS concentration, round(share * ln(total_filings + 1) * seniority, 4) AS score FROM cand WHERE share >= {MIN_CONC})
 , ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, lobbyist_name, registrant_name, agency_short) AS rank FROM found ORDER BY score DESC, lobbyist_name, registrant_name, agency_short LIMIT 40)"""
 _SCAN = (FILINGS, LINES, OFFICES, MEANING)
 
@@ -51,18 +51,18 @@ _SCAN = (FILINGS, LINES, OFFICES, MEANING)
 def findings(b: Bound) -> DataFrame:
     """The registry scan: positions name agencies by the registry's patterns, filings by its fragments, and seniority is the registry's."""
     lines = save(offices(b), "offices")
-    filings = b.filings.select("filing_uuid", "registrant_name", "client_name", "income", "filing_year")
-    once = scan.appearances(lines.withColumnRenamed("position", "covered_position"), filings, "lobbyist_name", "registrant_name", "filing_uuid")
-    profiles = scan.profiles(once, "lobbyist_name", "registrant_name", "filing_uuid").withColumn("total_income", F.round("total_income", 2))
+    person, firm, agency = "lobbyist_name", "registrant_name", "agency_short"
+    path = F.concat(F.lit("filings/"), F.col("filing_year").cast("string"), F.lit("/"), "filing_period", F.lit("/"), F.col("filing_uuid").cast("string"), F.lit(".json"))
+    filings = b.filings.select("filing_uuid", firm, "client_name", "income", "filing_year", path.alias("source_path"))
+    targets = F.array_compact(F.array(*(F.when(F.col("entity").ilike(f"%{fragment}%"), F.lit(short)) for short, fragment, *_ in registry.AGENCIES)))
+    once = scan.appearances(lines.withColumnRenamed("position", "covered_position"), filings, person, firm, "filing_uuid", targets)
+    profiles = scan.profiles(once, person, firm, "filing_uuid").withColumn("total_income", F.round("total_income", 2))
     marks = F.explode(registry.agencies_of(F.col("covered_position")))
-    meant = profiles.select("covered_position").distinct().select("covered_position", marks.alias("m")).select("covered_position", F.col("m.agency").alias("agency_short"), "m.seniority")  # each position is read once
+    meant = profiles.select("covered_position").distinct().select("covered_position", marks.alias("m")).select("covered_position", F.col("m.agency").alias(agency), "m.seniority")  # each position is read once
     people = profiles.where(F.col("total_filings") >= MIN_FILINGS).join(meant, "covered_position")
-    agency = F.array_compact(F.array(*(F.when(F.col("entity").ilike(f"%{fragment}%"), F.lit(short)) for short, fragment, *_ in registry.AGENCIES)))
-    targets = lines.select("filing_uuid", F.explode(agency).alias("agency_short"))
-    counts = scan.agency_counts(once, targets, "lobbyist_name", "registrant_name", "filing_uuid", "agency_short")
-    tops = scan.top_clients(counts, ["lobbyist_name", "registrant_name", "agency_short"])
-    found = scan.scan(people, tops, ["lobbyist_name", "registrant_name", "agency_short"], F.col("seniority"), MIN_FILINGS, MIN_CONC)
-    return found.select("lobbyist_name", "registrant_name", "agency_short", "covered_position", "sample_uuid", "total_filings", "agency_filings", "top_clients_str", "total_income", "concentration", "score")
+    found = save(scan.scan(people, scan.agency_counts(once, person, firm, agency), [person, firm, agency], F.col("seniority"), MIN_FILINGS, MIN_CONC), "candidates")
+    found = found.join(scan.top_clients(once, found, person, firm, agency), [person, firm, agency])
+    return found.select(person, firm, agency, "covered_position", "sample_uuid", "sample_source", "total_filings", "agency_filings", "top_clients_str", "total_income", "concentration", "score")
 
 
 def top_findings(b: Bound) -> DataFrame:

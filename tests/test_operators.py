@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from daybook.operators import archive, graph, lint, quality, resolve, status
@@ -230,3 +232,38 @@ def test_house_style_by_sql_and_by_rule():
         for f in lint.document_findings(text or ""):
             want.setdefault(f["rule"], []).append(d)
     assert dict((rule, (n, k)) for rule, n, k in con.execute(ORACLES["h24"]).fetchall()) == {rule: (len(x), len(set(x))) for rule, x in want.items()} and len(want) == 7
+
+
+@pytest.mark.parametrize("hub", [0, 10**9])
+def test_triangles_of_a_hub_stay_near_the_result(spark, monkeypatch, hub):
+    """A lobbyist with 10,000 clients and 200 offices, either routed or not, of whose clients few are paid by few agencies; beside it some with few edges, and an agency that pays all of one lobbyist's clients."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = random.Random(6)
+    hired = [("hub", f"c{i}") for i in range(10_000)] + [(f"l{i}", f"c{rng.randrange(10_000)}") for i in range(300) for _ in range(3)] + [("wide", f"c{i}") for i in range(0, 10_000, 3)]
+    held = [("hub", f"a{i}") for i in range(200)] + [(f"l{i}", f"a{rng.randrange(200)}") for i in range(300)] + [("wide", "a0"), ("idle", "a1")]
+    paid = list({(f"a{rng.randrange(260)}", f"c{rng.randrange(11_000)}") for _ in range(9000)} | {("a0", f"c{i}") for i in range(0, 10_000, 30)})
+    said = [("m", f"c{i}", 2.0) for i in range(0, 10_000, 2)]
+    edges = lambda rows: spark.createDataFrame([(*r, 1.0)[:3] for r in rows], "src string, dst string, weight double")
+    want = {}
+    of = {}
+    for lobbyist, agency in held:
+        of.setdefault(agency, set()).add(lobbyist)
+    works = set(hired)
+    talked = {c for _, c, _ in said}
+    for agency, client in paid:
+        who = sorted(x for x in of.get(agency, ()) if (x, client) in works)
+        if who and client in talked:
+            want[client, agency] = " | ".join(who)
+    got = graph.triangles(edges(said), edges(paid), edges(hired), edges(held)).collect()
+    assert {(r.client, r.agency): r.lobbyists for r in got} == want and len(got) == len(want)
+    pairs = lambda rows, *names: spark.createDataFrame(rows, [*names])
+    payments = pairs([p for p in paid if p[1] in talked], "agency", "client")
+    made = graph.linked(pairs(hired, "lobbyist", "client").distinct(), pairs(held, "lobbyist", "agency").distinct(), payments)
+    assert made.count() <= 4 * sum(len(x.split(" | ")) for x in want.values())
+    assert graph._costs(pairs(hired, "lobbyist", "client"), pairs(held, "lobbyist", "agency"), payments).agg(F.sum("rows")).first()[0] < 20_000  # of two million pairs
+
+
+def test_triangles_of_nothing(spark):
+    none = spark.createDataFrame([], "src string, dst string, weight double")
+    one = spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, weight double")
+    assert graph.triangles(none, one, one, one).count() == 0 and graph.triangles(one, one, none, none).count() == 0
