@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from daybook import schemas
+from daybook.sources.retry import ask
 
 
 def case(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
@@ -65,23 +67,8 @@ def award_request(search: str, agency: str, group: str, start: str, end: str, li
 
 def post(url: str, body: dict, tries: int = 4, wait: float = 2.0) -> list[dict]:
     """Results of a request. Overload, server and network errors are tried again after ``wait``, twice it and so on; after that, and for other errors, there are none."""
-    import time
-    import urllib.error
-    import urllib.request
-
     request = urllib.request.Request(url, data=json.dumps(body).encode(), headers={"Content-Type": "application/json"})
-    for n in range(1, tries + 1):
-        try:
-            with urllib.request.urlopen(request, timeout=60) as answer:
-                return json.loads(answer.read()).get("results", [])
-        except urllib.error.HTTPError as e:
-            if e.code not in RETRIED:
-                return []
-        except (urllib.error.URLError, TimeoutError):
-            pass
-        if n < tries:
-            time.sleep(wait * n)
-    return []
+    return ask(request, RETRIED, tries, wait, read=lambda answer: json.loads(answer.read()).get("results", [])) or []
 
 
 def findings(spark: SparkSession, path: str, top: int | None = None, rank: int | None = None) -> DataFrame:
