@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def award_key(award: Column, group: Column, recipient: Column, amount: Column) -> Column:
+    """What tells awards apart: the id, or group, recipient and amount where it is null or blank."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.coalesce(F.nullif(F.trim(award.cast("string")), F.lit("")), F.concat_ws(":", none(group), none(recipient), none(amount)))
+
+
 def trail(awards: DataFrame, client: str, award: Column, amount: str, recipient: str, routine: Column, order: list) -> DataFrame:
     """One row a client. Rows with an equal award key count once, the first in ``order``."""
     first = Window.partitionBy(client, "__award").orderBy(*order)

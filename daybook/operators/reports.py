@@ -134,7 +134,7 @@ def member_label(name: Column, party: Column, state: Column, chamber: Column) ->
 
 def sample(df: DataFrame, n: int, seed: int = 17) -> DataFrame:
     """``n`` rows drawn evenly; equal for equal rows and seed, since a row's draw is a hash of its contents."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(*df.columns))), *df.columns).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))), *df.columns).limit(n)
 
 
 def catalog(spark: SparkSession, names: list[str] | None = None) -> DataFrame:

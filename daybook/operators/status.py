@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 URGENCY = ["escalated", "no_response_by_deadline", "followed_up", "sent", "acknowledged", "responded", "closed_response", "closed_no_response", "draft"]
 
 
+# The groups of statuses that a list can be narrowed to.
+GROUPS = {"urgent": ["escalated", "no_response_by_deadline"], "active": ["sent", "acknowledged", "followed_up"], "replied": ["responded", "closed_response"], "closed": ["closed_no_response"], "todo": ["draft"]}
+
+
+def in_group(rows: DataFrame, group: str | None) -> DataFrame:
+    """Rows with a status of the group; all where none, or none that is known, is chosen."""
+    return rows.where(F.col("status").isin(GROUPS[group])) if group in GROUPS else rows
+
+
 def _last(value: Column, pos: str, when: Column) -> Column:
     return F.max_by(F.when(when, value), F.when(when, F.col(pos)))
 

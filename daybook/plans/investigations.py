@@ -131,6 +131,18 @@ def award_trails(spark, sf_dir) -> DataFrame:
     return trails(Bound(spark, sf_dir))
 
 
+_BLANK = _AWARDS.replace("ORDER BY amount DESC, routine)", "ORDER BY amount DESC, routine, lobbyist_name)").replace("suppkey, lobbyist_name, amount", "suppkey, filing_type, lobbyist_name, amount").replace("CAST(filing_uuid AS VARCHAR) || ':' || CAST(suppkey AS VARCHAR) AS award", "CASE WHEN filing_uuid % 3 = 0 THEN filing_type || ':' || lobbyist_name || ':' || CAST(amount AS VARCHAR) ELSE CAST(filing_uuid AS VARCHAR) END AS award")
+
+
+@register("h19", sql(_BLANK + " SELECT * FROM trails", FILINGS, LINES))
+def trails_with_blank_ids(spark, sf_dir) -> DataFrame:
+    """Trails of awards of which a third has a blank id, so that group, recipient and amount tell them apart; of the others the rows of a filing are one award."""
+    b = Bound(spark, sf_dir)
+    rows = b.lines.join(b.filings.select("filing_uuid", "client_name", "filing_type"), "filing_uuid")
+    key = awards.award_key(F.when(F.col("filing_uuid") % 3 == 0, F.lit(" ")).otherwise(F.col("filing_uuid").cast("string")), F.col("filing_type"), F.col("lobbyist_name"), F.col("amount"))
+    return awards.trail(rows, "client_name", key, "amount", "lobbyist_name", F.col("general_issue_code").startswith("PROMO"), [F.desc("amount"), F.col("general_issue_code").startswith("PROMO"), "lobbyist_name"])
+
+
 @register("d13", sql(_AWARDS + " SELECT count(*) AS clients, round(sum(total), 2) AS grand_total, round(sum(routine_amount), 2) AS routine_total, round(100.0 * sum(discretionary_amount) / round(sum(total), 2), 4) AS pct_discretionary FROM trails", FILINGS, LINES))
 def award_report(spark, sf_dir) -> DataFrame:
     return awards.report(trails(Bound(spark, sf_dir)))
@@ -201,16 +213,30 @@ def log(b: Bound) -> DataFrame:
 _NOW = "2024-02-01 00:00:00"
 
 
-@register("o38", f"""WITH e AS ({_EVENTS}), g AS (SELECT user_id, count(*) AS n_events, bool_or(coalesce(response_kind = 'legal_threat', false)) AS threat, arg_max(coalesce(response_kind, 'none'), pos) FILTER (kind = 'closed') AS closed_as, bool_or(coalesce(response_kind = 'substantive', false)) AS substantive,
-  arg_max(kind, pos) FILTER (kind IN ('sent', 'ack', 'followup')) AS last_open, arg_min(ts, pos) FILTER (kind = 'sent') AS sent_at, count(*) FILTER (kind = 'followup') AS followups FROM e GROUP BY 1)
+_STATUS = f"""WITH e AS ({_EVENTS}), g AS (SELECT user_id, count(*) AS n_events, bool_or(coalesce(response_kind = 'legal_threat', false)) AS threat, arg_max(coalesce(response_kind, 'none'), pos) FILTER (kind = 'closed') AS closed_as, bool_or(coalesce(response_kind = 'substantive', false)) AS substantive,
+  arg_max(kind, pos) FILTER (kind IN ('sent', 'ack', 'followup')) AS last_open, arg_max(ts, pos) FILTER (kind = 'response') AS response_at, arg_min(ts, pos) FILTER (kind = 'sent') AS sent_at, count(*) FILTER (kind = 'followup') AS followups FROM e GROUP BY 1)
 SELECT user_id, n_events, followups, CASE WHEN threat THEN 'escalated' WHEN closed_as = 'none' THEN 'closed_no_response' WHEN closed_as IS NOT NULL THEN 'closed_response' WHEN substantive THEN 'responded' WHEN last_open IS NULL THEN 'draft' WHEN sent_at + INTERVAL 7 DAY < TIMESTAMP '{_NOW}' THEN 'no_response_by_deadline' WHEN last_open = 'ack' THEN 'acknowledged' WHEN last_open = 'followup' THEN 'followed_up' ELSE 'sent' END AS status,
-  CAST(floor((epoch(TIMESTAMP '{_NOW}') - floor(epoch(sent_at))) / 86400) AS BIGINT) AS days_since_sent FROM g""")
-def comment_status(spark, sf_dir) -> DataFrame:
-    rows = log(Bound(spark, sf_dir))
+  CAST(floor((epoch(TIMESTAMP '{_NOW}') - floor(epoch(sent_at))) / 86400) AS BIGINT) AS days_since_sent, CAST(floor((floor(epoch(response_at)) - floor(epoch(sent_at))) / 86400) AS BIGINT) AS days_to_response,
+  CAST(floor((floor(epoch(sent_at + INTERVAL 7 DAY)) - epoch(TIMESTAMP '{_NOW}')) / 86400) AS BIGINT) AS days_left FROM g"""
+
+
+def _summaries(b: Bound) -> DataFrame:
+    rows = log(b)
     first = rows.where("kind = 'sent'").groupBy("user_id").agg(F.min_by("ts", "pos").alias("first_sent"))
     rows = rows.join(first, "user_id", "left")
     out = status.summaries(rows, "user_id", F.lit(_NOW).cast("timestamp"), F.col("first_sent") + F.expr("INTERVAL 7 DAYS"), at="ts")
-    return out.select("user_id", "n_events", "followups", "status", "days_since_sent")
+    return out.select("user_id", "n_events", "followups", "status", "days_since_sent", "days_to_response", "days_left")
+
+
+@register("o38", _STATUS)
+def comment_status(spark, sf_dir) -> DataFrame:
+    return _summaries(Bound(spark, sf_dir))
+
+
+@register("b15_status", f"SELECT user_id, status, days_left FROM ({_STATUS}) WHERE status IN ('escalated', 'no_response_by_deadline')")
+def urgent_requests(spark, sf_dir) -> DataFrame:
+    """The requests of one group of statuses."""
+    return status.in_group(_summaries(Bound(spark, sf_dir)), "urgent").select("user_id", "status", "days_left")
 
 
 #: Positions of the older scan, by part: the last is of no category. The year that each names is its part's size.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators import ranks
+from daybook.operators.durable import save
 from daybook.plans import register
 from daybook.plans.bind import FILINGS, LINES, Bound, sql
 
@@ -194,7 +196,28 @@ def chamber_counts(spark, sf_dir) -> DataFrame:
 def income_stats(spark, sf_dir) -> DataFrame:
     b = Bound(spark, sf_dir)
     rows = b.filings.join(b.lines.where("suppkey <= 3").select("filing_uuid"), "filing_uuid").select("filing_uuid", "income").distinct()
-    return rows.agg(_count(), F.count("income").alias("disclosed"), F.round(F.avg("income"), 4).alias("mean_income"), F.round(F.median("income"), 4).alias("median_income"), F.min("income").alias("low"), F.max("income").alias("high"))
+    rows = save(rows, "disclosed")  # read by the quantile's sketch and by its band
+    told = rows.agg(_count(), F.count("income").alias("disclosed"), F.round(F.avg("income"), 4).alias("mean_income"), F.min("income").alias("low"), F.max("income").alias("high"))
+    median = ranks.quantile(rows, "income", []).select(F.round("quantile", 4).alias("median_income"))
+    return told.crossJoin(F.broadcast(median))  # one row each
+
+
+@register("c4", sql("SELECT a.general_issue_code, count(*) AS activities, count(b.filing_uuid) AS met, round(coalesce(sum(b.amount), 0), 2) AS amount FROM lines a LEFT JOIN (SELECT filing_uuid, activity_idx, amount FROM lines WHERE entity_name = 'Brand#13') b ON a.filing_uuid = b.filing_uuid AND a.activity_idx = b.activity_idx GROUP BY 1", LINES))
+def left_on_two_columns(spark, sf_dir) -> DataFrame:
+    """Activities with the entity of one agency on filing and activity, where they have it."""
+    b = Bound(spark, sf_dir)
+    met = b.lines.where("entity_name = 'Brand#13'").select("filing_uuid", "activity_idx", "amount", F.lit(1).alias("one"))
+    rows = b.lines.select("filing_uuid", "activity_idx", "general_issue_code").join(met, ["filing_uuid", "activity_idx"], "left")
+    return rows.groupBy("general_issue_code").agg(_count("activities"), F.count("one").alias("met"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("amount"))
+
+
+@register("c4_constant", sql("SELECT registrant_name, count(*) AS filings, count(l.filing_uuid) AS with_first, count(*) FILTER (l.filing_uuid IS NULL) AS without FROM filings f LEFT JOIN lines l ON l.filing_uuid = f.filing_uuid AND l.activity_idx = 4 GROUP BY 1", FILINGS, LINES))
+def left_on_a_constant(spark, sf_dir) -> DataFrame:
+    """Filings with their fourth activity where they have one: the constant is part of the join, so filings without stay."""
+    b = Bound(spark, sf_dir)
+    f, one = b.filings.select("filing_uuid", "registrant_name"), b.lines.select(F.col("filing_uuid").alias("of"), "activity_idx")
+    rows = f.join(one, (F.col("of") == F.col("filing_uuid")) & (F.col("activity_idx") == 4), "left")
+    return rows.groupBy("registrant_name").agg(_count("filings"), F.count("of").alias("with_first"), F.count_if(F.col("of").isNull()).alias("without"))
 
 
 @register("o21", sql("SELECT count(DISTINCT filing_uuid) AS agency_filings, count(DISTINCT CASE WHEN filing_uuid IN (SELECT filing_uuid FROM lines WHERE suppkey = 1) THEN filing_uuid END) AS mine, round(100.0 * count(DISTINCT CASE WHEN filing_uuid IN (SELECT filing_uuid FROM lines WHERE suppkey = 1) THEN filing_uuid END) / count(DISTINCT filing_uuid), 4) AS pct FROM lines WHERE entity_name = 'Brand#13'", LINES))

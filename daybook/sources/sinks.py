@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Columns of the findings file, in order.
@@ -34,6 +34,16 @@ def document(df: DataFrame, order: list, name: str = "findings") -> str:
     return json.dumps({name: rows}, ensure_ascii=False, indent=1)
 
 
+def findings_document(found: DataFrame, top: int = 40) -> str:
+    """The first findings as a JSON document, each with the address of its sample filing; only they reach the driver."""
+    order = [F.desc("score"), "lobbyist_name", "registrant_name", "agency_short"]
+    best = found.drop("rank").orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    address = F.when(F.col("sample_uuid").isNotNull(), F.concat(F.lit("https://lda.senate.gov/filings/public/filing/"), "sample_uuid", F.lit("/print/")))
+    money = [F.col(c).cast("double").alias(c) for c in ("total_income",) if c in found.columns]
+    rest = [c for c in best.columns if c not in ("rank", "total_income")]
+    return document(best.select("rank", *rest, *money, address.alias("senate_lda_url")), ["rank"])
+
+
 def markdown(df: DataFrame, order: list, title: str) -> str:
     rows = df.orderBy(*order).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")

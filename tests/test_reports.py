@@ -8,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from daybook.operators import graph, reports, resolve, status
+from daybook.operators import awards, graph, reports, resolve, status
 from daybook.sources import build, cases, filings, sinks
 from daybook.streaming.status import statuses
 from tests.test_sources import FILING, LEGACY, MODERN
@@ -237,3 +237,21 @@ def test_reports_are_written(spark, tmp_path):
     assert "client: client:ACME, n_lobbyists: 2" in summary and "- works_at: 2" in summary and "member: legislator:M (D-WI-S)" in summary
     sinks.trail_csv(spark.createDataFrame([("k", [("a", 1.0)]), ("e", [])], "case_id string, clients array<struct<label:string,total:double>>"), str(tmp_path / "t"))
     assert len(next((tmp_path / "t").glob("*.csv")).read_text().splitlines()) == 3
+
+
+def test_award_key_falls_back(spark):
+    rows = spark.createDataFrame([("A1", "grants", "R", 1.5), (" ", "grants", "R", 1.5), (None, "grants", "R", 1.5), ("", None, None, None)], "id string, g string, r string, a double")
+    assert [r.k for r in rows.select(awards.award_key(F.col("id"), F.col("g"), F.col("r"), F.col("a")).alias("k")).collect()] == ["A1", "grants:R:1.5", "grants:R:1.5", "::"]
+
+
+def test_status_groups(spark):
+    rows = spark.createDataFrame([(s,) for s in status.URGENCY], "status string")
+    told = [sorted(r.status for r in status.in_group(rows, g).collect()) for g in status.GROUPS]
+    assert sorted(s for g in told for s in g) == sorted(status.URGENCY)
+    assert status.in_group(rows, None).count() == status.in_group(rows, "no such").count() == len(status.URGENCY)
+
+
+def test_findings_document(spark):
+    found = spark.createDataFrame([(2.0, "B", "f", "X", "u2", 5), (3.0, "A", "f", "X", None, 7), (1.0, "C", "f", "X", "u1", 9)], "score double, lobbyist_name string, registrant_name string, agency_short string, sample_uuid string, total_income long")
+    made = json.loads(sinks.findings_document(found, 2))["findings"]
+    assert [(r["rank"], r["lobbyist_name"], r["senate_lda_url"], r["total_income"]) for r in made] == [(1, "A", None, 7.0), (2, "B", "https://lda.senate.gov/filings/public/filing/u2/print/", 5.0)]
