@@ -216,3 +216,51 @@ def test_blocks_are_skipped_and_halved():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.98
     assert (links == near.sum(axis=1) - 1).all() and len(set(roots)) == 2
+
+
+def texts_of(spark, pages):
+    rows = [(i, "http://one.example/", h) for i, h in enumerate(pages)]
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_headings_that_many_articles_share_stay(spark):
+    body = lambda i: f"<h2>Introduction</h2><p>Words of article {i} come here.</p><h2>Results</h2><p>They are {i * 7}.</p><p>No.</p><ul><li>First</li><li>own {i}</li></ul><h2>References</h2><p>None.</p>"
+    want = lambda i: f"Introduction Words of article {i} come here. Results They are {i * 7}. No. First own {i} References None."
+    for around in ("<article>{}</article>", "<main>{}</main>"):
+        got = texts_of(spark, [around.format(body(i)) for i in range(6)])
+        assert got == {i: want(i) for i in range(6)}
+    plain = texts_of(spark, [f"<body><h2>Introduction</h2><p>Words of article {i} come here.</p></body>" for i in range(6)])
+    assert plain == {i: f"Introduction Words of article {i} come here." for i in range(6)}
+
+
+def test_counts_alone_remove_boxes_and_links(spark, monkeypatch):
+    """With no name of furniture known, what recurs goes by its count."""
+    monkeypatch.setattr(html_text, "NAMES", frozenset())
+    monkeypatch.setattr(html_text, "SURE", frozenset())
+    long = "and more of its own words " * 8
+    page = lambda i: f"<body><div>Daily Paper</div><article><p>Article {i} {long}</p><div class='x9'>Our paper needs you</div><p><a href=/>all news of today</a></p></article><p>Printed by us</p></body>"
+    article = lambda i: f"Article {i} {long}".strip()
+    assert texts_of(spark, [page(i) for i in range(6)]) == {i: article(i) for i in range(6)}
+    assert texts_of(spark, [page(i) for i in range(3)]) == {i: f"{article(i)} Our paper needs you all news of today" for i in range(3)}
+
+
+def test_forms_as_layout():
+    text = lambda h: " ".join(t for t, main, _ in html_text.parse(h)[0] if main)
+    long = "words of a page without an article " * 20
+    assert text(f"<body><form id=aspnet><div><p>{long}</p><label>Name</label><input><button>Go</button><select><option>x</select></div></form></body>") == long.strip()
+    assert text("<body><form><nav>n</nav><article><h1>a</h1><p>b</p><form><label>c</label>d</form></article></form></body>") == "a b"
+    assert text("<body><p>text</p><form><p>Tell us</p><textarea>t</textarea></form></body>") == "text"
+    assert text("<body><form><label>User</label><input></form></body>") == ""
+
+
+def test_names_inside_articles():
+    text = lambda h: " ".join(t for t, main, _ in html_text.parse(f"<body><article>{h}</article></body>")[0] if main)
+    assert text('<p class="alert">a</p><p class="related">b</p><p class="notice">c</p><div class="list-item share">d</div><p>e</p>') == "a b c d e"
+    assert text('<p>e</p><div class="share"><a href=/>tell</a> <a href=/>all</a></div><div class="comments"><p>first!</p></div><ul><li class="comment">second</li></ul><p class="ad">buy</p><div class="related-posts"><a href=/>x</a></div>') == "e"
+    assert text('<p>e</p><div class="newsletter-signup">Join</div><section class="notice">Closed on Monday</section>') == "e"
+
+
+def test_very_long_html_and_odd_column_names(spark):
+    rows = [(1, "http://a", "<article>" + "<p>word</p>" * 60_000 + "</article>", 3), (2, None, None, 4)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()}
+    assert got[1].text == " ".join(["word"] * 60_000) and got[1].n_chars == 5 * 60_000 - 1 and got[2].text == ""
