@@ -163,7 +163,7 @@ def findings_graph(spark, sf_dir) -> DataFrame:
 _EVIDENCE = ", of_finding AS (SELECT rank, agency_short, trim(c) AS c FROM (SELECT rank, agency_short, unnest(string_split(top_clients_str, '|')) AS c FROM ranked)), paid AS (SELECT client_name AS c, sum(income) AS total FROM filings GROUP BY 1), firms AS (SELECT DISTINCT client_name AS c, registrant_name AS m FROM filings), evidence AS (SELECT 'funded_by' AS type, 'agency:' || upper(agency_short) AS src, 'client:' || upper(c) AS dst, arg_max(total, rank) AS weight FROM of_finding JOIN paid USING (c) GROUP BY 1, 2, 3 UNION ALL SELECT 'mentions', 'legislator:' || upper(m), 'client:' || upper(c), CAST(count(*) AS DOUBLE) FROM of_finding JOIN firms USING (c) GROUP BY 1, 2, 3)"
 
 
-def _evidence(b: Bound) -> DataFrame:
+def _with_evidence(b: Bound) -> DataFrame:
     """Findings with a trail and mentions: what each of their clients reported, and the firms that filed for it in the members' place. At most five clients a finding."""
     found = save(top_findings(b), "findings")
     clients = found.select("rank", F.explode(T.pieces(F.col("top_clients_str"))).alias("client_name"))
@@ -177,7 +177,7 @@ def _evidence(b: Bound) -> DataFrame:
 @register("k1_evidence", sql(_FOUND + _MADE + _EVIDENCE + " SELECT type, src, dst, round(weight, 2) AS weight FROM (SELECT * FROM graph UNION ALL SELECT * FROM evidence)", *_SCAN))
 def evidence_graph(spark, sf_dir) -> DataFrame:
     """The graph with edges of all five kinds."""
-    return graph.from_findings(_evidence(Bound(spark, sf_dir)))[1].select("type", "src", "dst", F.round("weight", 2).alias("weight"))
+    return graph.from_findings(_with_evidence(Bound(spark, sf_dir)))[1].select("type", "src", "dst", F.round("weight", 2).alias("weight"))
 
 
 @register("k9", sql(_FOUND + _MADE.replace("FROM ranked", "FROM ranked WHERE rank = 3") + ", ends AS (SELECT src AS id FROM graph UNION ALL SELECT dst FROM graph) SELECT id, count(*) AS degree FROM ends GROUP BY 1", *_SCAN))
