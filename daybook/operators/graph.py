@@ -91,8 +91,9 @@ def triangles(mentions: DataFrame, funded_by: DataFrame, lobbies_for: DataFrame,
     """A member mentions a client that an agency funds and a former official of that agency lobbies for."""
     said = mentions.select(F.col("src").alias("member"), F.col("dst").alias("client"), F.col("weight").alias("mentions"))
     paid = funded_by.select(F.col("src").alias("agency"), F.col("dst").alias("client"), F.col("weight").alias("dollars"))
-    hired = lobbies_for.select(F.col("src").alias("lobbyist"), F.col("dst").alias("client")).distinct()
-    held = official_of.select(F.col("src").alias("lobbyist"), F.col("dst").alias("agency")).distinct()
+    # both are read by the search for hubs and by the joins
+    hired = save(lobbies_for.select(F.col("src").alias("lobbyist"), F.col("dst").alias("client")).distinct(), "hired")
+    held = save(official_of.select(F.col("src").alias("lobbyist"), F.col("dst").alias("agency")).distinct(), "held")
     if has_hub(hired, held):
         paid = save(paid.join(said.select("client").distinct(), "client", "left_semi"), "paid")
         pairs = linked(hired, held, paid.select("client", "agency").distinct())
