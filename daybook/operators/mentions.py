@@ -18,12 +18,12 @@ def filtered(press: DataFrame, since: str | None = None, until: str | None = Non
     return out
 
 
-def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: int | None = None, key: tuple[str, ...] = ("member_name", "date", "title"), tie: str = "doc_id", limit: int | None = None) -> DataFrame:
+def search(press: DataFrame, clients: list[tuple[str, list[str]]], per_client: int | None = None, key: tuple[str, ...] = ("member_name", "date", "title"), tie: str = "doc_id", limit: int | None = None, ascii_words: bool = False) -> DataFrame:
     """``client`` with each matching release once a client, newest first, ``n`` at most. One pass over text and title finds all clients (``automaton``), however many there are; only rows with a mention go on, with the mention's place, from which the snippet is cut.
 
-    The text itself has done its work then and isn't among the columns. ``limit`` keeps so many of the newest hits of each client before repeats are taken out, as the original does; by default all stay."""
+    The text itself has done its work then and isn't among the columns. ``limit`` keeps so many of the newest hits of each client before repeats are taken out, as the original does; by default all stay. Words and letters' case are Unicode's, or those of ASCII with ``ascii_words``."""
     rest = [c for c in press.columns if c != "text"]
-    found = press.withColumn("__hits", mentions(clients, F.col("text"), F.col("title"))).where(F.size("__hits") > 0)
+    found = press.withColumn("__hits", mentions(clients, F.col("text"), F.col("title"), ascii_words=ascii_words)).where(F.size("__hits") > 0)
     hits = found.withColumn("__hit", F.explode("__hits"))
     where = F.when(F.col("__hit.source") == 0, F.col("text")).otherwise(F.col("title"))
     label = F.element_at(F.array(*(F.lit(label) for label, _ in clients)) if clients else F.array(F.lit(None).cast("string")), F.col("__hit.place") + 1)

@@ -32,3 +32,13 @@ def test_halves_of_a_cent(spark, tmp_path):
     got, want = told(spark, tmp_path, "h21", customer=customer)
     assert got == want and len(got) == n
     assert {r[2].split()[0]: r[1] for r in got}["c749"] == "$8.49B"
+
+
+def test_words_end_before_letters_beyond_ascii(spark, tmp_path):
+    names = ["Bergech zu den", "Der der die", "foo bar baz"]
+    texts = ["x Bergech zu denébla", "éDer der die", "DER DER DIE\nmore", "der der dies", "_foo bar baz", "foo bar baz9 Foo Bar Baź", "ſfoo bar baz", "nothing", ""]
+    benchmark = pa.table({"item_id": pa.array(range(3), pa.int64()), "text": [f"{n}é tail" for n in names]})
+    documents = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["en"] * len(texts), "source": ["web"] * len(texts), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+    got, want = told(spark, tmp_path, "o35_many", benchmark=benchmark, documents=documents)
+    assert got == want
+    assert {r[0]: r[3] for r in got} == {"Bergech zu den": 1, "Der der die": 2, "foo bar baz": 2}
