@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.operators.durable import drop, save
+from daybook.operators.durable import drop, save, shrink_driver
 from daybook.operators.skew import lookup
 
 MIN_WORDS = 50
@@ -74,29 +74,34 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """``id, __h, i`` of every line to delete."""
     lines = _positions(docs, key, text)
     total = lines.count()
-    rank = save(_first(lines.select("pos", "doc", "i", "line", "words"), ["line"], total).select("pos", "doc", "words", "rank"), "level")
-    windows = save(_windows(rank.select("pos", "doc", "words"), min_words).withColumn("size", F.col("stop") - F.col("start") + 1), "runs")
+    alone = save(_first(lines.select("pos", "doc", "i", "line", "words"), ["line"], total).select("pos", "doc", "words", "rank"), "level")
+    windows = save(_windows(alone.select("pos", "doc", "words"), min_words).withColumn("size", F.col("stop") - F.col("start") + 1), "runs")
     longest = windows.agg(F.max("size")).first()[0] or 0
-    rank = rank.drop("words")
+    rank = alone.drop("words")
     gone = None
     k = 0
+    none = F.lit(None).cast("long")
     while 1 << k <= longest:
         span = 1 << k
         level = windows.where(F.col("size").between(span, 2 * span - 1))
         a = rank.select(F.col("pos").alias("start"), F.col("rank").alias("a"))
         b = rank.select((F.col("pos") + span).alias("after"), F.col("rank").alias("b"))
         named = level.withColumn("after", F.col("stop") + 1).join(a, "start").join(b, "after")
-        repeats = _first(named.select(F.col("start").alias("pos"), "stop", "size", "a", "b"), ["size", "a", "b"], max(1, total)).where("rank < pos").select(F.col("pos").alias("start"), "stop")
-        repeats = save(repeats, "repeats")
-        gone = repeats if gone is None else gone.unionByName(repeats)
+        rows = named.select(F.col("start").alias("pos"), none.alias("doc"), "stop", "size", "a", "b")
         k += 1
         if 1 << k <= longest:
             follows = rank.withColumn("next", F.lead("rank", span).over(Window.partitionBy("doc").orderBy("pos"))).withColumn("at", F.lead("pos", span).over(Window.partitionBy("doc").orderBy("pos")))
             # the row ``span`` rows on is the line ``span`` lines on only if all lines between are repeated too
-            both = follows.where(F.col("at") == F.col("pos") + span).select("pos", "doc", "rank", "next")
-            higher = save(_first(both.withColumnRenamed("rank", "low"), ["low", "next"], max(1, total)).select("pos", "doc", "rank"), "level")
-            drop(rank)
-            rank = higher
+            both = follows.where(F.col("at") == F.col("pos") + span)
+            # the runs of this level and the ranks of the next are named in one go, told apart by the size: half the plans, which is what the driver's memory goes to
+            rows = rows.unionByName(both.select("pos", "doc", none.alias("stop"), F.lit(0).cast("long").alias("size"), F.col("rank").alias("a"), F.col("next").alias("b")))
+        found = save(_first(rows, ["size", "a", "b"], max(1, total)).select("pos", "doc", "stop", "rank"), "level")
+        repeats = found.where("stop is not null and rank < pos").select(F.col("pos").alias("start"), "stop")
+        gone = repeats if gone is None else gone.unionByName(repeats)
+        if span == 1:
+            drop(alone)
+        rank = found.where("stop is null").select("pos", "doc", "rank")
+        shrink_driver(docs.sparkSession)
     if gone is None:
         return lines.select("id", "__h", "i").where("false")
     # starts and stops of deleted runs, summed along the document; a stop counts from the line after it

@@ -57,6 +57,16 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_writes_two_tables_a_level(spark, monkeypatch):
+    """Runs of five lines take three levels; every level names its runs and the next level's lines together."""
+    made, write = [], line_dedup.save
+    monkeypatch.setattr(line_dedup, "save", lambda df, label, *a: made.append(label) or write(df, label, *a))
+    rows = [(d, "\n".join("abcdefg" if d < 3 else f"own{d}")) for d in range(6)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=5)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {0: 0, 1: 7, 2: 7, 3: 0, 4: 0, 5: 0}
+    assert len(made) <= 4 + 2 * 3
+
+
 def brute_sets(text):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
